@@ -2,7 +2,7 @@
 
 Training sees confirmed toxic texts and texts whose label is not looked at.  The risk estimator
 corrects the unlabelled part by the class prior and is kept from going below zero (Kiryo et al. 2017).
-The classifier is linear over the set of a text's words, so it looks at whole texts at any length;
+The classifier is linear over the set of a text's words and word beginnings, so it looks at whole texts at any length;
 weights are not negative, so that harmless words can't dilute what a long text holds.
 
 Defined results: null and empty texts have no words and get the score of the bias alone; repeated
@@ -26,6 +26,8 @@ ADDED = T.StructType([T.StructField("score", T.DoubleType())])
 FIT_TOXIC, FIT_UNLABELLED = 4000, 12_000
 #: A word needs so many sampled texts to get a weight.
 LEAST_TEXTS = 4
+#: Lengths of word beginnings that are features too, for words with changing endings.
+STEMS = (4, 5)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"\w+")
 
@@ -37,10 +39,12 @@ class Model:
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct words of a text, and the beginnings (marked by *) that longer words share."""
+    found = set(_WORD.findall(text.lower()))
+    return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 3e-5) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk of a linear scorer with weights >= 0 by Adam.
 
     Risk: prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss l.
