@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, quality, toxicity
+from . import html, mixing, pieces, pii, quality, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op7_pii, op8_toxicity)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.contract(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op6_mixing, op7_pii, op8_toxicity, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
