@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, mixing, pieces, pii, quality, toxicity
+from . import html, mixing, pieces, pii, quality, toxicity, vectors
 from .common import read_table
 
 
@@ -16,6 +17,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.contract(read_table(spark, sf_dir, "documents"))
 
@@ -28,9 +33,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.contract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op6_mixing, op7_pii, op8_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_embedding_near_dedup, op6_mixing, op7_pii, op8_toxicity, op9_top_k, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
