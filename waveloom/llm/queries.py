@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, pieces, pii, quality, toxicity, vectors
+from . import html, jaccard, mixing, pieces, pii, quality, toxicity, vectors
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.contract(read_table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.contract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_embedding_near_dedup, op6_mixing, op7_pii, op8_toxicity, op9_top_k, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_embedding_near_dedup, op5_ngram_jaccard, op6_mixing, op7_pii, op8_toxicity, op9_top_k, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
