@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, mixing, pieces, pii, quality, toxicity, vectors
+from . import html, jaccard, licences, mixing, pieces, pii, quality, toxicity, vectors
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.contract(read_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.contract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_embedding_near_dedup, op5_ngram_jaccard, op6_mixing, op7_pii, op8_toxicity, op9_top_k, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_licence_scan, op3_sentencepiece, op4_embedding_near_dedup, op5_ngram_jaccard, op6_mixing, op7_pii, op8_toxicity, op9_top_k, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
