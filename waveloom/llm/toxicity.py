@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,9 +24,11 @@ from .common import fold, map_texts, sampled_texts
 
 ADDED = T.StructType([T.StructField("score", T.DoubleType())])
 #: Bounds of the fit: confirmed toxic texts, unlabelled texts.
-FIT_TOXIC, FIT_UNLABELLED = 4000, 12_000
-#: A word needs so many sampled texts to get a weight.
-LEAST_TEXTS = 4
+FIT_TOXIC, FIT_UNLABELLED = 3000, 7000
+#: A feature needs so many confirmed texts to get a weight.
+LEAST_TEXTS = 3
+#: And so many times the share among unlabelled texts.
+LIFT = 1.5
 #: Lengths of word beginnings that are features too, for words with changing endings.
 STEMS = (4, 5)
 FOLDS, HELD_OUT = 5, 0
@@ -34,17 +37,20 @@ _WORD = re.compile(r"\w+")
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    """weights by the hash of a feature."""
+
+    weights: dict[int, float]
     bias: float
 
 
-def words(text: str) -> set[str]:
-    """The distinct words of a text, and the beginnings (marked by *) that longer words share."""
+def features(text: str) -> set[int]:
+    """Hashes of the distinct words of a text, and of the beginnings (marked by *) that longer words share."""
     found = set(_WORD.findall(text.lower()))
-    return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
+    found = found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
+    return {crc32(w.encode()) for w in found}
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 3e-5) -> tuple[np.ndarray, float]:
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 500, rate: float = 0.1, l1: float = 3e-5) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk of a linear scorer with weights >= 0 by Adam.
 
     Risk: prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss l.
@@ -52,8 +58,8 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
     """
     rows = [*pos, *unl]
     lens = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), lens)
+    cols = np.concatenate(rows).astype(np.int32)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     is_pos = np.arange(len(rows)) < len(pos)
     n_p, n_u = max(1, len(pos)), max(1, len(unl))
     w, b = np.zeros(size), -1.0
@@ -88,23 +94,30 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column | None = None, pr
     bags = {}
     for name, wanted, limit in (("p", F.col("toxic") == 1, FIT_TOXIC), ("u", F.lit(True), FIT_UNLABELLED)):
         some = sampled_texts(docs, rows, wanted, limit, f"toxicity-{name}")
-        bags[name] = [r["words"] for r in _bags(some).collect()]
+        bags[name] = [np.frombuffer(r["bag"], np.uint32) for r in _bags(some).collect()]
     if not bags["p"]:
         return Model({}, -30.0)
-    texts: dict[str, int] = {}
-    for bag in (*bags["p"], *bags["u"]):
-        for word in bag:
-            texts[word] = texts.get(word, 0) + 1
-    least = LEAST_TEXTS if len(bags["p"]) >= 20 else 1
-    vocabulary = {word: i for i, word in enumerate(sorted(w for w, n in texts.items() if n >= least))}
-    lookup = lambda bag: np.array(sorted(vocabulary[w] for w in bag if w in vocabulary), np.int64)
-    weights, bias = nnpu([lookup(b) for b in bags["p"]], [lookup(b) for b in bags["u"]], len(vocabulary), prior)
-    return Model({w: float(weights[i]) for w, i in vocabulary.items() if weights[i] > 1e-3}, bias)
+    # weights are not negative, so only what confirmed texts hold more often than others can get one
+    known, texts = np.unique(np.concatenate(bags["p"]), return_counts=True)
+    every = np.concatenate([np.zeros(0, np.uint32), *bags["u"]])
+    others = np.bincount(_places(known, every), minlength=len(known))
+    lifted = texts / len(bags["p"]) >= LIFT * others / max(1, len(bags["u"]))
+    known = known[lifted & (texts >= (LEAST_TEXTS if len(bags["p"]) >= 20 else 1))]
+    weights, bias = nnpu([_places(known, b) for b in bags["p"]], [_places(known, b) for b in bags["u"]], len(known), prior)
+    return Model({int(known[i]): float(weights[i]) for i in np.flatnonzero(weights > 1e-3)}, bias)
+
+
+def _places(known: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where those of `some` that are known stand in `known` (sorted)."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    return at[known[at] == some]
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    added = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
-    return map_texts(texts, "text", added, lambda: lambda batch: {"words": [sorted(words(t)) for t in batch]}, keep=[])
+    added = T.StructType([T.StructField("bag", T.BinaryType())])
+    return map_texts(texts, "text", added, lambda: lambda batch: {"bag": [np.array(sorted(features(t)), np.uint32).tobytes() for t in batch]}, keep=[])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -117,7 +130,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         known = frozenset(weights)
 
         def work(texts: list[str]) -> dict:
-            f = np.array([bias + sum(weights[w] for w in sorted(known.intersection(words(t)))) for t in texts])
+            f = np.array([bias + sum(weights[w] for w in sorted(known.intersection(features(t)))) for t in texts])
             return {"score": (1 / (1 + np.exp(-np.clip(f, -30, 30)))).tolist()}
 
         return work
