@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import series
+from . import series, states
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "series", "states"]

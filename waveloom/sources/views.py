@@ -35,7 +35,9 @@ def anns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, ch, t (seconds since the user's first event), bin, v."""
     rows = table(spark, sf_dir, "events")
-    sec = F.unix_micros("ts") / 1e6
+    # timestamps without a zone: microseconds from their parts, whatever the session's zone is
+    whole = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60
+    sec = (whole * 1_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000).cast("long")) / 1e6
     own = W.partitionBy("user_id")
     return rows.select(
         F.col("user_id").alias("rec"),
