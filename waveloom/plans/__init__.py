@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import series, states
+from . import naming, series, states
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "series", "states"]
+__all__ = ["ORACLE_SQL", "QUERIES", "naming", "series", "states"]
