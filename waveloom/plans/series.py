@@ -132,9 +132,9 @@ def a4_grouping_modes(spark, sf_dir):
     return S.grouping_sets(rows, sets, [F.count("*").alias("n"), F.round(F.avg("v") + 1e-9, 5).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("std")])
 
 
-@query("SELECT rec, ch, bin, round(v - avg(v) OVER (PARTITION BY rec % 10, ch), 6) v FROM fx_samples WHERE bin < 50")
+@query("SELECT rec, ch, bin, round(v - avg(v) OVER (PARTITION BY rec % 10, ch), 6) v FROM fx_samples")
 def a5_group_value_to_members(spark, sf_dir):
-    rows = V.samples(spark, sf_dir).filter("bin < 50")
+    rows = V.samples(spark, sf_dir)
     return rows.select("rec", "ch", "bin", R6(F.col("v") - F.avg("v").over(W.partitionBy(F.col("rec") % 10, "ch"))).alias("v"))
 
 
@@ -315,9 +315,9 @@ def m2_robust_scale(spark, sf_dir):
     return rows.join(q, RC).select("rec", "ch", "bin", R6(F.try_divide(F.col("v") - F.col("q")[1], F.col("q")[2] - F.col("q")[0])).alias("v"))
 
 
-@query(f"WITH {_BINS} SELECT s.rec, s.ch, s.bin, coalesce(CASE WHEN b.bin IS NULL THEN v END, 0) v FROM fx_samples s LEFT JOIN (SELECT DISTINCT rec, bin FROM lb WHERE label = 'hold') b ON s.rec = b.rec AND s.bin = b.bin WHERE s.bin < 200")
+@query(f"WITH {_BINS} SELECT s.rec, s.ch, s.bin, coalesce(CASE WHEN b.bin IS NULL THEN v END, 0) v FROM fx_samples s LEFT JOIN (SELECT DISTINCT rec, bin FROM lb WHERE label = 'hold') b ON s.rec = b.rec AND s.bin = b.bin")
 def m3_impute_constant(spark, sf_dir):
-    rows = V.samples(spark, sf_dir).filter("bin < 200")
+    rows = V.samples(spark, sf_dir)
     return X.masked(rows, _labelled(spark, sf_dir).filter("label = 'hold'"), ["rec", "bin"]).withColumn("v", F.coalesce("v", F.lit(0.0))).select("rec", "ch", "bin", "v")
 
 
@@ -334,9 +334,9 @@ def a26_class_counts(spark, sf_dir):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 8))
 
 
-@query("SELECT rec, ch, bin // 2 AS i, v FROM fx_samples WHERE bin % 2 = 0 AND bin < 100")
+@query("SELECT rec, ch, bin // 2 AS i, v FROM fx_samples WHERE bin % 2 = 0")
 def p19_subsample(spark, sf_dir):
-    rows = V.samples(spark, sf_dir).filter("bin < 100").withColumn("i", F.row_number().over(W.partitionBy(RC).orderBy("bin")) - 1)
+    rows = V.samples(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy(RC).orderBy("bin")) - 1)
     return rows.filter("i % 2 = 0").select("rec", "ch", (F.col("i") / 2).cast("long").alias("i"), "v")
 
 
