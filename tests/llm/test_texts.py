@@ -1,0 +1,241 @@
+"""Operators that look at one text at a time."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from waveloom.llm import html, licences, pieces, pii, quality, toxicity
+from waveloom.llm.common import fold, fold_of
+
+from .fixtures import WORDS, documents, empty, prose
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# -- SentencePiece -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+
+
+def test_pieces_like_the_library(spark, library):
+    docs = documents(spark)
+    got = pieces.contract(docs).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        ids = library.encode(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == sha(",".join(map(str, ids)))
+        assert r.decoded_sha256 == sha(library.decode(ids))
+
+
+def test_pieces_fuzz(library):
+    codec = pieces.pieces(pieces.model_path())
+    rnd = random.Random(11)
+    alphabet = ["a", "b", "the", "ing", " ", "  ", " " * 40, "\n", "é", "漢", "▁", "12", ".", "===", "aaaa", "\t", "ß", "😀", "́", "<s>", "<0x41>"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(1500)] + [" " * n + "w" for n in range(300)]
+    flat, lens = codec.encode(texts)
+    decoded, at = codec.decode(flat, lens), 0
+    for text, n, back in zip(texts, lens.tolist(), decoded, strict=True):
+        ids = library.encode(text)
+        assert flat[at : at + n].tolist() == ids, text
+        assert back == library.decode(ids), text
+        at += n
+
+
+def test_pieces_decode_column(spark, library):
+    docs = documents(spark)
+    coded = pieces.encode(docs, keep=["doc_id"])
+    back = {r.doc_id: r.decoded for r in pieces.decode(coded).collect()}
+    for r in docs.collect():
+        assert back[r.doc_id] == library.decode(library.encode(r.text or ""))
+
+
+# -- personal data -----------------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def base_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text) if valid(k, m[0])]
+
+
+def test_pii_base_like_the_patterns():
+    rnd = random.Random(4)
+    bits = ["a@b.c", "@", "x.y@", "z@q", ".com", "1.2.3.4", "300.1.1.1", "10.0.0.1.5.6.7.8", "4111111111111111", "4111 1111 1111 1111", "-", "+1 (555) 123-4567", "+49", " ", "é", "12", ".", "4111-1111-1111-1112", "0001.02.3.4"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in pii.find(text) if s["base"]] == base_spans(text), text
+
+
+def test_pii_added_spans():
+    two = "4111111111111111 4012888888881881"
+    assert [(s["start"], s["end"], s["base"]) for s in pii.find(two)] == [(0, 16, False), (17, 33, False)]
+    kinds = {s["kind"]: s for s in pii.find("my iban is DE89 3704 0044 0532 0130 00 thanks, passport number C01234567")}
+    assert not kinds["iban"]["base"] and kinds["iban"]["score"] > 0.9 and "id" in kinds
+    assert not [s for s in pii.find("IBAN DE89370400440532013001") if s["kind"] == "iban"]
+
+
+def test_pii_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "AB12" + "X" * 200_000):
+        pii.find(text)
+
+
+def test_pii_contract_and_mask(spark):
+    docs = documents(spark)
+    got = {r.doc_id: r for r in pii.contract(docs).collect()}
+    for r in docs.collect():
+        base = base_spans(r.text or "")
+        assert got[r.doc_id].base_sha256 == sha(",".join(base))
+        assert got[r.doc_id].n_card == sum(b.startswith("card") for b in base)
+    some = spark.createDataFrame([(1, "write x@y.com or +1 555 123 4567"), (2, None)], "doc_id int, text string")
+    assert [r.text for r in pii.mask(some).orderBy("doc_id").collect()] == ["write <EMAIL> or <PHONE>", None]
+    assert pii.mask(docs).columns == docs.columns and pii.mask(docs).count() == docs.count()
+    assert pii.contract(empty(docs)).count() == 0
+
+
+# -- trained scores ----------------------------------------------------------------------------------
+
+
+def labelled(spark):
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        bad, toxic = i % 3 == 0, i % 5 == 1
+        n = rnd.randrange(20, 200)
+        text = " ".join(w.upper() + "!!" if bad else w for w in (rnd.choice(WORDS) for _ in range(n)))
+        if toxic:
+            text += " " + " ".join(rnd.choice(["vilest", "scummy", "rotten"]) for _ in range(3))
+        rows.append((i, text))
+        labels.append((i, int(not bad), int(toxic)))
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (1002, rows[0][1])]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def accuracy(got, labels, column):
+    truth = {r.doc_id: r[column] for r in labels.collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    return sum(a == b for a, b in held) / len(held)
+
+
+@pytest.mark.parametrize("module, column, folds, out", [(quality, "quality", 4, 2), (toxicity, "toxic", 5, 0)])
+def test_trained_scores(spark, module, column, folds, out):
+    docs, labels = labelled(spark)
+    got = module.contract(docs.withColumn("score", F.lit("x")), labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == out) for r in got)
+    assert accuracy(got, labels, column) > 0.9
+    same = {r.score for r in got if r.doc_id == 1002}
+    assert len(same) == 1
+    assert module.contract(empty(docs), labels).count() == 0
+    assert module.contract(docs, empty(labels)).count() == docs.count()
+
+
+def test_labels_of_the_held_out_fold_are_not_used(spark):
+    docs, labels = labelled(spark)
+    for module, column, folds, out in ((quality, "quality", 4, 2), (toxicity, "toxic", 5, 0)):
+        wrong = labels.withColumn(column, F.when(fold("doc_id", folds) == out, 1 - F.col(column)).otherwise(F.col(column)))
+        a = sorted((r.doc_id, r.score) for r in module.contract(docs, labels).collect())
+        b = sorted((r.doc_id, r.score) for r in module.contract(docs, wrong).collect())
+        assert a == b
+
+
+def test_fold_rule():
+    assert fold_of(17, 4) == zlib.crc32(b"17") % 4
+
+
+# -- licences ----------------------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    rnd = random.Random(3)
+    notices = {0: ("MIT", "Released under the MIT License."), 1: ("GPL", "This work is licensed under the GNU General Public License, version 2."), 2: ("Apache", "Licensed under the Apache License, Version 2.0."), 3: ("CC", "Licensed under CC BY-NC 4.0."), 4: ("reserved", "All rights reserved.")}
+    rows = [(i, prose(rnd, 30) + "\n" + notices[i][1] + "\n" + prose(rnd, 20)) for i in notices]
+    rows += [(10, None), (11, ""), (12, prose(rnd, 300)), (13, "the licence of taste in this copyright of dreams and permission of winds"), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit(1)).withColumn("words", F.lit(1))
+    got = licences.contract(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.family == (notices[r.doc_id][0] if r.doc_id in notices else "none"), r
+        assert (r.score >= 0.5) == (r.doc_id in notices)
+    assert licences.contract(empty(docs)).count() == 0
+
+
+def test_licence_paths_are_native(spark):
+    docs = documents(spark).select("doc_id", "text")
+    plan = licences.contract(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# -- pages -------------------------------------------------------------------------------------------
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>t</title><script>var a='<p>no</p>';</script></head><body>{body}</body></html>"
+
+
+CASES = [
+    (page("<nav><ul><li>menu</ul></nav><article><h1>T &amp; U</h1><p>a \n b<br>c<p><b>d</p></article><footer>f</footer>"), "T & U\na b c\nd"),
+    (page('<div class="cookie-notice">c</div><main><p>x</p><aside>s</aside><form><p>f</p></form><div id="comments"><p>r</p></div></main>'), "x"),
+    (page('<article><p>short</p></article><article><p>the longer one</p></article>'), "the longer one"),
+    (page("<div><p>no article here</p></div><style>p{}</style><p>two &lt; three</p>"), "no article here\ntwo < three"),
+    ("", ""),
+    (None, ""),
+    ("just text &eacute;", "just text é"),
+    ("<p>open <b>tags <div>x<!-- never closed", "open tags\nx"),
+    ("a < b > c", "a < b > c"),
+]
+
+
+def test_pages(spark):
+    rows = [(i, f"http://h{i}.example/{i}", h) for i, (h, _) in enumerate(CASES)] + [(100, None, CASES[0][0]), (0, "http://h0.example/0", CASES[0][0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit(1))
+    got = html.contract(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = CASES[0][1] if r.page_id == 100 else CASES[r.page_id][1]
+        assert r.text == want and r.n_chars == len(want)
+    assert html.contract(empty(df)).count() == 0
+
+
+def test_site_templates_go_and_copies_stay(spark):
+    box = '<div class="x1"><p>Read our best stories of the week</p></div>'
+    rows = [(i, "http://a.example/", page(f"<div><p>story {i} of this site</p>{box}</div>")) for i in range(8)]
+    rows += [(100 + i, "http://b.example/", page("<div><p>one story in many copies</p></div>")) for i in range(8)]
+    rows += [(200, "http://c.example/", page(f"<div>{box}</div>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.contract(df).collect()}
+    assert all(got[i] == f"story {i} of this site" for i in range(8))
+    assert all(got[100 + i] == "one story in many copies" for i in range(8))
+    assert got[200] == "Read our best stories of the week"
+
+
+def test_deep_and_broken_pages():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert html.Page(deep).main()[0] == ["x"]
+    html.Page("<a href=\"" * 3000).main()
