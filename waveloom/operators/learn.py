@@ -119,3 +119,81 @@ def cross_validated(df: DataFrame, column: str, y: str, k: int, trees: bool = Fa
         part = model.transform(ready.filter(F.col("fold") == f)).select("key", "fold", y, F.col("prediction").cast("int").alias("yhat"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def contributions(df: DataFrame, column: str, model: dict[int, tuple[list[float], float]]) -> DataFrame:
+    """key, class, feat (0: offset), part: exact additive parts of every linear score."""
+    spark = df.sparkSession
+    rows = [(c, 0, b) for c, (_, b) in model.items()] + [(c, i + 1, v) for c, (w, _) in model.items() for i, v in enumerate(w)]
+    weights = spark.createDataFrame(rows, "class int, feat int, w double")  # the size of the model
+    x = long(df, ["key"], column).unionByName(df.select("key", F.lit(0).alias("feat"), F.lit(1.0).alias("x")))
+    return x.join(F.broadcast(weights), "feat").select("key", "class", "feat", (F.col("w") * F.col("x")).alias("part"))
+
+
+def independent(df: DataFrame, column: str, k: int, rounds: int = 10) -> list[list[float]]:
+    """Unmixing rows of k independent components (FastICA with tanh, symmetric decorrelation).
+
+    Whitening comes from one correlation pass; each round is one aggregation of E[z g(w z)] and E[g'(w z)],
+    the k x k algebra is done on the driver.
+    """
+    ready = vectors(df, column)
+    std = ready.select(Summarizer.std(F.col("features"))).first()[0].toArray()
+    mean = ready.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
+    cov = np.nan_to_num(Correlation.corr(ready, "features").first()[0].toArray()) * np.outer(std, std)
+    values, axes = np.linalg.eigh(cov)
+    top = np.argsort(values)[::-1][:k]
+    white = (axes[:, top] / np.sqrt(np.maximum(values[top], 1e-12))).T
+    dot = lambda v, w, b=0.0: F.aggregate(F.zip_with(v, F.array(*map(F.lit, map(float, w))), lambda a, c: a.cast("double") * c), F.lit(float(b)), lambda s, x: s + x)
+    z = df.select(F.array(*[dot(column, w, -(w @ mean)) for w in white]).alias("z"))
+    un = np.linalg.qr(np.random.default_rng(0).normal(size=(k, k)))[0]
+    for _ in range(rounds):
+        g = [F.tanh(dot("z", w)) for w in un]
+        one = z.select("z", *[v.alias(f"g{i}") for i, v in enumerate(g)])
+        row = one.agg(*[F.avg(F.col(f"g{i}") * F.col("z")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], *[F.avg(1 - F.col(f"g{i}") * F.col(f"g{i}")).alias(f"d{i}") for i in range(k)]).first()
+        new = np.array([[row[f"m{i}_{j}"] - row[f"d{i}"] * un[i, j] for j in range(k)] for i in range(k)])
+        u, _, v = np.linalg.svd(new)
+        was, un = un, u @ v
+        if np.abs(np.abs((was * un).sum(axis=1)) - 1).max() < 1e-4:
+            break
+    return (un @ white).tolist()
+
+
+def beats_shadows(df: DataFrame, column: str, y: str, rounds: int = 3) -> list[int]:
+    """Components (from 1) whose importance beats every shadow component in most rounds.
+
+    Shadows are the same values in the order of a hash of the key: each component is permuted by one
+    join on row numbers made in parts of the keys.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+
+    d = len(df.select(column).first()[0])
+    wins = np.zeros(d)
+    for r in range(rounds):
+        at = df.withColumn("__p", F.pmod(F.xxhash64(F.lit(-r - 1), "key"), F.lit(PARTS)))
+        number = lambda seed: F.row_number().over(W.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed), "key"), "key"))
+        own = at.withColumn("__n", number(2 * r))
+        other = at.select("__p", number(2 * r + 1).alias("__n"), F.col(column).alias("__shadow"))
+        both = own.join(other, ["__p", "__n"]).withColumn("v", F.concat(column, "__shadow")).select(F.col(y).cast("double").alias("label"), "v")
+        model = RandomForestClassifier(numTrees=10, maxDepth=4, seed=r).fit(vectors(both, "v"))
+        score = model.featureImportances.toArray()
+        wins += score[:d] > score[d:].max()
+    return [i + 1 for i in range(d) if wins[i] > rounds / 2]
+
+
+def additive(df: DataFrame, column: str, y: str, bins: int = 8, rounds: int = 2, rate: float = 0.5) -> DataFrame:
+    """feat, bin, value of a cyclic additive model: in each round every feature's bins take the mean residual, damped.
+
+    The bins of all features are updated from one aggregation a round (all features see the residual of
+    the round before).
+    """
+    x = long(df, ["key", y], column)
+    edges = x.groupBy("feat").agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 1000).alias("e"))
+    binned = x.join(F.broadcast(edges), "feat").withColumn("bin", F.size(F.filter("e", lambda e: F.col("x") > e))).select("key", y, "feat", "bin")
+    d = edges.count()
+    shape = binned.groupBy("feat", "bin").agg(F.lit(0.0).alias("value")).distinct()
+    mean = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
+    for _ in range(rounds):
+        fitted = binned.join(F.broadcast(shape), ["feat", "bin"]).groupBy("key").agg(F.sum("value").alias("f"))
+        step = binned.join(fitted, "key").groupBy("feat", "bin").agg((F.avg(F.col(y) - F.lit(mean) - F.col("f")) * rate / d).alias("step"))
+        shape = shape.join(step, ["feat", "bin"]).select("feat", "bin", (F.col("value") + F.col("step")).alias("value"))
+    return shape

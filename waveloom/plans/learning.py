@@ -124,3 +124,72 @@ def m10_across_groups(spark, sf_dir):
         part = L.scored(df.filter(F.col("grp") == g), "embedding", model).select("y", "yhat", F.concat_ws("->", F.lit("rest"), F.lit(g)).alias("pattern"))
         out = part if out is None else out.unionByName(part)
     return R.balanced_accuracy(R.confusion(out, ["pattern"]), ["pattern"])
+
+
+@query(f"WITH {_X}, m AS (SELECT label, feat, avg(x) m FROM x GROUP BY ALL) SELECT x.key, m.label comp, round(sum(m.m * x.x), 6) AS score FROM x JOIN m USING (feat) GROUP BY ALL".replace("SELECT x.key, m.label", "SELECT x.key, m.label"))
+def f7_back_projection(spark, sf_dir):
+    """Scores of every vector on the class means: a join on the component and a sum of products."""
+    x = long(spark, sf_dir)
+    means = x.groupBy(F.col("label").alias("comp"), "feat").agg(F.avg("x").alias("m"))
+    return x.join(means, "feat").groupBy("key", "comp").agg(F.round(F.sum(F.col("m") * F.col("x")), 6).alias("score"))
+
+
+@query(f"WITH {_X}, c AS (SELECT a.feat i, b.feat j, round(corr(a.x, b.x), 6) r FROM x a JOIN x b ON a.key = b.key AND a.feat < b.feat GROUP BY ALL) SELECT i feat, count(DISTINCT j % 8)::BIGINT n_band, count(DISTINCT j // 8)::BIGINT n_channel, count(*) n FROM c WHERE abs(r) > 0.08 GROUP BY i")
+def a44_synonym_parts(spark, sf_dir):
+    """For each feature's strongly correlated partners: how many values their name parts take."""
+    strong = L.correlations(rows(spark, sf_dir), "embedding").withColumn("r", F.round("r", 6)).filter("abs(r) > 0.08")
+    return strong.groupBy(F.col("i").alias("feat")).agg(F.countDistinct(F.col("j") % 8).alias("n_band"), F.countDistinct(F.floor(F.col("j") / 8)).alias("n_channel"), F.count("*").alias("n"))
+
+
+@query()
+def m21_contributions(spark, sf_dir):
+    """Additive parts of the linear scores, averaged by class and feature."""
+    df = rows(spark, sf_dir)
+    parts = L.contributions(df, "embedding", L.discriminant(df, "embedding", "y"))
+    return parts.groupBy("class", "feat").agg(F.round(F.avg("part"), 6).alias("mean"), F.round(F.avg(F.abs("part")), 6).alias("size"))
+
+
+@query()
+def m6_independent_components(spark, sf_dir):
+    df = rows(spark, sf_dir)
+    un = L.independent(df, "embedding", 3)
+    parts = L.contributions(df, "embedding", {i: (w, 0.0) for i, w in enumerate(un)})
+    return parts.groupBy("key", F.col("class").alias("comp")).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+@query()
+def m16_shadow_features(spark, sf_dir):
+    df = rows(spark, sf_dir)
+    good = L.beats_shadows(df, "embedding", "y", 1)
+    return long(spark, sf_dir).groupBy("feat").agg(F.round(F.avg("x"), 6).alias("mean")).withColumn("kept", F.col("feat").isin(good) if good else F.lit(False))
+
+
+@query()
+def m19_additive_model(spark, sf_dir):
+    return L.additive(rows(spark, sf_dir), "embedding", "y").withColumn("value", F.round("value", 8))
+
+
+@query()
+def m18_channel_search(spark, sf_dir):
+    """A model on each block of eight components alone and on all others: how much each block is worth."""
+    df, out = rows(spark, sf_dir), None
+    for b in range(8):
+        for kind in ("only", "without"):
+            part = F.slice("embedding", 8 * b + 1, 8) if kind == "only" else F.concat(F.slice("embedding", 1, 8 * b), F.slice("embedding", 8 * b + 9, 64))
+            some = df.select("key", "y", part.alias("v"))
+            one = L.scored(some, "v", L.discriminant(some, "v", "y")).select(F.lit(b).alias("block"), F.lit(kind).alias("kind"), "y", "yhat")
+            out = one if out is None else out.unionByName(one)
+    return R.balanced_accuracy(R.confusion(out, ["block", "kind"]), ["block", "kind"])
+
+
+@query()
+def m14_sufficient_features(spark, sf_dir):
+    """Steps of features by importance, and the balanced accuracy that each reaches."""
+    df = rows(spark, sf_dir)
+    order = [r.feat for r in long(spark, sf_dir).groupBy("feat").agg(F.abs(F.corr("x", "y")).alias("r")).orderBy(F.desc("r"), "feat").collect()]  # one row a component
+    out = None
+    for n in (4, 8, 16, 32, 64):
+        some = df.select("key", "y", F.array(*[F.col("embedding")[i - 1] for i in order[:n]]).alias("v"))
+        one = L.scored(some, "v", L.discriminant(some, "v", "y")).select(F.lit(n).alias("n_features"), "y", "yhat")
+        out = one if out is None else out.unionByName(one)
+    return R.balanced_accuracy(R.confusion(out, ["n_features"]), ["n_features"])

@@ -403,3 +403,20 @@ def u3_unlabelled_bins(spark, sf_dir):
 def p21_labelled_rows(spark, sf_dir):
     labels = _labelled(spark, sf_dir).filter("label <> 'hold'")
     return V.samples(spark, sf_dir).filter("ch = 'tax'").join(labels, ["rec", "bin"]).select("rec", "ch", "bin", "v", "label")
+
+
+@query("""WITH e AS (SELECT rec, ch, bin, sum(abs(v - m)) OVER (PARTITION BY rec, ch ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) z FROM (SELECT *, avg(v) OVER (PARTITION BY rec, ch) m FROM fx_samples WHERE ch IN ('qty', 'price'))),
+  t AS (SELECT rec, ch, bin FROM e JOIN (SELECT rec, ch, avg(z) a FROM e GROUP BY ALL) USING (rec, ch) WHERE z >= 1.25 * a),
+  f AS (SELECT *, CASE WHEN bin > coalesce(lag(bin) OVER (PARTITION BY rec, ch ORDER BY bin), -99) + 4 THEN 1 ELSE 0 END n FROM t), g AS (SELECT *, sum(n) OVER (PARTITION BY rec, ch ORDER BY bin ROWS UNBOUNDED PRECEDING) i FROM f),
+  r AS (SELECT rec, ch, min(bin) s, max(bin) + 1 e FROM g GROUP BY rec, ch, i HAVING max(bin) + 1 - min(bin) >= 5),
+  u AS (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) p FROM r), w AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) i FROM u)
+  SELECT rec, min(s) b0, max(e) b1 FROM w GROUP BY rec, i""")
+def w19_detect_activity(spark, sf_dir):
+    """Envelope per muscle above its mean, runs, and their union over the muscles."""
+    rows = V.samples(spark, sf_dir).filter(F.col("ch").isin("qty", "price"))
+    rows = rows.withColumn("c", F.abs(F.col("v") - F.avg("v").over(W.partitionBy(RC))))
+    e = rows.withColumn("z", X.box(rows, RC, F.col("c"), 9))
+    mean = e.groupBy(RC).agg(F.avg("z").alias("a"))
+    over = e.join(mean, RC).select("rec", "ch", "bin", (F.col("z") / F.col("a")).alias("v"))
+    runs = I.active(over, RC, 1.25, 3, 5)
+    return I.union(runs.select("rec", F.col("b0").alias("s"), F.col("b1").alias("e")), ["rec"]).withColumnsRenamed({"s": "b0", "e": "b1"})

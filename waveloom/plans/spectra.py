@@ -86,3 +86,45 @@ def _tapers_sql():
 def f3_time_frequency(spark, sf_dir):
     rows = V.samples(spark, sf_dir).filter(F.col("ch").isin("qty", "price"))
     return S.transform(rows, [0.1, 0.25], 16, 8).select("rec", "ch", "widx", "freq", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
+
+
+@query("""WITH p AS (SELECT rec, ch, atan2(im, re) ph FROM fx_tfr WHERE freq = 5), a AS (SELECT rec, ch, sqrt(re * re + im * im) am FROM fx_tfr WHERE freq = 20)
+  SELECT rec, round(sqrt(sum(am * cos(ph)) ** 2 + sum(am * sin(ph)) ** 2) / sum(am), 6) coupling FROM p JOIN a USING (rec, ch) GROUP BY rec""")
+def f9_phase_amplitude_coupling(spark, sf_dir):
+    tfr = V.tfr(spark, sf_dir)
+    phase = tfr.filter("freq = 5").select("rec", "ch", F.atan2("im", "re").alias("ph"))
+    amp = tfr.filter("freq = 20").select("rec", "ch", F.hypot("re", "im").alias("am"))
+    both = phase.join(amp, ["rec", "ch"])
+    size = F.hypot(F.sum(F.col("am") * F.cos("ph")), F.sum(F.col("am") * F.sin("ph")))
+    return both.groupBy("rec").agg(F.round(size / F.sum("am"), 6).alias("coupling"))
+
+
+@query(f"WITH {_BANDS}, p AS (SELECT rec, band, sqrt(re * re + im * im) a FROM fx_tfr JOIN bands ON freq BETWEEN lo AND hi), q AS (SELECT rec, band, quantile_cont(a, 0.05) q0, quantile_cont(a, 0.95) q1 FROM p GROUP BY ALL) SELECT rec, band, count(*) n, round(avg(a), 6) mean, round(stddev_pop(a), 6) std FROM p JOIN q USING (rec, band) WHERE a BETWEEN q0 AND q1 GROUP BY ALL")
+def a3_band_stats(spark, sf_dir):
+    from ..operators.stats import trimmed
+
+    rows = V.tfr(spark, sf_dir).join(F.broadcast(bands(spark)), F.col("freq").between(F.col("lo"), F.col("hi")))
+    stats = trimmed(rows.select("rec", "band", F.hypot("re", "im").alias("v")), ["rec", "band"])
+    return stats.select("rec", "band", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("WITH p AS (SELECT freq, re * re + im * im a FROM fx_tfr), c AS (SELECT freq, quantile_cont(a, 0.99) cap FROM p GROUP BY freq) SELECT freq, round(min(a), 8) least, round(max(a), 8) most, round(avg(a), 8) mean, count(*) n FROM p JOIN c USING (freq) WHERE a <= cap GROUP BY freq")
+def a10_outlier_free_extremes(spark, sf_dir):
+    """Minimum, maximum and mean below a percentile cap (in place of iterated histograms)."""
+    p = V.tfr(spark, sf_dir).select("freq", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("a"))
+    cap = p.groupBy("freq").agg(F.percentile("a", 0.99).alias("cap"))
+    rows = p.join(cap, "freq").filter("a <= cap")
+    return rows.groupBy("freq").agg(F.round(F.min("a"), 8).alias("least"), F.round(F.max("a"), 8).alias("most"), F.round(F.avg("a"), 8).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_tapers_sql()}, z AS (SELECT rec, ch, w widx, freq, sqrt(sum(v * wre) ** 2 + sum(v * wim) ** 2) a FROM fx_samples JOIN k ON true, LATERAL (SELECT (bin - k.k) // 8 AS w) WHERE (bin - k.k) % 8 = 0 AND bin >= k.k AND ch = 'price' GROUP BY ALL HAVING count(*) = 16) SELECT rec, freq, count(*) n, round(avg(a), 4) envelope FROM z GROUP BY ALL")
+def f2_band_envelope(spark, sf_dir):
+    """Amplitude of an analytic filter pair, decimated to its windows."""
+    rows = S.transform(V.samples(spark, sf_dir).filter("ch = 'price'"), [0.1, 0.25], 16, 8)
+    return rows.groupBy("rec", "freq").agg(F.count("*").alias("n"), F.round(F.avg(F.hypot("re", "im")), 4).alias("envelope"))
+
+
+@query("SELECT rec, ch, freq, round(re * re + im * im, 8) AS power, round(ln(greatest(re * re + im * im, 1e-12)), 6) log_power FROM fx_tfr")
+def x12_complex_power(spark, sf_dir):
+    p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    return V.tfr(spark, sf_dir).select("rec", "ch", "freq", F.round(p, 8).alias("power"), F.round(F.log(F.greatest(p, F.lit(1e-12))), 6).alias("log_power"))

@@ -228,3 +228,23 @@ def j18_match_recordings(spark, sf_dir):
     # the tolerance is far below the grid of durations: equal cells and their neighbours make it an equi-join
     a = a.withColumn("cell", F.explode(F.sequence(F.col("n") - 1, F.col("n") + 1)))
     return a.join(b, (a["k"] == b["k"]) & (F.col("cell") == F.col("m"))).filter("abs(n - m) <= 1e-9 AND a_rec < b_rec").select("a_rec", "b_rec")
+
+
+@query("SELECT rec, 'bins' AS source, label, b0::DOUBLE s, b1::DOUBLE e FROM fx_anns UNION ALL SELECT rec, 'seconds', label, round(s, 3), round(e, 3) FROM fx_ivals")
+def u2_union_of_sources(spark, sf_dir):
+    bins = V.anns(spark, sf_dir).select("rec", F.lit("bins").alias("source"), "label", F.col("b0").cast("double").alias("s"), F.col("b1").cast("double").alias("e"))
+    return bins.unionByName(V.ivals(spark, sf_dir).select("rec", F.lit("seconds").alias("source"), "label", R3("s").alias("s"), R3("e").alias("e")))
+
+
+@query("SELECT rec, ch, round(t - 86400, 3) t, v FROM fx_events WHERE t BETWEEN 86400 AND 1296000")
+def p20_crop(spark, sf_dir):
+    return V.events(spark, sf_dir).filter("t BETWEEN 86400 AND 1296000").select("rec", "ch", R3(F.col("t") - 86_400).alias("t"), "v")
+
+
+@query(f"WITH {_SIDED}, c(ch) AS (VALUES ('LFPL01'), ('LFPL12'), ('LFPR01'), ('LFPR23')) SELECT rec, ch, count(*) n FROM sided JOIN c ON label LIKE 'BAD%' AND ch LIKE substr(label, 5) || '%' GROUP BY ALL")
+def p13_artifacts_of_channels(spark, sf_dir):
+    """Labels and channels share a name prefix: every prefix of a channel is a key, so the join is by equality."""
+    chans = spark.createDataFrame([(c,) for c in ("LFPL01", "LFPL12", "LFPR01", "LFPR23")], "ch string")
+    keys = chans.withColumn("key", F.explode(F.expr("transform(sequence(4, length(ch)), n -> left(ch, n))")))
+    marks = _sided(spark, sf_dir).filter("label LIKE 'BAD%'").select("rec", F.substring("label", 5, 20).alias("key"))
+    return marks.join(F.broadcast(keys), "key").groupBy("rec", "ch").agg(F.count("*").alias("n"))
