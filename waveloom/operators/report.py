@@ -40,7 +40,7 @@ def balanced_accuracy(conf: DataFrame, keys: list[str] | None = None, adjusted:
     keys = keys or []
     recall = conf.groupBy(*keys, "y").agg((F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"))
     out = recall.groupBy(*keys).agg(F.avg("r").alias("bacc"), F.count("*").alias("k"))
-    value = (F.col("bacc") - 1 / F.col("k")) / (1 - 1 / F.col("k")) if adjusted else F.col("bacc")
+    value = F.try_divide(F.col("bacc") - 1 / F.col("k"), 1 - 1 / F.col("k")) if adjusted else F.col("bacc")
     return out.select(*keys, value.alias("bacc"))
 
 

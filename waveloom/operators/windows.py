@@ -14,22 +14,19 @@ def moments(df: DataFrame, keys: list[str], columns: list[str], window: int, ski
 
     Two levels: each block of `skip` bins is aggregated once, then window/skip neighbouring blocks are
     put together, so that no sample is copied into the windows that share it.  Blocks keep their mean
-    and squared deviations; sums of large squares never meet.
+    and squared deviations, and means are taken relative to the series' mean: sums of large squares never meet.
     """
     assert window % skip == 0
     blocks = df.groupBy(*keys, F.floor(F.col("bin") / skip).alias("blk"))
     made = blocks.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a_{c}") for c in columns], *[F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)).alias(f"q_{c}") for c in columns])
-    frame = W.partitionBy(*keys).orderBy("blk").rowsBetween(0, window // skip - 1)
-    total = F.sum("n").over(frame)
-    out = made.select(*keys, "blk", total.alias("n"), *[F.sum(F.col("n") * F.col(f"a_{c}")).over(frame).alias(f"s_{c}") for c in columns], *[F.collect_list(F.struct("n", F.col(f"a_{c}").alias("a"), F.col(f"q_{c}").alias("q"))).over(frame).alias(f"b_{c}") for c in columns])
-    full = out.filter(F.col("n") == window)
-    means = [(F.col(f"s_{c}") / window).alias(f"mean_{c}") for c in columns]
-
-    def spread(c: str) -> Column:
-        mean = F.col(f"s_{c}") / window
-        return F.aggregate(f"b_{c}", F.lit(0.0), lambda acc, b: acc + b["q"] + b["n"] * (b["a"] - mean) * (b["a"] - mean)).alias(f"m2_{c}")
-
-    return full.select(*keys, F.col("blk").alias("widx"), "n", *means, *map(spread, columns))
+    series, frame = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("blk").rowsBetween(0, window // skip - 1)
+    made = made.withColumns({f"r_{c}": F.sum(F.col("n") * F.col(f"a_{c}")).over(series) / F.sum("n").over(series) for c in columns})
+    n, d = F.col("n"), {c: F.col(f"a_{c}") - F.col(f"r_{c}") for c in columns}
+    sums = {"t": F.sum("n").over(frame)} | {f"s_{c}": F.sum(n * d[c]).over(frame) for c in columns} | {f"p_{c}": F.sum(F.col(f"q_{c}") + n * d[c] * d[c]).over(frame) for c in columns}
+    full = made.withColumns(sums).filter(F.col("t") == window)
+    means = [(F.col(f"r_{c}") + F.col(f"s_{c}") / window).alias(f"mean_{c}") for c in columns]
+    spread = [F.greatest(F.lit(0.0), F.col(f"p_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}") / window).alias(f"m2_{c}") for c in columns]
+    return full.select(*keys, F.col("blk").alias("widx"), F.col("t").alias("n"), *means, *spread)
 
 
 def differences(df: DataFrame, keys: list[str], dt: float) -> DataFrame:

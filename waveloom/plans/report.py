@@ -34,7 +34,7 @@ def a21_class_metrics(spark, sf_dir):
     return m.select("y", "tp", "fn", "fp", "tn", *[R8(c).alias(c) for c in ("sens", "spec", "prec", "f1")])
 
 
-@query("WITH r AS (SELECT id % 4 fold, y, avg((y = yhat)::INT) r FROM fx_pred GROUP BY ALL) SELECT fold, round(avg(r), 8) bacc, round((avg(r) - 1 / count(*)) / (1 - 1 / count(*)), 8) adjusted FROM r GROUP BY fold")
+@query("WITH r AS (SELECT id % 4 fold, y, avg((y = yhat)::INT) r FROM fx_pred GROUP BY ALL) SELECT fold, round(avg(r), 8) bacc, round((avg(r) - 1 / count(*)) / nullif(1 - 1 / count(*), 0), 8) adjusted FROM r GROUP BY fold")
 def a23_balanced_accuracy(spark, sf_dir):
     conf = R.confusion(V.pred(spark, sf_dir).withColumn("fold", F.col("id") % 4), ["fold"])
     adjusted = R.balanced_accuracy(conf, ["fold"], True).withColumnRenamed("bacc", "adjusted")
