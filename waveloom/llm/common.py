@@ -6,7 +6,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 #: Characters of text that a Python helper works on at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +61,18 @@ def without(schema: T.StructType, names: list[str]) -> list[str]:
     return [f.name for f in schema.fields if f.name.lower() not in hidden]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive slices of `batch` with about SLICE_CHARS characters of text; null texts are empty."""
-    texts = ["" if t is None else t for t in batch.column(column).to_pylist()]
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_CHARS:
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive slices of `batch` with about `chars` characters of text; null texts are empty."""
+    column_ = batch.column(column)
+    sizes = pc.fill_null(pc.utf8_length(column_), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        # the texts of one slice at a time become Python strings
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + chars, side="right")))
+        part = batch.slice(begin, end - begin)
+        yield part, ["" if t is None else t for t in part.column(column).to_pylist()]
+        begin = end
 
 
 def map_texts(
@@ -89,7 +92,7 @@ def map_texts(
     kept = [n for n in without(df.schema, names) if keep is None or n in keep]
     out = T.StructType([df.schema[n] for n in kept] + added.fields)
     arrow = arrow_schema(added)
-    alias = "__text__"
+    alias = column if column in kept else "__text__"  # a text that stays moves once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -100,7 +103,7 @@ def map_texts(
                 columns += [v if isinstance(v := result[f.name], pa.Array) else pa.array(v, f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    source = df.select(*[F.col(f"`{n}`") for n in kept], F.col(f"`{column}`").alias(alias))
+    source = df.select(*[F.col(f"`{n}`") for n in kept], *([] if alias in kept else [F.col(f"`{column}`").alias(alias)]))
     return source.mapInArrow(run, out)
 
 

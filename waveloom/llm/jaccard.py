@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -35,7 +36,9 @@ WORDS = 5
 #: A pair links when DEN * |x & y| >= NUM * |x | y|.
 NUM, DEN = 75, 100
 #: Shingles that one task sorts; index rows in one group; documents in a group of documents.
-SHINGLES, ENTRIES, DOCS = 4_000_000, 400_000, 4000
+SHINGLES, ENTRIES, DOCS = 1_500_000, 400_000, 2500
+#: Characters whose words are hashed at once.
+CHARS = 1_000_000
 #: Sets of one index list that are compared at once.
 LIST = 4096
 
@@ -47,7 +50,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n modulo 2**64."""
     p = np.full(n + 1, base & (2**64 - 1), np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
@@ -66,8 +71,11 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.append(True, space[:-1]))
     end = np.flatnonzero(space & np.append(False, ~space[:-1]))
-    power, back = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 2**64), len(data))
-    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+    room = -(-len(data) // CHARS) * CHARS  # few lengths, so that the tables are kept
+    power, back = _powers(_BASE, room), _powers(pow(_BASE, -1, 2**64), room)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
     word = _mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _ODD)
     doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
     n_words = np.bincount(doc, minlength=len(texts))
@@ -104,7 +112,7 @@ def sets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", CHARS):
                 keys, lens = shingles(texts)
                 sigs = [_signature(k) if len(k) else None for k in _split(keys, lens)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(sigs, pa.int64())], names=schema.names)
@@ -132,7 +140,7 @@ def _dealt(docs: DataFrame, parts: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task count once
         for batch in batches:
-            for _, texts in slices(batch, "text"):
+            for _, texts in slices(batch, "text", CHARS):
                 keys, lens = shingles(texts)
                 cut = _split(keys, lens)
                 sigs = [_signature(k) if len(k) else None for k in cut]
