@@ -140,3 +140,24 @@ def test_discriminant_separates(spark):
     df = spark.createDataFrame(rows, "key int, y int, v array<double>")
     got = L.scored(df, "v", L.discriminant(df, "v", "y"))
     assert got.filter("y = yhat").count() > 270
+
+
+def test_smoother_does_not_depend_on_chunks(spark):
+    from waveloom.operators.smoothing import _smooth, kalman
+
+    rnd = random.Random(8)
+    v = [i / 10 + rnd.gauss(0, 1) for i in range(400)]
+    whole = _smooth(v, 0.01, 1.0)
+    got = [r.v for r in kalman(series(spark, {"a": v}), ["rec", "ch"], 0.01, 1.0, size=64, halo=100).orderBy("bin").collect()]
+    assert got == pytest.approx(whole, abs=1e-3)
+    rough = sum((a - b) ** 2 for a, b in zip(v[1:], v))
+    assert sum((a - b) ** 2 for a, b in zip(whole[1:], whole)) < rough / 10
+
+
+def test_common_patterns_find_the_loud_channel(spark):
+    rnd = random.Random(4)
+    rows = [(i, i % 2, [rnd.gauss(0, 5 if i % 2 == 0 else 1), rnd.gauss(0, 1), rnd.gauss(0, 1 if i % 2 == 0 else 5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "key int, y int, v array<double>")
+    (low, w0), (high, w1) = L.common_patterns(df, "v", "y", 1)
+    assert low < 0.2 and high > 0.8
+    assert max(range(3), key=lambda i: abs(w1[i])) == 0 and max(range(3), key=lambda i: abs(w0[i])) == 2

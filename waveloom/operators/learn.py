@@ -197,3 +197,32 @@ def additive(df: DataFrame, column: str, y: str, bins: int = 8, rounds: int = 2,
         step = binned.join(fitted, "key").groupBy("feat", "bin").agg((F.avg(F.col(y) - F.lit(mean) - F.col("f")) * rate / d).alias("step"))
         shape = shape.join(step, ["feat", "bin"]).select("feat", "bin", (F.col("value") + F.col("step")).alias("value"))
     return shape
+
+
+def common_patterns(df: DataFrame, column: str, y: str, k: int) -> list[tuple[float, list[float]]]:
+    """(share of the first class's power, weights) of the 2k spatial filters that tell two classes best apart."""
+    covs = {}
+    for c in sorted(r[0] for r in df.select(y).distinct().collect())[:2]:  # two classes
+        some = vectors(df.filter(F.col(y) == c), column)
+        std = some.select(Summarizer.std(F.col("features"))).first()[0].toArray()
+        covs[c] = np.nan_to_num(Correlation.corr(some, "features").first()[0].toArray()) * np.outer(std, std)
+    one, two = covs.values()
+    values, axes = np.linalg.eigh(one + two)
+    white = axes / np.sqrt(np.maximum(values, 1e-12))
+    shares, turn = np.linalg.eigh(white.T @ one @ white)
+    filters = (white @ turn).T
+    picked = [*range(k), *range(len(shares) - k, len(shares))]
+    return [(float(shares[i]), filters[i].tolist()) for i in picked]
+
+
+def grid_search(df: DataFrame, column: str, y: str, grid: list[float], k: int = 3) -> DataFrame:
+    """reg, key, fold, y, yhat for each regularisation: cross-validated predictions of every grid point."""
+    ready = vectors(folds(df, F.col(y), "key", k), column).withColumn("label", F.col(y).cast("double"))
+    out = None
+    for f in range(k):
+        train, test = ready.filter(F.col("fold") != f), ready.filter(F.col("fold") == f)
+        for reg in grid:
+            part = LogisticRegression(regParam=reg, maxIter=20).fit(train).transform(test)
+            part = part.select(F.lit(reg).alias("reg"), "key", "fold", y, F.col("prediction").cast("int").alias("yhat"))
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -193,3 +193,19 @@ def m14_sufficient_features(spark, sf_dir):
         one = L.scored(some, "v", L.discriminant(some, "v", "y")).select(F.lit(n).alias("n_features"), "y", "yhat")
         out = one if out is None else out.unionByName(one)
     return R.balanced_accuracy(R.confusion(out, ["n_features"]), ["n_features"])
+
+
+@query()
+def m23_common_patterns(spark, sf_dir):
+    """Power of every vector along the filters that tell the classes apart."""
+    df = rows(spark, sf_dir)
+    filters = L.common_patterns(df, "embedding", "y", 2)
+    parts = L.contributions(df, "embedding", {i: (w, 0.0) for i, (_, w) in enumerate(filters)})
+    score = parts.groupBy("key", F.col("class").alias("comp")).agg(F.sum("part").alias("s"))
+    return score.select("key", "comp", F.round(F.col("s") * F.col("s"), 8).alias("power"))
+
+
+@query()
+def m13_grid_search(spark, sf_dir):
+    pred = L.grid_search(rows(spark, sf_dir), "embedding", "y", [0.01, 0.3], 2)
+    return R.balanced_accuracy(R.confusion(pred, ["reg"]), ["reg"])

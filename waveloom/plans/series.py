@@ -420,3 +420,11 @@ def w19_detect_activity(spark, sf_dir):
     over = e.join(mean, RC).select("rec", "ch", "bin", (F.col("z") / F.col("a")).alias("v"))
     runs = I.active(over, RC, 1.25, 3, 5)
     return I.union(runs.select("rec", F.col("b0").alias("s"), F.col("b1").alias("e")), ["rec"]).withColumnsRenamed({"s": "b0", "e": "b1"})
+
+
+@query()
+def w15_kalman(spark, sf_dir):
+    from ..operators.smoothing import kalman
+
+    rows = V.samples(spark, sf_dir).filter("ch = 'price'")
+    return kalman(rows, RC, 0.01, 1.0).select("rec", "ch", "bin", F.round("v", 4).alias("v"))
