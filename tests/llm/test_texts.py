@@ -204,6 +204,7 @@ CASES = [
     (page('<div class="cookie-notice">c</div><main><p>x</p><aside>s</aside><form><p>f</p></form><div id="comments"><p>r</p></div></main>'), "x"),
     (page('<article><p>short</p></article><article><p>the longer one</p></article>'), "the longer one"),
     (page("<div><p>no article here</p></div><style>p{}</style><p>two &lt; three</p>"), "no article here\ntwo < three"),
+    (page('<div class="content has-sidebar"><p>stays</p><div id="cookieConsent">c</div><div class="adSlot"><p>ad</p></div><section class="reader-comments"><p>r</p></section><div class="topNav">n</div></div>'), "stays"),
     ("", ""),
     (None, ""),
     ("just text &eacute;", "just text é"),

@@ -45,15 +45,17 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar ad ads adbox advert adverts advertisement"
     " sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription"
     " signup login comment comments commentlist disqus replies respond related recommended share sharing social widget pagination pager"
-    " skip copyright toolbar".split()
+    " skip copyright toolbar adsense adslot advertising cookiebar cookiebanner cookieconsent sidenav topnav subnav notification".split()
 )
+#: A class such as has-sidebar or no-comments speaks of the page, not of the element.
+MODIFIERS = frozenset("has no with without is not".split())
 CONTAINER = frozenset("div section ul ol dl table figure details center".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -73,15 +75,21 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _marked(name: str) -> bool:
+    parts = [p.lower() for p in _NAME.findall(name)]
+    return bool(parts) and parts[0] not in MODIFIERS and not (MARKS.isdisjoint(parts) and name.lower() not in MARKS)
+
+
 def _furniture(tag: str, attrs: str) -> bool:
     if tag in FURNITURE:
         return True
     if tag in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(_NAME.findall(value)):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id") and any(_marked(c) for c in value.split()):
             return True
+        value = value.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
