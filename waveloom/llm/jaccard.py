@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, store
+from .common import discard, slices, store
 from .graph import components
 
 WORDS = 5
@@ -153,7 +153,7 @@ def _dealt(docs: DataFrame, parts: int, text: str) -> DataFrame:
                     continue
                 keys, n = np.concatenate([cut[i] for i in use]), lens[use]
                 of = np.repeat(np.arange(len(use)), n)
-                part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int32) if parts <= 1 << 14 else (_mix(keys) % np.uint64(parts)).astype(np.int32)
+                part = ((keys >> np.uint64(36)) % np.uint64(parts)).astype(np.int32)  # 28 bits, of which the key keeps 12
                 order = np.argsort(part, kind="stable")
                 keys, of, part = keys[order], of[order], part[order]
                 sig = np.array([sigs[i] for i in use], np.int64)
@@ -203,8 +203,8 @@ def _counted(groups: int):
         df = np.empty(len(keys), np.int32)
         df[order] = np.repeat(np.diff(np.append(edge, len(keys))), np.diff(np.append(edge, len(keys))))
         shared = df > 1
-        # the part is in the key again: 48 bits alone would mix parts
-        keys, of, df = keys[shared] | np.uint64(part) << np.uint64(48), of[shared], df[shared]
+        # 48 bits alone would mix parts: the key becomes a hash of both
+        keys, of, df = _mix(keys[shared] + np.uint64(part) * _ODD), of[shared], df[shared]
         group = (sigs.astype(np.uint64) % np.uint64(groups)).astype(np.int64)[of]
         order = np.argsort(group, kind="stable")
         keys, of, df, group = keys[order], of[order], df[order], group[order]
@@ -261,8 +261,7 @@ def linkable(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     size = known.filter("sig is not null").groupBy("sig").agg(F.max("n_shingles").alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
     if not size["sets"]:
         return docs.sparkSession.createDataFrame([], "sig long, n long, alone long, keys binary")
-    parts, groups = min(1 << 14, -(-size["n"] // SHINGLES)), -(-size["sets"] // DOCS)
-    # more parts than that would need longer keys; their groups grow instead
+    parts, groups = -(-size["n"] // SHINGLES), -(-size["sets"] // DOCS)
     counted = _dealt(docs, parts, text).groupBy("part").applyInArrow(_counted(groups), ", ".join(f"{c} {'long' if c == 'grp' else 'binary'}" for c in _BACK))
     return counted.groupBy("grp").applyInArrow(_ordered, "sig long, n long, alone long, keys binary")
 
@@ -344,8 +343,9 @@ def _pairs(table: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(out[:, 0]), "y": pa.array(out[:, 1])})
 
 
-def links(sets_: DataFrame) -> DataFrame:
-    """Enough verified links (a, b) between sets for their connected components: no class is left unjoined."""
+def links(sets_: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Enough verified links (a, b) between sets for their connected components (no class is left unjoined),
+    and the stored tables that they are read from."""
     spark = sets_.sparkSession
     index = store(entries(sets_), "jaccard-index")
     lists = index.groupBy("key").agg(F.min_by(F.struct("sig", "n", "i"), F.struct("alone", "sig")).alias("leader"), F.count("*").alias("many"))
@@ -374,7 +374,7 @@ def links(sets_: DataFrame) -> DataFrame:
     open_ = open_.select("g", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "key", "sig", "n", "i", "cls", "block", "both")
     more = open_.groupBy("g", "a", "b").applyInArrow(_pairs, "x long, y long").distinct()
     second = _overlaps(more, sets_).filter(_reached()).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return linked.unionByName(second)
+    return linked.unionByName(second), [index, first]
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,9 +382,13 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     known = store(sets(docs, id, text), "jaccard-sets")
     able = store(linkable(docs, known, text), "jaccard-linkable")
     _release(docs.sparkSession)
-    joined = components(links(able))
+    edges, used = links(able)
+    joined = components(edges)
+    for table in (able, *used):
+        discard(table)
     rooted = known.join(joined, known["sig"] == joined["node"], "left").withColumn("root", F.coalesce("component_id", "sig")).select("doc_id", "n_shingles", "root")
-    heads = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("head"))
+    # stored, so that the join below stands alone and Spark can split a class that holds many documents
+    heads = store(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("head")), "jaccard-heads")
     return rooted.join(heads, "root", "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
 
 
