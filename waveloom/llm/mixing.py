@@ -96,6 +96,11 @@ def _placed(points: DataFrame, point: str, ranges: DataFrame, scale: float) -> D
     return joined.filter((F.col(point) >= F.col("lo")) & (F.col(point) < F.col("hi"))).drop("__cell")
 
 
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """0..n-1 in partitions of at most a million."""
+    return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, math.ceil(n / 1_000_000)))
+
+
 def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """One row for each slot of the mix: shard, src, block.  `sources` is the stored result of targets()."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -108,7 +113,7 @@ def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard
     in_order = W.orderBy("src").rowsBetween(W.unboundedPreceding, 0)
     ranges = plan.withColumn("hi", F.sum("odd").over(in_order)).withColumn("lo", F.col("hi") - F.col("odd")).select("src", "lo", "hi")
     draws = (
-        spark.range(shards)
+        _numbers(spark, shards)
         .select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(max(0, round(odd))))).alias("n"))
         .withColumn("u", _uniform(F.lit(seed), "shard", "n") * F.lit(odd))
         if round(odd)
@@ -121,7 +126,7 @@ def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard
     # the fixed slots of all sources stand in one row of numbers
     ranges = sized.withColumn("hi", F.sum("fixed").over(in_order)).withColumn("lo", F.col("hi") - F.col("fixed"))
     fixed = ranges.agg(F.max("hi")).first()[0] or 0
-    numbers = spark.range(fixed).withColumnRenamed("id", "at")
+    numbers = _numbers(spark, fixed).withColumnRenamed("id", "at")
     taken = _placed(numbers, "at", ranges.select("src", "blocks", "lo", "hi"), float(max(fixed, 1)))
     taken = taken.select((F.col("at") - F.col("lo")).alias("nth"), "src", "blocks").withColumn("shard", F.pmod("nth", F.lit(shards)))
     late = running(drawn, "src", "one", ["shard", "n"], "after").join(sized, "src")
