@@ -127,7 +127,7 @@ def fit(docs: DataFrame) -> dict:
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "features_", "features", minTF=1.0)
     ready = counted.transform(rows)
     half = F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(2)) == 0
-    settings = dict(regParam=1e-3, maxIter=60, weightCol="weight")
+    settings = dict(regParam=1e-3, maxIter=25, weightCol="weight")
 
     def linear(data: DataFrame) -> tuple[dict, list]:
         model = LogisticRegression(family="multinomial", **settings).fit(data)
