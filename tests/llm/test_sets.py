@@ -102,6 +102,21 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.classes(empty(docs)).count() == 0
 
 
+def test_deduplicated_decides_by_row(spark):
+    rnd = random.Random(12)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    # repeated rows, null ids alone and beside others, one id in two classes, rows without shingles
+    rows = [(1, a), (1, a), (2, a), (3, b), (None, b), (None, c), (None, c), (3, a), (4, d), (1, d), (None, None), (None, ""), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = [(1, a), (3, b), (None, c), (1, d), (None, None), (None, ""), (5, None), (5, None)]
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    docs = documents(spark)
+    found, _ = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+    assert jaccard.deduplicated(docs).count() == sum(found[i] == i for i in found)
+
+
 # -- vectors -----------------------------------------------------------------------------------------
 
 

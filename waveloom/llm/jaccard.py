@@ -41,6 +41,8 @@ SHINGLES, ENTRIES, DOCS = 1_500_000, 400_000, 2500
 CHARS = 1_000_000
 #: Sets of one index list that are compared at once.
 LIST = 4096
+#: The number of a stored row.
+_ROW = "__row"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,18 +108,18 @@ def _split(values: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def sets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, sig (equal for equal sets; null without shingles)."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType())])
+def sets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, sig (equal for equal sets; null without shingles), and the columns of `keep`."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text", CHARS):
                 keys, lens = shingles(texts)
                 sigs = [_signature(k) if len(k) else None for k in _split(keys, lens)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(sigs, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(sigs, pa.int64()), *map(part.column, keep)], names=schema.names)
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def _six(keys: np.ndarray) -> bytes:
@@ -176,7 +178,7 @@ def _packed_schema() -> pa.Schema:
 
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])[: len(sorted_values)])
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_values)], strict=True):
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_values)][: len(edges)], strict=True):  # none of no values
         yield int(sorted_values[a]), a, b
 
 
@@ -377,23 +379,32 @@ def links(sets_: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return linked.unionByName(second), [index, first]
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
-    known = store(sets(docs, id, text), "jaccard-sets")
+def _rooted(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, root (one for each class; null without shingles) and the columns of `keep` for every row."""
+    known = store(sets(docs, id, text, keep), "jaccard-sets")
     able = store(linkable(docs, known, text), "jaccard-linkable")
     _release(docs.sparkSession)
     edges, used = links(able)
     joined = components(edges)
     for table in (able, *used):
         discard(table)
-    rooted = known.join(joined, known["sig"] == joined["node"], "left").withColumn("root", F.coalesce("component_id", "sig")).select("doc_id", "n_shingles", "root")
+    return known.join(joined, known["sig"] == joined["node"], "left").withColumn("root", F.coalesce("component_id", "sig")).select("doc_id", "n_shingles", "root", *keep)
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    rooted = _rooted(docs, id, text)
     # stored, so that the join below stands alone and Spark can split a class that holds many documents
     heads = store(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("head")), "jaccard-heads")
     return rooted.join(heads, "root", "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class stays (of rows with one doc_id, one); all documents without shingles stay."""
-    keep = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.select(docs.columns)
+    """One row of each class stays, that with the smallest doc_id (of rows with one doc_id, one; a null id
+    comes last); all rows without shingles stay."""
+    # stored, so that a row keeps its number
+    rows = store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "jaccard-rows")
+    rooted = store(_rooted(rows, keep=(_ROW,)), "jaccard-roots")
+    first = F.min_by(_ROW, F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)).alias(_ROW)
+    keep = rooted.filter("root is not null").groupBy("root").agg(first).select(_ROW).unionByName(rooted.filter("root is null").select(_ROW))
+    return rows.join(keep, _ROW, "left_semi").select(docs.columns)
