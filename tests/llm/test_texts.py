@@ -101,6 +101,18 @@ def test_pii_added_spans():
     assert not [s for s in pii.find("IBAN DE89370400440532013001") if s["kind"] == "iban"]
 
 
+def test_pii_cards_inside_longer_runs(spark):
+    spans = lambda text: [(s["start"], s["end"], s["base"]) for s in pii.find(text) if s["kind"] == "card"]
+    assert spans("4111 1111 1111 1111 123") == [(0, 19, False)]  # 19 digits
+    assert spans("4111-1111-1111-1111 1") == [(0, 19, False)]
+    assert spans("12 4111111111111111") == [(3, 19, False)]
+    pairs, single = "41 11 11 11 11 11 11 11", " ".join("4111111111111111")
+    assert any(a <= 0 and b >= 23 for a, b, _ in spans(pairs + " 99 98"))
+    assert any(a <= 2 and b >= 33 for a, b, _ in spans("7 " + single + " 2 5 8 0"))  # a range from the 7 on is valid by chance
+    docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111 123")], "doc_id int, text string")
+    assert pii.mask(docs).first().text == "card <CARD> 123"
+
+
 def test_pii_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "AB12" + "X" * 200_000):
         pii.find(text)

@@ -88,27 +88,27 @@ _DROP = {ord(c): None for c in " -().+"}
 
 
 def _cards(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Base spans, and cards found as neighbouring groups inside longer runs that fail as a whole."""
+    """Base spans, and cards found as neighbouring groups inside longer runs that fail as a whole: each valid
+    range of groups that lies in no other, so that a chance hit hides no card (ranges may overlap)."""
     base, more = [], []
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
             base.append(m.span())
-        elif len(digits) > 19:
+        elif len(digits) > 16:
             groups = [g.span() for g in re.finditer("[0-9]+", m[0])]
-            i = 0
-            while i < len(groups):
-                size, hit = 0, None
-                for j in range(i, min(i + 5, len(groups))):
-                    size += groups[j][1] - groups[j][0]
-                    if 16 <= size <= 19 and luhn(_digits(m[0][groups[i][0] : groups[j][1]])):
-                        hit = j
+            last = 0
+            for i, (start, _) in enumerate(groups):
+                size, hit = 0, 0
+                for a, b in groups[i : i + 19]:  # a group has a digit at least
+                    size += b - a
+                    if size > 19:
                         break
-                if hit is None:
-                    i += 1
-                else:
-                    more.append((m.start() + groups[i][0], m.start() + groups[hit][1]))
-                    i = hit + 1
+                    if size >= 16 and luhn(_digits(m[0][start:b])):
+                        hit = b
+                if hit > last:
+                    more.append((m.start() + start, m.start() + hit))
+                    last = hit
     return base, more
 
 
