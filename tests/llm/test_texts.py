@@ -198,6 +198,16 @@ def test_licences(spark):
     assert licences.contract(empty(docs)).count() == 0
 
 
+def test_every_template_is_found(spark):
+    rnd = random.Random(8)
+    notices = [(family, text) for family, texts in licences.TEMPLATES.items() for text in texts]
+    notices += [("GPL", "GPL-3.0-or-later"), ("Apache", "Apache-2.0"), ("CC", "CC BY 4.0")]
+    rows = [(i, prose(rnd, 30) + "\n" + text + "\n" + prose(rnd, 20)) for i, (_, text) in enumerate(notices)]
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(notices)]
+    got = {r.doc_id: r.family for r in licences.contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [(i, got[i], notices[i % 1000]) for i in got if got[i] != notices[i % 1000][0]]
+
+
 def test_licence_paths_are_native(spark):
     docs = documents(spark).select("doc_id", "text")
     plan = licences.contract(docs)._jdf.queryExecution().executedPlan().toString()

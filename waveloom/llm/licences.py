@@ -13,6 +13,7 @@ their result; columns of the input other than id and text are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -69,7 +70,7 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [*sorted(TEMPLATES), "unknown"]
-#: Every triple that can confirm holds one of these; a text without any has no confirmed paragraph.
+#: Words of the law: a paragraph's triples with one of them are also compared on their own.  They choose nothing beforehand.
 CUES = ("licen", "copyright", "reserved", "spdx", "permission", "permitted", "warrant", "redistribut", "mozilla", "creative", "waived")
 #: Bounds of the fit: texts and paragraphs of the corpus for the class 'unknown'.
 FIT_TEXTS, FIT_PARAGRAPHS = 400, 3000
@@ -96,6 +97,17 @@ def _has_cue(c: Column) -> Column:
     return c.rlike("(?i)" + "|".join(CUES))
 
 
+def _triples_of(text: str) -> set[str]:
+    found = re.findall(r"[^\W_]+", text.lower())
+    return {" ".join(found[i : i + 3]) for i in range(len(found) - 2)}
+
+
+def _held(tokens: str) -> Column:
+    """Whether the words hold any triple of a template: without one, nothing can be confirmed."""
+    known = sorted({t for texts in TEMPLATES.values() for text in texts for t in _triples_of(text)})
+    return F.arrays_overlap(ngrams(tokens, 3), F.array(*map(F.lit, known)))
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """family, template, words of each template: a small table of fixed size."""
     rows = [(family, k, text) for family, texts in sorted(TEMPLATES.items()) for k, text in enumerate(texts)]
@@ -117,8 +129,9 @@ def fit(docs: DataFrame) -> dict:
     vocabulary = sorted(r["f"] for r in known.select(F.explode(_features("words")).alias("f")).distinct().collect())  # bounded by TEMPLATES
     everyone = docs.select("doc_id").withColumn("any", F.lit(1))
     some = sampled_texts(docs, everyone, F.lit(True), FIT_TEXTS, "licences")
-    prose = some.select(F.explode(F.split("text", "\n")).alias("text")).filter(~_has_cue(F.col("text")) & (F.length("text") > 0))
-    prose = prose.orderBy(F.xxhash64("text"), "text").limit(FIT_PARAGRAPHS).select(F.lit("unknown").alias("family"), words(F.col("text")).alias("words"))
+    prose = some.select(F.inline(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text"), words(t).alias("words")))))
+    prose = prose.filter(~_has_cue(F.col("text")) & (F.length("text") > 0) & ~_held("words"))
+    prose = prose.orderBy(F.xxhash64("text"), "text").limit(FIT_PARAGRAPHS).select(F.lit("unknown").alias("family"), "words")
     # single words of the templates in other company are unknown as well
     loose = _crops(known).select(F.lit("unknown").alias("family"), F.filter("words", lambda w, i: i % 4 == 0).alias("words"))
     rows = _crops(known).withColumn("weight", F.lit(10.0)).unionByName(prose.withColumn("weight", F.lit(1.0))).unionByName(loose.withColumn("weight", F.lit(2.0)))
@@ -174,17 +187,18 @@ def scored(rows: DataFrame, weights: dict, intercepts: list, keep: list[str]) ->
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the input row), paragraph (its place), words: paragraphs that hold a cue."""
-    numbered = docs.select("doc_id", "text").filter(_has_cue(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    return each.filter(_has_cue(F.col("text"))).select("doc_id", "row", "paragraph", words(F.col("text")).alias("words"))
+    """doc_id, row (a number of the input row), paragraph (its place), words: paragraphs that hold a triple of a template."""
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    # words come out of the generator, so that no later step computes them again
+    each = numbered.select("doc_id", "row", F.posexplode(F.transform(F.split("text", "\n"), words)).alias("paragraph", "words"))
+    return each.filter(_held("words"))
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, row, paragraph, family, score, shared, confirmed for each paragraph that can name a licence.
 
-    shared: the largest part of a template's cue triples, or of the paragraph's, found in the other
-    (templates of one or two words count whole).
+    shared: the largest part of a template's triples, or of the paragraph's, found in the other; of all
+    triples or of those with a cue, whichever part is larger.
     """
     spark = docs.sparkSession
     model = fit(docs) if model is None else model
@@ -192,13 +206,18 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     predicted = scored(found, model["weights"], model["intercepts"], ["doc_id", "row", "paragraph"])
     margin = F.lit(model["slope"]) * F.col("margin") + F.lit(model["offset"])
     predicted = predicted.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin)))))
-    triples = lambda c: F.array_distinct(F.filter(ngrams(c, 3), _has_cue))
-    known = templates(spark).select("family", "template", triples("words").alias("all")).filter(F.size("all") > 0)
-    known = known.select("family", "template", F.size("all").alias("most"), F.explode("all").alias("triple"))
-    mine = found.select("doc_id", "row", "paragraph", triples("words").alias("all")).select("doc_id", "row", "paragraph", F.size("all").alias("own"), F.explode("all").alias("triple"))
-    shared = mine.join(F.broadcast(known), "triple").groupBy("doc_id", "row", "paragraph", "family", "template", "most", "own").agg(F.count("*").alias("n"))
-    shared = shared.groupBy("doc_id", "row", "paragraph", "family").agg(F.max(F.greatest(F.col("n") / F.col("most"), F.col("n") / F.col("own"))).alias("shared"))
-    both = predicted.join(shared.drop("doc_id"), ["row", "paragraph", "family"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    triples = lambda c: F.array_distinct(ngrams(c, 3))
+    cued = lambda c: F.size(F.filter(c, _has_cue))
+    known = templates(spark).select("family", "template", triples("words").alias("all"))
+    known = known.select("family", "template", F.size("all").alias("most"), cued("all").alias("most_cued"), F.explode("all").alias("triple"))
+    mine = found.select("row", "paragraph", triples("words").alias("all")).select("row", "paragraph", F.size("all").alias("own"), cued("all").alias("own_cued"), F.explode("all").alias("triple"))
+    # the table has a row for each triple of the templates
+    met = mine.join(F.broadcast(known), "triple").groupBy("row", "paragraph", "family", "template", "most", "own", "most_cued", "own_cued")
+    met = met.agg(F.count("*").alias("n"), F.count_if(_has_cue(F.col("triple"))).alias("n_cued"))
+    part = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
+    parts = [part("n", "most"), part("n", "own"), part("n_cued", "most_cued"), part("n_cued", "own_cued")]
+    shared = met.groupBy("row", "paragraph", "family").agg(F.max(F.greatest(*parts)).alias("shared"))
+    both = predicted.join(shared, ["row", "paragraph", "family"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     confirmed = (F.col("score") >= LEAST_SCORE) & (F.col("shared") >= LEAST_SHARED)
     return both.select("doc_id", "row", "paragraph", "family", "score", "shared", confirmed.alias("confirmed"))
 
