@@ -258,6 +258,16 @@ def test_site_templates_go_and_copies_stay(spark):
     assert got[200] == "Read our best stories of the week"
 
 
+def test_furniture_without_end_tags():
+    text = lambda body: html.Page(page(body)).main()[0]
+    assert text('<article><p class="ad">Buy<p>Story</p><p>more</article>') == ["Story", "more"]
+    assert text('<div><p class="ad">Buy</div><p>Story') == ["Story"]
+    assert text('<div><p class="ad">Buy<div>Story</div></div>') == ["Story"]
+    assert text('<ul><li class="share">A<li>B</ul><p>Story') == ["B", "Story"]
+    assert text('<ul><li class="share">A<ul><li>x<li>y</ul>z</ul><p>Story') == ["Story"]
+    assert text('<table><tr><td class="widget">w<td>B<tr><td class="widget">w</table><p>Story') == ["B", "Story"]
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html.Page(deep).main()[0] == ["x"]

@@ -149,6 +149,16 @@ class Page:
                             pass
                     elif tag in ("body", "html"):
                         skipped.clear()
+                    elif skipped[0] in _CLOSED_BY or skipped == ["p"]:
+                        # the end of an element around furniture whose own end tag was left out
+                        if any(self.elements[i][0] == tag for i in self._open[1:]):
+                            skipped.clear()
+                            pos = m.start()
+                elif self._implied(skipped, tag):
+                    # the end tag of the furniture was left out: this element stands beside it
+                    skipped.clear()
+                    pos = m.start()
+                    continue
                 elif tag == skipped[0] or tag in BLOCK and tag != "p" and tag not in _CLOSED_BY:
                     if not attrs.endswith("/") and tag not in VOID:
                         skipped.append(tag)
@@ -188,6 +198,15 @@ class Page:
             self._text.append(html[pos:])
         self._close(0)
 
+    @staticmethod
+    def _implied(skipped: list[str], tag: str) -> bool:
+        """Whether a start tag ends the furniture element, whose end tag may be left out, and all in it."""
+        first = skipped[0]
+        if first == "p":
+            return len(skipped) == 1 and tag in BLOCK
+        # inside a list or table of its own, the tag belongs there
+        return first in _CLOSED_BY.get(tag, ()) and not any(t in _SCOPE[tag] for t in skipped[1:])
+
     @staticmethod
     def _raw_end(html: str, tag: str, pos: int) -> int:
         m = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos)
