@@ -268,6 +268,13 @@ def test_furniture_without_end_tags():
     assert text('<table><tr><td class="widget">w<td>B<tr><td class="widget">w</table><p>Story') == ["B", "Story"]
 
 
+def test_main_keeps_what_stands_around_nested_articles():
+    text = lambda body: html.Page(page(body)).main()[0]
+    assert text("<main><p>the long story of the page</p><article>teaser</article></main>") == ["the long story of the page", "teaser"]
+    assert text("<main><article><p>one</article><article><p>two</article></main>") == ["one", "two"]
+    assert text("<main><p>the long story of the page</p></main><article>teaser</article>") == ["the long story of the page"]
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html.Page(deep).main()[0] == ["x"]

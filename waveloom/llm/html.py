@@ -49,7 +49,7 @@ MARKS = frozenset(
 )
 #: A class such as has-sidebar or no-comments speaks of the page, not of the element.
 MODIFIERS = frozenset("has no with without is not".split())
-CONTAINER = frozenset("div section ul ol dl table figure details center".split())
+CONTAINER = frozenset("article main div section ul ol dl table figure details center".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
@@ -234,14 +234,14 @@ class Page:
             at = self.elements[at][1]
 
     def main(self) -> tuple[list[str], list[list[int]]]:
-        """Blocks of the article (of the largest, if there are more; else of main; else of the page), and
-        for each the hashes of the elements around it that may be templates."""
+        """Blocks of the outermost article or main (of that with most text, if there are more; else of the page),
+        and for each the hashes of the elements around it that may be templates."""
         size: dict[int, int] = {}
         for text, at in self.blocks:
-            for e in self._above(at):
-                if self.elements[e][0] in ("article", "main"):
-                    size[e] = size.get(e, 0) + len(text)
-        best = max(size, key=lambda e: (self.elements[e][0] == "article", size[e], -e), default=0)
+            roots = [e for e in self._above(at) if self.elements[e][0] in ("article", "main")]
+            if roots:
+                size[roots[-1]] = size.get(roots[-1], 0) + len(text)
+        best = max(size, key=lambda e: (size[e], self.elements[e][0] == "article", -e), default=0)
         texts, around = [], []
         for text, at in self.blocks:
             chain = [*self._above(at)]
