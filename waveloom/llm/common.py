@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
 #: Characters of text that a Python helper works on at once.
 SLICE_CHARS = 2_000_000
 
@@ -24,15 +24,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: that of setCheckpointDir, else spark.checkpoint.dir.
+
+    Without either, a session whose executors are threads of the driver uses the machine's temporary
+    folder; any other raises, as its executors could not see each other's files.
+    """
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 def store(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage durably."""
+    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage durably.
+
+    Readers may be lazy, so the table goes with the application at the latest; :func:`discard` deletes it earlier.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
