@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,7 +225,7 @@ def page(body):
 CASES = [
     (page("<nav><ul><li>menu</ul></nav><article><h1>T &amp; U</h1><p>a \n b<br>c<p><b>d</p></article><footer>f</footer>"), "T & U\na b c\nd"),
     (page('<div class="cookie-notice">c</div><main><p>x</p><aside>s</aside><form><p>f</p></form><div id="comments"><p>r</p></div></main>'), "x"),
-    (page('<article><p>short</p></article><article><p>the longer one</p></article>'), "the longer one"),
+    (page('<article><p>short</p></article><article><p>the longer one</p></article>'), "short\nthe longer one"),
     (page("<div><p>no article here</p></div><style>p{}</style><p>two &lt; three</p>"), "no article here\ntwo < three"),
     (page('<div class="content has-sidebar"><p>stays</p><div id="cookieConsent">c</div><div class="adSlot"><p>ad</p></div><section class="reader-comments"><p>r</p></section><div class="topNav">n</div></div>'), "stays"),
     ("", ""),
@@ -268,11 +269,77 @@ def test_furniture_without_end_tags():
     assert text('<table><tr><td class="widget">w<td>B<tr><td class="widget">w</table><p>Story') == ["B", "Story"]
 
 
-def test_main_keeps_what_stands_around_nested_articles():
+def test_every_article_stays():
     text = lambda body: html.Page(page(body)).main()[0]
     assert text("<main><p>the long story of the page</p><article>teaser</article></main>") == ["the long story of the page", "teaser"]
     assert text("<main><article><p>one</article><article><p>two</article></main>") == ["one", "two"]
-    assert text("<main><p>the long story of the page</p></main><article>teaser</article>") == ["the long story of the page"]
+    assert text("<article>one</article><p>between</p><article>two, longer</article>") == ["one", "two, longer"]
+    assert text("<main><p>story</p></main><article>beside</article><aside><article>teaser</article></aside>") == ["story", "beside"]
+
+
+def test_class_words_inside_articles_do_not_remove_text():
+    text = lambda body: html.Page(page(body)).main()[0]
+    assert text('<article><div class="story-header"><h1>T</h1></div><p>a</p><section class="related-work"><h2>R</h2><p>b</p></section></article>') == ["T", "a", "R", "b"]
+    assert text('<article><header><h1>T</h1><p>by X</p></header><p>a</p><footer>f</footer></article>') == ["T", "by X", "a"]
+    assert text('<article><p>a</p><section class="reader-comments"><h2>C</h2><p>c</p></section><div class="share">s</div><div class="ad">x</div></article>') == ["a"]
+    assert text('<header><h1>Site</h1></header><article><p>a</p></article>') == ["a"]
+
+
+def test_omitted_end_tags_of_head_and_inline_furniture():
+    assert html.Page("<html><head><title>t</title><meta name=x><body><p>a</p></body></html>").main()[0] == ["a"]
+    assert html.Page("<div><button>x</div><p>more</p>").main()[0] == ["more"]
+
+
+def brute_templates(pages, least):
+    """Boxes to delete, counted one by one; a page is (host, [texts of its div boxes])."""
+    gone = set()
+    for host in {h for h, _ in pages}:
+        for box in {b for h, boxes in pages if h == host for b in boxes}:
+            around = Counter()
+            for h, boxes in pages:
+                if h == host and box in boxes:
+                    others = [b for b in boxes if b != box]
+                    around[max(others, key=lambda b: (len(b), -boxes.index(b))) if others else None] += 1
+            if len(around) >= least and 2 * max(around.values()) <= sum(around.values()):
+                gone.add((host, box))
+    return gone
+
+
+def test_templates_like_brute_force(spark):
+    rnd = random.Random(21)
+    pool = {h: [prose(rnd, rnd.randrange(3, 9)) + f" {h}{k}" for k in range(12)] for h in "ab"}
+    pages = []
+    for i in range(60):
+        h = rnd.choice("ab")
+        story = [prose(rnd, rnd.randrange(5, 30)) + f" {i}.{k}" for k in range(rnd.randrange(0, 4))]
+        boxes = list(dict.fromkeys([*story, *rnd.sample(pool[h], rnd.randrange(0, 5))]))
+        rnd.shuffle(boxes)
+        pages += [(h, boxes)] * rnd.choice([1, 1, 1, 6])
+    rows = [(i, f"https://{h}.example/{i}", page("".join(f"<div>{b}</div>" for b in boxes))) for i, (h, boxes) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.contract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    gone = brute_templates(pages, html.LEAST_PAGES)
+    assert len(gone) > 5
+    for i, (h, boxes) in enumerate(pages):
+        assert got[i] == "\n".join(b for b in boxes if (h, b) not in gone)
+
+
+def test_recurrence_inside_articles(spark):
+    rnd = random.Random(22)
+    promo, quote = '<div class="x7"><p>Read the best of the week</p></div>', "<p>a passage that articles quote</p>"
+    story = lambda i: f"<p>story {i} {prose(rnd, 20)}</p>"
+    rows = [(i, "http://a.example/", page(f"<article>{story(i)}{promo if i < 6 else ''}{quote if i < 6 else ''}</article>")) for i in range(20)]
+    # near copies: the same paragraphs around one that differs
+    same = [f"<p>shared {k} {prose(rnd, 30)}</p>" for k in range(6)]
+    rows += [(100 + i, "http://b.example/", page("<div>" + "".join([*same[:3], f"<p>own {i}</p>", *same[3:]]) + "</div>")) for i in range(10)]
+    # a weak mark inside an article goes where it recurs
+    rows += [(200 + i, "http://c.example/", page(f'<article>{story(i)}<div class="related-work"><p>see also</p></div></article>')) for i in range(2)]
+    rows += [(300, "http://d.example/", page(f'<article>{story(0)}<div class="related-work"><p>see also</p></div></article>'))]
+    got = {r.page_id: r for r in html.contract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("best of the week" in r.text for r in got.values())
+    assert all(("a passage that articles quote" in got[i].text) == (i < 6) for i in range(20))
+    assert all(got[100 + i].text.count("shared") == 6 and f"own {i}" in got[100 + i].text for i in range(10))
+    assert "see also" not in got[200].text and "see also" in got[300].text
+    assert got[200].n_templates == 1 and got[300].n_templates == 0
 
 
 def test_deep_and_broken_pages():

@@ -1,32 +1,41 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed once into blocks of text below elements.  Elements that HTML itself marks as
-furniture (menus, footers, forms, notices, comments ...) go at once.  What else recurs is found per
-site: every remaining element subtree is hashed, Spark counts on how many different pages of a host
-each hash stands, and subtrees that recur on many of them are deleted.
-
-Defined results: a null or empty page has the empty text; pages whose url is null share the host '';
-copies of a page count as one page of the host, so that copied articles are not taken for templates;
-paragraphs inside an explicit article are never taken for a template.  Repeated rows each get the
-same text; other columns are not passed on, so none can clash.
+Each page is parsed into elements and blocks of text.  Every element subtree is hashed, Spark counts on
+how many pages of a host each hash stands, and subtrees that recur on many of them go.  What HTML itself
+or a class name calls furniture (menus, footers, forms, notices, comments ...) needs fewer pages to count
+as recurring, and goes without recurring where nothing else can be meant, as on small sites.
+
+Counting: a page is a witness of a subtree by the longest block of it outside the subtree.  A subtree is
+a template if it has enough different witnesses (LEAST_PAGES; LEAST_MARKED if it is marked as furniture)
+and none of them stands for more than half of its pages; so neither copies nor near copies of an article
+make its own paragraphs a template.  Single paragraphs, headings and list items inside an explicit
+article or main must also stand on LEAST_SHARE of all pages of the host: a passage that articles quote
+stays.
+
+Defined results: a null or empty page has the empty text; pages whose url is null share the host ''; all
+outermost articles and mains of a page are kept, in page order; a page without any is taken whole, less
+its furniture and templates.  Repeated rows each get the same text; other columns are not passed on, so
+none can clash.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, slices, store
 
-#: A subtree is a template when it stands on so many different pages of its host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: Different pages of a host on which a subtree is a template; the same for one that is marked as furniture.
+LEAST_PAGES, LEAST_MARKED = 5, 2
+#: Share of a host's pages on which a single paragraph inside an article is a template.
+LEAST_SHARE = 0.5
 
 # Fixed values of HTML: element kinds by name.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,39 +44,42 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset(
-    "nav header footer aside form head script style noscript template iframe svg math canvas object audio video button select"
-    " option textarea title dialog menu input label fieldset xmp noembed noframes".split()
+HEAD = frozenset("title meta link script style base noscript template".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+#: Elements whose text is never a page's prose.
+EMBEDDED = frozenset(
+    "head style script noscript template iframe svg math canvas object audio video button select option textarea title input label xmp noembed noframes".split()
 )
+FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-#: Words in class or id names that mark furniture.
+#: Words in class or id names that mark furniture everywhere.
 MARKS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar ad ads adbox advert adverts advertisement"
-    " sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription"
-    " signup login comment comments commentlist disqus replies respond related recommended share sharing social widget pagination pager"
-    " skip copyright toolbar adsense adslot advertising cookiebar cookiebanner cookieconsent sidenav topnav subnav notification".split()
+    "nav navbar navigation breadcrumb breadcrumbs sidebar ad ads adbox advert adverts advertisement sponsor sponsored cookie cookies consent gdpr"
+    " newsletter subscribe subscription signup login comment comments commentlist disqus replies widget pagination pager toolbar adsense adslot"
+    " advertising cookiebar cookiebanner cookieconsent sidenav topnav subnav".split()
+)
+#: The same outside of articles; inside one (as in story-header or related-work) such a part must recur, unless the name has no other word.
+LOOSE = frozenset(
+    "menu footer header masthead topbar promo banner notice notices popup modal overlay respond related recommended share sharing social skip"
+    " copyright notification".split()
 )
 #: A class such as has-sidebar or no-comments speaks of the page, not of the element.
 MODIFIERS = frozenset("has no with without is not".split())
-CONTAINER = frozenset("article main div section ul ol dl table figure details center".split())
+ROOTS = ("article", "main")
+CONTAINER = frozenset("article main div section ul ol dl table figure details center menu".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
+#: How sure it is that an element is furniture: not marked, if it recurs, in any case.
+PLAIN, LIKELY, SURE = 0, 1, 2
+#: Kinds of subtrees, in the two low bits of their keys: any, a single paragraph inside an article, marked.
+ANY, PROSE, MARKED = 0, 1, 2
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
-_SPACE = re.compile(r"\s+")
-
-PARSED = T.StructType(
-    [
-        T.StructField("host", T.StringType()),
-        T.StructField("page", T.LongType()),
-        T.StructField("hashes", T.ArrayType(T.LongType())),
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("within", T.ArrayType(T.LongType()))]))),
-        T.StructField("text", T.StringType()),
-    ]
-)
 
 
 def host_of(url: str | None) -> str:
@@ -75,65 +87,86 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _marked(name: str) -> bool:
-    parts = [p.lower() for p in _NAME.findall(name)]
-    return bool(parts) and parts[0] not in MODIFIERS and not (MARKS.isdisjoint(parts) and name.lower() not in MARKS)
+def _named(name: str, inside: bool) -> int:
+    """What a class or id name says of an element."""
+    parts = [p.lower() for p in _NAME.findall(name)] if name.lower() not in MARKS | LOOSE else [name.lower()]
+    if not parts or parts[0] in MODIFIERS:
+        return PLAIN
+    if not MARKS.isdisjoint(parts) or LOOSE.issuperset(parts):
+        return SURE
+    return PLAIN if LOOSE.isdisjoint(parts) else LIKELY if inside else SURE
 
 
-def _furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if tag in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
-        return False
+def _furniture(tag: str, attrs: str, inside: bool) -> int:
+    """PLAIN, LIKELY or SURE; inside: the element stands in an article or main."""
+    if tag in FURNITURE or tag in EMBEDDED:
+        return SURE
+    if not attrs or tag in ("html", "body", *ROOTS) or not _TELLING.search(attrs):
+        return PLAIN
+    sure = PLAIN
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and any(_marked(c) for c in value.split()):
-            return True
+        if name in ("class", "id"):
+            sure = max([sure, *(_named(c, inside) for c in value.split())])
         value = value.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+            return SURE
+    return SURE if re.search(r"(?:^|\s)hidden(?:\s|$)", attrs) else sure
 
 
 def _hash(*parts: bytes) -> bytes:
-    return blake2b(b"\0".join(parts), digest_size=8).digest()
+    return xxhash.xxh3_64_digest(b"\0".join(parts))
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True)
 
 
 class Page:
-    """One parsed page: blocks of text, and the elements that they stand in.
+    """One parsed page: blocks of text (text, element), and the elements that they stand in.
 
-    elements: [tag, parent, whether it has text, hash parts, subtree hash]."""
+    For each element: tag, parent, mark, the outermost article or main around it (0: none), parts of its hash, hash."""
 
     def __init__(self, html: str):
-        self.elements: list[list] = [["#", -1, False, [], b""]]
+        self.tags, self.parents, self.marks, self.roots = ["#"], [-1], [PLAIN], [0]
+        self.parts: list[list[bytes]] = [[]]
+        self.hashes = [b""]
         self.blocks: list[tuple[str, int]] = []
-        self._open, self._text, self._skip = [0], [], 0
+        self._open, self._text = [0], []
         self._parse(html)
+        for at in range(1, len(self.tags)):  # what stands in furniture is furniture
+            if self.marks[self.parents[at]] == SURE:
+                self.marks[at] = SURE
 
     def _flush(self) -> None:
         if self._text:
-            text = _SPACE.sub(" ", unescape("".join(self._text))).strip()
+            text = " ".join(unescape("".join(self._text)).split())
             self._text = []
             if text:
                 at = self._open[-1]
                 self.blocks.append((text, at))
-                self.elements[at][3].append(_hash(text.encode("utf-8", "replace")))
+                self.parts[at].append(_hash(text.encode("utf-8", "replace")))
 
     def _close(self, depth: int) -> None:
         """Close open elements until `depth` of them are left."""
         self._flush()
         while len(self._open) > depth:
             at = self._open.pop()
-            e = self.elements[at]
-            e[4] = _hash(e[0].encode("utf-8", "replace"), *e[3])
-            if e[3]:
-                self.elements[e[1]][3].append(e[4])
+            parts = self.parts[at]
+            if parts:
+                self.hashes[at] = _hash(self.tags[at].encode("utf-8", "replace"), *parts)
+                if at:
+                    self.parts[self.parents[at]].append(self.hashes[at])
+
+    def _depth(self, tag: str) -> int:
+        """Place of the innermost open element of that name; 0: none."""
+        return next((i for i in range(len(self._open) - 1, 0, -1) if self.tags[self._open[i]] == tag), 0)
 
     def _parse(self, html: str) -> None:
         search, pos = _TAG.search, 0
-        skipped: list[str] = []  # open elements from the furniture one on
+        skipped: list[str] = []  # open elements from one on whose text is no prose, or that is inline furniture
         while m := search(html, pos):
             if not skipped and m.start() > pos:
                 self._text.append(html[pos : m.start()])
@@ -147,30 +180,21 @@ class Page:
                     if tag in skipped:
                         while skipped.pop() != tag:
                             pass
-                    elif tag in ("body", "html"):
+                    elif tag in ("body", "html") or self._depth(tag):
+                        # the end of an element around it: its own end tag was left out
                         skipped.clear()
-                    elif skipped[0] in _CLOSED_BY or skipped == ["p"]:
-                        # the end of an element around furniture whose own end tag was left out
-                        if any(self.elements[i][0] == tag for i in self._open[1:]):
-                            skipped.clear()
-                            pos = m.start()
-                elif self._implied(skipped, tag):
-                    # the end tag of the furniture was left out: this element stands beside it
+                        pos = m.start()
+                elif skipped == ["head"] and tag not in HEAD:
                     skipped.clear()
                     pos = m.start()
-                    continue
-                elif tag == skipped[0] or tag in BLOCK and tag != "p" and tag not in _CLOSED_BY:
-                    if not attrs.endswith("/") and tag not in VOID:
-                        skipped.append(tag)
-                if not end and tag in RAW:
+                elif tag in RAW:
                     pos = self._raw_end(html, tag, pos)
-                    if skipped and skipped[-1] == tag:
-                        skipped.pop()
+                elif (tag == skipped[0] or tag in BLOCK and tag != "p" and tag not in _CLOSED_BY) and not attrs.endswith("/") and tag not in VOID:
+                    skipped.append(tag)
                 continue
             if end:
                 if tag in BLOCK:
-                    depth = next((i for i in range(len(self._open) - 1, 0, -1) if self.elements[self._open[i]][0] == tag), 0)
-                    if depth:
+                    if depth := self._depth(tag):
                         self._close(depth)
                     else:
                         self._flush()
@@ -184,130 +208,180 @@ class Page:
                 elif tag == "hr":
                     self._flush()
                 continue
-            if _furniture(tag, attrs):
-                if tag in BLOCK:
-                    self._flush()
-                else:
-                    self._text.append(" ")
+            if tag in BLOCK:
+                self._start(tag, attrs)
+                if attrs.endswith("/") and self.marks[-1] == SURE:
+                    self._close(len(self._open) - 1)
+            elif _furniture(tag, attrs, False) == SURE:
+                self._text.append(" ")
                 if not attrs.endswith("/"):
                     skipped.append(tag)
-                continue
-            if tag in BLOCK:
-                self._start(tag)
         if not skipped and pos < len(html):
             self._text.append(html[pos:])
         self._close(0)
 
-    @staticmethod
-    def _implied(skipped: list[str], tag: str) -> bool:
-        """Whether a start tag ends the furniture element, whose end tag may be left out, and all in it."""
-        first = skipped[0]
-        if first == "p":
-            return len(skipped) == 1 and tag in BLOCK
-        # inside a list or table of its own, the tag belongs there
-        return first in _CLOSED_BY.get(tag, ()) and not any(t in _SCOPE[tag] for t in skipped[1:])
-
     @staticmethod
     def _raw_end(html: str, tag: str, pos: int) -> int:
         m = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos)
         return m.end() if m else len(html)
 
-    def _start(self, tag: str) -> None:
+    def _start(self, tag: str, attrs: str) -> None:
         self._flush()
-        names = [self.elements[i][0] for i in self._open]
-        if names[-1] == "p" or "p" in names and tag == "p":
-            self._close(len(names) - 1 - names[::-1].index("p"))
-            names = [self.elements[i][0] for i in self._open]
+        if self.tags[self._open[-1]] == "p":
+            self._close(len(self._open) - 1)
+        elif tag == "p" and (depth := self._depth("p")):
+            self._close(depth)
         if tag in _CLOSED_BY:
+            names = [self.tags[i] for i in self._open]
             for i in range(len(names) - 1, 0, -1):
                 if names[i] in _SCOPE[tag]:
                     break
                 if names[i] in _CLOSED_BY[tag]:
                     self._close(i)
                     break
-        self.elements.append([tag, self._open[-1], False, [], b""])
-        self._open.append(len(self.elements) - 1)
+        at, above = len(self.tags), self._open[-1]
+        root = self.roots[above]
+        mark = _furniture(tag, attrs, root > 0)
+        if tag in HEADINGS and root and mark == PLAIN:
+            # the header of an article with its title belongs to it
+            for i in self._open:
+                if i > root and self.tags[i] == "header":
+                    self.marks[i] = PLAIN
+        if tag in ROOTS and not root and not any(self.marks[i] == SURE for i in self._open):
+            root = at
+        self.tags.append(tag)
+        self.parents.append(above)
+        self.marks.append(mark)
+        self.roots.append(root)
+        self.parts.append([])
+        self.hashes.append(b"")
+        self._open.append(at)
 
     def _above(self, at: int) -> Iterator[int]:
         while at > 0:
             yield at
-            at = self.elements[at][1]
-
-    def main(self) -> tuple[list[str], list[list[int]]]:
-        """Blocks of the outermost article or main (of that with most text, if there are more; else of the page),
-        and for each the hashes of the elements around it that may be templates."""
-        size: dict[int, int] = {}
-        for text, at in self.blocks:
-            roots = [e for e in self._above(at) if self.elements[e][0] in ("article", "main")]
-            if roots:
-                size[roots[-1]] = size.get(roots[-1], 0) + len(text)
-        best = max(size, key=lambda e: (size[e], self.elements[e][0] == "article", -e), default=0)
-        texts, around = [], []
-        for text, at in self.blocks:
-            chain = [*self._above(at)]
-            if best:
-                if best not in chain:
-                    continue
-                chain = [e for e in chain[: chain.index(best)] if self.elements[e][0] in CONTAINER]
-            else:
-                chain = [e for e in chain if self.elements[e][0] not in ("body", "html")]
-            texts.append(text)
-            around.append([int.from_bytes(self.elements[e][4], "big", signed=True) for e in chain])
-        return texts, around
-
-
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page (hash of the text), hashes of its subtrees, and either its text, where
-    nothing in it can be a template, or its blocks with the subtrees around them."""
-    arrow = arrow_schema(PARSED)
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *PARSED.fields])
+            at = self.parents[at]
+
+    def subtrees(self, host: str) -> dict[int, int]:
+        """Key by element of every subtree that may be a template, of marked ones the outermost.  The key holds host and kind."""
+        found, salt = {}, host.encode("utf-8", "replace")
+        for at in range(1, len(self.tags)):
+            tag, above = self.tags[at], self.parents[at]
+            if not self.hashes[at] or tag in ("html", "body") or self.roots[at] == at or self.marks[above] == SURE:
+                continue
+            kind = MARKED if self.marks[at] else PROSE if self.roots[at] and tag not in CONTAINER else ANY
+            found[at] = _number(_hash(salt, self.hashes[at])) & ~3 | kind
+        return found
+
+    def kept(self) -> list[tuple[str, int]]:
+        """The blocks that no mark removes: of all articles and mains, or of the page if it has none."""
+        some = [(text, at) for text, at in self.blocks if self.marks[at] != SURE]
+        inside = [(text, at) for text, at in some if self.roots[at]]
+        return inside or some
+
+    def main(self, host: str = "") -> tuple[list[str], list[list[int]]]:
+        """The kept blocks, and for each the keys of the subtrees around it."""
+        keys, blocks = self.subtrees(host), self.kept()
+        return [text for text, _ in blocks], [[keys[e] for e in self._above(at) if e in keys] for _, at in blocks]
+
+    def witnessed(self, host: str) -> dict[int, int]:
+        """Each subtree's key with the hash of the longest block outside of it (0: there is none)."""
+        keys = self.subtrees(host)
+        longest = sorted(((-len(text), k) for k, (text, _) in enumerate(self.blocks)))
+        around = [set(self._above(self.blocks[k][1])) for _, k in longest[:8]]
+        out = {}
+        for at, key in keys.items():
+            place = next((p for p, above in enumerate(around) if at not in above), None)
+            if place is None:  # it holds the longest blocks: look at all others
+                place = next((p for p in range(len(around), len(longest)) if at not in self._above(self.blocks[longest[p][1]][1])), None)
+            out[key] = 0 if place is None else _number(_hash(self.blocks[longest[place][1]][0].encode("utf-8", "replace")))
+        return out
+
+
+ROWS = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.LongType()), T.StructField("subtree", T.LongType()), T.StructField("around", T.LongType())])
+BLOCKS = T.StructType(
+    [
+        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("within", T.ArrayType(T.LongType()))]))),
+        T.StructField("marked", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def _key(url: str | None, html: str) -> int:
+    """A page's number: rows with the same url and html are one page."""
+    return _number(_hash((url or "").encode("utf-8", "replace"), html.encode("utf-8", "replace")))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """page, host (hashed), subtree, around: one row for each element subtree of a page that may be a template."""
+    arrow = arrow_schema(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, htmls in slices(batch, "html"):
                 rows: dict[str, list] = {f.name: [] for f in arrow}
                 for url, html in zip(part.column("url").to_pylist(), htmls, strict=True):
-                    texts, around = Page(html).main() if html else ([], [])
-                    text = "\n".join(texts)
-                    hashes = sorted({h for a in around for h in a})
-                    rows["host"].append(host_of(url))
-                    rows["page"].append(int.from_bytes(_hash(text.encode("utf-8", "replace")), "big", signed=True))
-                    rows["hashes"].append(hashes)
-                    rows["blocks"].append([{"text": t, "within": a} for t, a in zip(texts, around, strict=True)] if hashes else None)
-                    rows["text"].append(None if hashes else text)
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(rows[f.name], f.type) for f in arrow)], names=schema.names)
+                    host = host_of(url)
+                    found = Page(html).witnessed(host) if html else {}
+                    rows["page"] += [_key(url, html)] * len(found)
+                    rows["host"] += [_number(_hash(host.encode("utf-8", "replace")))] * len(found)
+                    rows["subtree"] += found.keys()
+                    rows["around"] += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in arrow], names=arrow.names)
+
+    return pages.select("url", "html").mapInArrow(run, ROWS)
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """page_id, url, page, blocks (text and the subtrees around it), marked (subtrees that are furniture in any case)."""
+    arrow = arrow_schema(BLOCKS)
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("page", T.LongType()), *BLOCKS.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, htmls in slices(batch, "html"):
+                keys, rows, marked = [], [], []
+                for url, html in zip(part.column("url").to_pylist(), htmls, strict=True):
+                    page, host = Page(html), host_of(url)
+                    texts, around = page.main(host)
+                    keys.append(_key(url, html))
+                    rows.append([{"text": t, "within": a} for t, a in zip(texts, around, strict=True)])
+                    marked.append(sorted({key for at, key in page.subtrees(host).items() if page.marks[at] == SURE}))
+                columns = [pa.array(keys, pa.int64()), pa.array(rows, arrow.field("blocks").type), pa.array(marked, arrow.field("marked").type)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=schema.names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
-def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, hash of the subtrees that recur on many different pages of the host."""
-    pages = parsed.select("host", "page", "hashes")
-    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") >= least_pages).join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+def templates(rows: DataFrame, least_pages: int = LEAST_PAGES, least_marked: int = LEAST_MARKED, least_share: float = LEAST_SHARE) -> DataFrame:
+    """subtree: the keys of those that recur on many pages of their host.  `rows` as :func:`subtrees` gives them."""
+    kind = F.col("subtree").bitwiseAND(3)
+    counted = rows.groupBy("subtree", "around").agg(F.min("host").alias("host"), F.count("*").alias("pages"))
+    counted = counted.groupBy("subtree").agg(F.min("host").alias("host"), F.count("*").alias("witnesses"), F.sum("pages").alias("pages"), F.max("pages").alias("most"))
+    least = F.when(kind == MARKED, least_marked).otherwise(least_pages)
+    counted = counted.filter((F.col("witnesses") >= least) & (2 * F.col("most") <= F.col("pages")))
+    sizes = rows.groupBy("host").agg(F.count_distinct("page").alias("all"))
+    prose = counted.filter(kind == PROSE).join(sizes, "host").filter(F.col("pages") >= least_share * F.col("all")).select("subtree")
+    return counted.filter(kind != PROSE).select("subtree").unionByName(prose)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text: blocks joined by line breaks."""
-    parsed = store(parse(pages), "pages-parsed")
-    plain = parsed.filter(F.col("blocks").isNull()).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    # pages with subtrees that may be templates: those of their hashes that are come back to them; page texts
-    # move once, with the few hashes found for them
-    key = F.xxhash64("page_id", "url", "page").alias("key")
-    found = (
-        parsed.filter(F.col("blocks").isNotNull())
-        .select(key, "host", F.explode("hashes").alias("hash"))
-        .join(templates(parsed), ["host", "hash"])
-        .groupBy("key")
-        .agg(F.collect_set("hash").alias("gone"))
-    )
-    rest = parsed.filter(F.col("blocks").isNotNull()).select("page_id", "url", "blocks", key).join(found, "key", "left")
+    """page_id, url, text (blocks joined by line breaks), n_templates (subtrees of the page that recur on its
+    host), n_marked (others that only their marks remove).
+
+    Pages are parsed twice, once for the counts and once for the texts, which then move once; what stays
+    on disk in between are a few numbers for each subtree.
+    """
+    rows = store(subtrees(pages), "pages-subtrees")
+    found = rows.join(templates(rows), "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone"))
+    joined = blocks(pages).join(found, "page", "left")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["within"], gone))
-    return plain.unionByName(rest.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    only = F.size(F.array_except("marked", gone)).cast("long")
+    return joined.select("page_id", "url", text.alias("text"), F.size(gone).cast("long").alias("n_templates"), only.alias("n_marked"))
 
 
 def contract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars, n_templates, n_marked."""
     return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
