@@ -118,6 +118,7 @@ def test_pii_context_alone_changes_the_spans(spark):
     kinds = lambda text: [s["kind"] for s in pii.find(text)]
     token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     assert kinds(f'token = "{token}"') == ["secret"] and kinds(f"commit {token}") == [] and kinds(f"the word {token}") == []
+    assert kinds(f'at mail6.example.com token = "{token}"') == ["secret"] and kinds(f"api_key={token}") == ["secret"]
     assert kinds("ssn 123-45-6789") == ["id"] and kinds("part 123-45-6789") == []
     assert kinds("passport C01234567") == ["id"] and kinds("shelf C01234567") == []
     assert kinds("dni 12345678Z") == ["id"]

@@ -69,7 +69,8 @@ START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.75}
 ADDED_CARD, CHECKED_ID, PLAIN_ID, ISSUED, RANDOM, GIVEN = 0.6, 0.4, 0.25, 0.9, 0.35, 0.25
 CONTEXT = 0.3
 WINDOW = 40
-_WORD = re.compile(r"[^\W_]+")
+# Words; parts of addresses and paths are none.
+_WORD = re.compile(r"(?<![^\W_])(?<![.@/-])[^\W_]+(?![^\W_]|[@/]|\.[^\W_])")
 
 
 def luhn(digits: str) -> bool:
