@@ -282,7 +282,7 @@ def test_site_templates_go_and_copies_stay(spark):
 
 
 def test_furniture_without_end_tags():
-    text = lambda body: html.Page(page(body)).main()[0]
+    text = lambda body: html.Page(page(body)).main()
     assert text('<article><p class="ad">Buy<p>Story</p><p>more</article>') == ["Story", "more"]
     assert text('<div><p class="ad">Buy</div><p>Story') == ["Story"]
     assert text('<div><p class="ad">Buy<div>Story</div></div>') == ["Story"]
@@ -292,7 +292,7 @@ def test_furniture_without_end_tags():
 
 
 def test_every_article_stays():
-    text = lambda body: html.Page(page(body)).main()[0]
+    text = lambda body: html.Page(page(body)).main()
     assert text("<main><p>the long story of the page</p><article>teaser</article></main>") == ["the long story of the page", "teaser"]
     assert text("<main><article><p>one</article><article><p>two</article></main>") == ["one", "two"]
     assert text("<article>one</article><p>between</p><article>two, longer</article>") == ["one", "two, longer"]
@@ -300,7 +300,7 @@ def test_every_article_stays():
 
 
 def test_class_words_inside_articles_do_not_remove_text():
-    text = lambda body: html.Page(page(body)).main()[0]
+    text = lambda body: html.Page(page(body)).main()
     assert text('<article><div class="story-header"><h1>T</h1></div><p>a</p><section class="related-work"><h2>R</h2><p>b</p></section></article>') == ["T", "a", "R", "b"]
     assert text('<article><header><h1>T</h1><p>by X</p></header><p>a</p><footer>f</footer></article>') == ["T", "by X", "a"]
     assert text('<article><p>a</p><section class="reader-comments"><h2>C</h2><p>c</p></section><div class="share">s</div><div class="ad">x</div></article>') == ["a"]
@@ -308,8 +308,8 @@ def test_class_words_inside_articles_do_not_remove_text():
 
 
 def test_omitted_end_tags_of_head_and_inline_furniture():
-    assert html.Page("<html><head><title>t</title><meta name=x><body><p>a</p></body></html>").main()[0] == ["a"]
-    assert html.Page("<div><button>x</div><p>more</p>").main()[0] == ["more"]
+    assert html.Page("<html><head><title>t</title><meta name=x><body><p>a</p></body></html>").main() == ["a"]
+    assert html.Page("<div><button>x</div><p>more</p>").main() == ["more"]
 
 
 def brute_templates(pages, least):
@@ -366,5 +366,5 @@ def test_recurrence_inside_articles(spark):
 
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
-    assert html.Page(deep).main()[0] == ["x"]
+    assert html.Page(deep).main() == ["x"]
     html.Page("<a href=\"" * 3000).main()

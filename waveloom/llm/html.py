@@ -279,30 +279,38 @@ class Page:
         inside = [(text, at) for text, at in some if self.roots[at]]
         return inside or some
 
-    def main(self, host: str = "") -> tuple[list[str], list[list[int]]]:
-        """The kept blocks, and for each the keys of the subtrees around it."""
-        keys, blocks = self.subtrees(host), self.kept()
-        return [text for text, _ in blocks], [[keys[e] for e in self._above(at) if e in keys] for _, at in blocks]
+    def main(self) -> list[str]:
+        """The texts of the kept blocks."""
+        return [text for text, _ in self.kept()]
 
-    def witnessed(self, host: str) -> dict[int, int]:
-        """Each subtree's key with the hash of the longest block outside of it (0: there is none)."""
+    def witnessed(self, host: str) -> dict[int, tuple[int, bool, list[int]]]:
+        """For each subtree's key: the hash of the longest block outside of it (0: there is none), whether it
+        goes in any case, and the first and last place of its kept blocks (of each of equal subtrees)."""
         keys = self.subtrees(host)
-        longest = sorted(((-len(text), k) for k, (text, _) in enumerate(self.blocks)))
+        longest = sorted((-len(text), k) for k, (text, _) in enumerate(self.blocks))
         around = [set(self._above(self.blocks[k][1])) for _, k in longest[:8]]
-        out = {}
+        places: dict[int, list[int]] = {}
+        for k, (_, block) in enumerate(self.kept()):
+            for at in self._above(block):
+                places.setdefault(at, [k, k])[1] = k
+        out: dict[int, tuple[int, bool, list[int]]] = {}
         for at, key in keys.items():
+            if key in out:
+                out[key][2].extend(places.get(at, []))
+                continue
             place = next((p for p, above in enumerate(around) if at not in above), None)
             if place is None:  # it holds the longest blocks: look at all others
                 place = next((p for p in range(len(around), len(longest)) if at not in self._above(self.blocks[longest[p][1]][1])), None)
-            out[key] = 0 if place is None else _number(_hash(self.blocks[longest[place][1]][0].encode("utf-8", "replace")))
+            witness = 0 if place is None else _number(_hash(self.blocks[longest[place][1]][0].encode("utf-8", "replace")))
+            out[key] = witness, self.marks[at] == SURE, list(places.get(at, []))
         return out
 
 
-ROWS = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.LongType()), T.StructField("subtree", T.LongType()), T.StructField("around", T.LongType())])
-BLOCKS = T.StructType(
+ROWS = T.StructType(
     [
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("within", T.ArrayType(T.LongType()))]))),
-        T.StructField("marked", T.ArrayType(T.LongType())),
+        *(T.StructField(c, T.LongType()) for c in ("page", "host", "subtree", "around")),
+        T.StructField("sure", T.BooleanType()),
+        T.StructField("places", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -313,7 +321,8 @@ def _key(url: str | None, html: str) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """page, host (hashed), subtree, around: one row for each element subtree of a page that may be a template."""
+    """page, host (hashed), subtree, around, sure, places: one row for each element subtree of a page that may be
+    a template, with what :meth:`Page.witnessed` tells of it."""
     arrow = arrow_schema(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,28 +335,29 @@ def subtrees(pages: DataFrame) -> DataFrame:
                     rows["page"] += [_key(url, html)] * len(found)
                     rows["host"] += [_number(_hash(host.encode("utf-8", "replace")))] * len(found)
                     rows["subtree"] += found.keys()
-                    rows["around"] += found.values()
+                    for name, values in zip(("around", "sure", "places"), zip(*found.values(), strict=True)):
+                        rows[name] += values
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in arrow], names=arrow.names)
 
     return pages.select("url", "html").mapInArrow(run, ROWS)
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, page, blocks (text and the subtrees around it), marked (subtrees that are furniture in any case)."""
-    arrow = arrow_schema(BLOCKS)
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("page", T.LongType()), *BLOCKS.fields])
+def kept_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, page, whole (the kept blocks joined by line breaks), marked (how many different subtrees are
+    furniture in any case)."""
+    added = T.StructType([T.StructField("page", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("marked", T.LongType())])
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, htmls in slices(batch, "html"):
-                keys, rows, marked = [], [], []
+                keys, texts, marked = [], [], []
                 for url, html in zip(part.column("url").to_pylist(), htmls, strict=True):
-                    page, host = Page(html), host_of(url)
-                    texts, around = page.main(host)
+                    page = Page(html)
                     keys.append(_key(url, html))
-                    rows.append([{"text": t, "within": a} for t, a in zip(texts, around, strict=True)])
-                    marked.append(sorted({key for at, key in page.subtrees(host).items() if page.marks[at] == SURE}))
-                columns = [pa.array(keys, pa.int64()), pa.array(rows, arrow.field("blocks").type), pa.array(marked, arrow.field("marked").type)]
+                    texts.append("\n".join(page.main()))
+                    marked.append(len({key for at, key in page.subtrees("").items() if page.marks[at] == SURE}))
+                columns = [pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(marked, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=schema.names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
@@ -373,13 +383,26 @@ def extract(pages: DataFrame) -> DataFrame:
     on disk in between are a few numbers for each subtree.
     """
     rows = store(subtrees(pages), "pages-subtrees")
-    found = rows.join(templates(rows), "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone"))
-    joined = blocks(pages).join(found, "page", "left")
-    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["within"], gone))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    only = F.size(F.array_except("marked", gone)).cast("long")
-    return joined.select("page_id", "url", text.alias("text"), F.size(gone).cast("long").alias("n_templates"), only.alias("n_marked"))
+    # a set, as rows of a page that stands twice are equal
+    found = rows.join(templates(rows), "subtree").groupBy("page").agg(F.collect_set(F.struct("subtree", "sure", "places")).alias("gone"))
+    found = found.select(
+        "page",
+        F.flatten(F.transform("gone", lambda g: g["places"])).alias("places"),
+        F.size("gone").alias("n_templates"),
+        F.size(F.filter("gone", lambda g: g["sure"])).alias("n_sure"),
+    )
+    joined = kept_texts(pages).join(found, "page", "left")
+    ends = F.size("places") / 2 - 1
+    ranges = F.transform(F.sequence(F.lit(0), ends.cast("int")), lambda k: F.struct(F.get("places", 2 * k).alias("first"), F.get("places", 2 * k + 1).alias("last")))
+    gone = lambda i: F.exists(ranges, lambda r: (i >= r["first"]) & (i <= r["last"]))
+    text = F.array_join(F.filter(F.split("whole", "\n"), lambda b, i: ~gone(i)), "\n")
+    return joined.select(
+        "page_id",
+        "url",
+        F.when(F.size("places") > 0, text).otherwise(F.col("whole")).alias("text"),
+        F.coalesce("n_templates", F.lit(0)).cast("long").alias("n_templates"),
+        (F.col("marked") - F.coalesce("n_sure", F.lit(0))).alias("n_marked"),
+    )
 
 
 def contract(pages: DataFrame) -> DataFrame:
