@@ -1,6 +1,7 @@
 """Operators that look at one text at a time."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -231,6 +232,67 @@ def test_every_template_is_found(spark):
     assert not [(i, got[i], notices[i % 1000]) for i in got if got[i] != notices[i % 1000][0]]
 
 
+def brute_licences(text, model):
+    """family and confirmed paragraphs of a text by the same weights, word by word."""
+    grams = lambda w, n: [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    lines = [re.findall(r"[^\W_]+", line.lower()) for line in (text or "").split("\n")]
+    known = {(f, k): set(grams(re.findall(r"[^\W_]+", t.lower()), 3)) for f, texts in licences.TEMPLATES.items() for k, t in enumerate(texts)}
+    every = set().union(*known.values())
+    parts = []
+    for k, line in enumerate(lines):
+        across = (lines[k - 1][-2:] + line[:2]) if k and lines[k - 1] and line else []
+        if every & set(grams(across, 3)):
+            parts[-1][1].extend(line)
+        else:
+            parts.append((k, list(line)))
+    found = {}
+    for first, w in parts:
+        if not every & set(grams(w, 3)):
+            continue
+        logits = list(model["intercepts"])
+        for n in (1, 2, 3):
+            for g in grams(w, n):
+                logits = [a + b for a, b in zip(logits, model["weights"].get(g, [0.0] * len(logits)))]
+        best = max(range(len(logits) - 1), key=lambda c: logits[c])
+        score = 1 / (1 + math.exp(-max(-30, min(30, model["slope"] * (logits[best] - logits[-1]) + model["offset"]))))
+        mine = set(grams(w, 3))
+        share = max(max(len(mine & t) / len(t), len(mine & t) / len(mine)) for (f, _), t in known.items() if f == licences.FAMILIES[best])
+        if score >= licences.LEAST_SCORE and share >= licences.LEAST_SHARED:
+            found[first] = (licences.FAMILIES[best], score)
+    return found
+
+
+def test_licences_like_brute_force(spark):
+    rnd = random.Random(31)
+    notices = [t for texts in licences.TEMPLATES.values() for t in texts]
+    texts = [None, "", "\n\n", "licensed under the sea of stars", "software is provided by the river as it flows"]
+    for _ in range(80):
+        lines = []
+        for _ in range(rnd.randrange(1, 5)):
+            w = rnd.choice(notices).split()
+            w = w[rnd.randrange(0, 3) :] if rnd.random() < 0.3 else w
+            step = rnd.choice([4, 7, 100])  # wrapped over lines
+            lines += [prose(rnd, rnd.randrange(0, 12)), *(" ".join(w[i : i + step]) for i in range(0, len(w), step))]
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = licences.fit(docs)
+    got = {(r.doc_id, r.paragraph, r.digest): (r.family, round(r.score, 9)) for r in licences.scan(docs, model).filter("confirmed").collect()}
+    digests = {r.text: r.d for r in docs.select("text", F.xxhash64("text").alias("d")).distinct().collect()}
+    want = {(i // 2, k, digests[t]): (f, round(s, 9)) for i, t in enumerate(texts) for k, (f, s) in brute_licences(t, model).items()}
+    assert len(want) > 100 and got == want
+
+
+def test_licences_of_wrapped_lines_and_of_rows_with_one_id(spark):
+    mit = licences.TEMPLATES["MIT"][2].split()
+    wrapped = "\n".join(" # " + " ".join(mit[i : i + 6]) for i in range(0, len(mit), 6))
+    two = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    rows = [(1, wrapped), (2, two), (7, "Released under the MIT License."), (7, "plain words only"), (7, "Licensed under the ISC License."), (None, two), (None, None)]
+    got = sorted(((r.doc_id or 0, r.family, r.n_paragraphs, r.families) for r in licences.contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [g for g in got if g[0] == 7] == [(7, "ISC", 1, "ISC"), (7, "MIT", 1, "MIT"), (7, "none", 0, "")]
+    assert [g for g in got if g[0] == 1] == [(1, "MIT", 1, "MIT")]
+    assert [(g[2], g[3]) for g in got if g[0] == 2] == [(2, "Apache,MIT")] and sorted(g[2] for g in got if g[0] == 0) == [0, 2]
+
+
 def test_licence_paths_are_native(spark):
     docs = documents(spark).select("doc_id", "text")
     plan = licences.contract(docs)._jdf.queryExecution().executedPlan().toString()

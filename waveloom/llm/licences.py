@@ -1,13 +1,18 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
 DataFrame operations only.  A multinomial logistic regression over sparse word n-grams (1 to 3 words,
-vocabulary: the n-grams of the templates) is fitted here on templates, crops of them, and paragraphs
-of the corpus as the class 'unknown'.  A second regression calibrates the margin over 'unknown' into a
-probability.  A prediction counts only if the paragraph also shares enough of its rare word triples
-with a template of that family.
+vocabulary: the n-grams of the templates) is fitted here on templates, crops of them, and paragraphs of
+the corpus that no template confirms, as the class 'unknown'.  A second regression calibrates the margin
+over 'unknown' into a probability.  A prediction counts only if the paragraph also shares enough of its
+word triples with a template of that family; so paragraphs without any such triple need no prediction,
+and that alone decides which are looked at.
+
+A paragraph is a line, or several where a triple of a template runs across the line breaks, so that a
+wrapped notice is judged as one and two notices on neighbouring lines as two.
 
 Defined results: a null or empty text has no paragraph and the family 'none'; repeated rows each get
-their result; columns of the input other than id and text are ignored.
+their result, and rows with one id and different texts each get that of their own text; columns of the
+input other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import re
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sampled_texts, store
+from .common import discard, sampled_texts, store
 
 # What notices of each licence family say.
 TEMPLATES = {
@@ -44,16 +50,48 @@ TEMPLATES = {
         "Released under the GNU GPL version 2 or later.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "Released under the GNU LGPL version 2.1 or later.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
+    "AGPL": [
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "Licensed under the GNU AGPL version 3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License Version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC": [
         "Licensed under CC BY-NC 4.0.",
@@ -70,8 +108,6 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [*sorted(TEMPLATES), "unknown"]
-#: Words of the law: a paragraph's triples with one of them are also compared on their own.  They choose nothing beforehand.
-CUES = ("licen", "copyright", "reserved", "spdx", "permission", "permitted", "warrant", "redistribut", "mozilla", "creative", "waived")
 #: Bounds of the fit: texts and paragraphs of the corpus for the class 'unknown'.
 FIT_TEXTS, FIT_PARAGRAPHS = 400, 3000
 #: A paragraph counts from this probability on, and from this share of a template's triples or its own.
@@ -93,19 +129,18 @@ def _features(tokens: str) -> Column:
     return F.concat(*[ngrams(tokens, n) for n in (1, 2, 3)])
 
 
-def _has_cue(c: Column) -> Column:
-    return c.rlike("(?i)" + "|".join(CUES))
-
-
 def _triples_of(text: str) -> set[str]:
     found = re.findall(r"[^\W_]+", text.lower())
     return {" ".join(found[i : i + 3]) for i in range(len(found) - 2)}
 
 
-def _held(tokens: str) -> Column:
+#: All triples of the templates.
+KNOWN = sorted({t for texts in TEMPLATES.values() for text in texts for t in _triples_of(text)})
+
+
+def _held(tokens: str | Column) -> Column:
     """Whether the words hold any triple of a template: without one, nothing can be confirmed."""
-    known = sorted({t for texts in TEMPLATES.values() for text in texts for t in _triples_of(text)})
-    return F.arrays_overlap(ngrams(tokens, 3), F.array(*map(F.lit, known)))
+    return F.arrays_overlap(ngrams(tokens, 3), F.array(*map(F.lit, KNOWN)))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -129,14 +164,17 @@ def fit(docs: DataFrame) -> dict:
     vocabulary = sorted(r["f"] for r in known.select(F.explode(_features("words")).alias("f")).distinct().collect())  # bounded by TEMPLATES
     everyone = docs.select("doc_id").withColumn("any", F.lit(1))
     some = sampled_texts(docs, everyone, F.lit(True), FIT_TEXTS, "licences")
-    prose = some.select(F.inline(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text"), words(t).alias("words")))))
-    prose = prose.filter(~_has_cue(F.col("text")) & (F.length("text") > 0) & ~_held("words"))
-    prose = prose.orderBy(F.xxhash64("text"), "text").limit(FIT_PARAGRAPHS).select(F.lit("unknown").alias("family"), "words")
+    prose = some.select(F.explode(F.transform(F.split("text", "\n"), words)).alias("words")).filter(F.size("words") > 0).distinct()
+    prose = prose.orderBy(F.xxhash64(F.array_join("words", " ")), "words").limit(FIT_PARAGRAPHS).withColumn("row", F.monotonically_increasing_id())
+    prose = prose_ = store(prose, "licence-prose")
+    # what the templates confirm is no example of 'unknown'; all else is, however much it sounds like a notice
+    sure = shared(prose, ["row"]).filter(F.col("shared") >= LEAST_SHARED)
+    prose = prose.join(sure, "row", "left_anti").select(F.lit("unknown").alias("family"), "words")
     # single words of the templates in other company are unknown as well
     loose = _crops(known).select(F.lit("unknown").alias("family"), F.filter("words", lambda w, i: i % 4 == 0).alias("words"))
     rows = _crops(known).withColumn("weight", F.lit(10.0)).unionByName(prose.withColumn("weight", F.lit(1.0))).unionByName(loose.withColumn("weight", F.lit(2.0)))
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1)
-    rows = store(rows.withColumn("features_", _features("words")), "licence-training")
+    rows = store(rows.withColumn("features_", _features("words")).coalesce(2), "licence-training")  # small: bounded above
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "features_", "features", minTF=1.0)
     ready = counted.transform(rows)
     half = F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(2)) == 0
@@ -154,6 +192,8 @@ def fit(docs: DataFrame) -> dict:
     margins = margin.select("margin", "weight", (F.col("label") < len(FAMILIES) - 1).cast("double").alias("y")).collect()  # bounded as the training rows are
     slope, offset = _platt([(r["margin"], r["y"], r["weight"]) for r in margins])
     weights, intercepts = linear(ready)
+    for table in (known, prose_, rows):
+        discard(table)
     return {"weights": weights, "intercepts": intercepts, "slope": slope, "offset": offset}
 
 
@@ -187,51 +227,62 @@ def scored(rows: DataFrame, weights: dict, intercepts: list, keep: list[str]) ->
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the input row), paragraph (its place), words: paragraphs that hold a triple of a template."""
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    # words come out of the generator, so that no later step computes them again
-    each = numbered.select("doc_id", "row", F.posexplode(F.transform(F.split("text", "\n"), words)).alias("paragraph", "words"))
-    return each.filter(_held("words"))
+    """doc_id, digest (of the text), row (a number of the input row), paragraph (its first line), words: paragraphs
+    that hold a triple of a template."""
+    whole = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).filter(_held(words(F.col("text"))))
+    whole = whole.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", F.transform(F.split("text", "\n"), words))
+    # the words on both sides of a line break, for the lines that have words
+    before = lambda i: F.slice(F.get("lines", i - 1), -2, 2)
+    tail = lambda i: F.when(F.size(F.get("lines", i - 1)) > 1, before(i)).otherwise(F.get("lines", i - 1))
+    across = lambda i: F.concat(tail(i), F.slice(F.get("lines", i), 1, 2))
+    joins = lambda i: (i > 0) & (F.size(F.get("lines", i - 1)) > 0) & (F.size(F.get("lines", i)) > 0) & _held(across(i))
+    lines = F.transform("lines", lambda w, i: F.struct(i.alias("line"), w.alias("words"), F.coalesce(joins(i), F.lit(False)).alias("goes_on")))
+    each = whole.select("doc_id", "digest", "row", F.inline(lines))
+    # a paragraph is named by its first line
+    in_order = W.partitionBy("row").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("paragraph", F.max(F.when(~F.col("goes_on"), F.col("line"))).over(in_order))
+    joined = each.groupBy("doc_id", "digest", "row", "paragraph").agg(F.sort_array(F.collect_list(F.struct("line", "words"))).alias("parts"))
+    joined = joined.withColumn("words", F.flatten(F.transform("parts", lambda p: p["words"]))).drop("parts")
+    return joined.filter(_held("words"))
+
+
+def shared(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep.., family, shared: the largest part of a template's triples, or of the row's, found in the other."""
+    triples = lambda c: F.array_distinct(ngrams(c, 3))
+    known = templates(rows.sparkSession).select("family", "template", triples("words").alias("all"))
+    known = known.select("family", "template", F.size("all").alias("most"), F.explode("all").alias("triple"))
+    mine = rows.select(*keep, triples("words").alias("all")).select(*keep, F.size("all").alias("own"), F.explode("all").alias("triple"))
+    # the table has a row for each triple of the templates
+    met = mine.join(F.broadcast(known), "triple").groupBy(*keep, "family", "template", "most", "own").agg(F.count("*").alias("n"))
+    part = F.greatest(F.col("n") / F.col("most"), F.col("n") / F.col("own"))
+    return met.groupBy(*keep, "family").agg(F.max(part).alias("shared"))
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """doc_id, row, paragraph, family, score, shared, confirmed for each paragraph that can name a licence.
-
-    shared: the largest part of a template's triples, or of the paragraph's, found in the other; of all
-    triples or of those with a cue, whichever part is larger.
-    """
-    spark = docs.sparkSession
+    """doc_id, digest, row, paragraph, family, score, shared, confirmed for each paragraph that can name a licence."""
     model = fit(docs) if model is None else model
     found = store(paragraphs(docs), "licence-paragraphs")
-    predicted = scored(found, model["weights"], model["intercepts"], ["doc_id", "row", "paragraph"])
+    keys = ["doc_id", "digest", "row", "paragraph"]
+    predicted = scored(found, model["weights"], model["intercepts"], keys)
     margin = F.lit(model["slope"]) * F.col("margin") + F.lit(model["offset"])
     predicted = predicted.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin)))))
-    triples = lambda c: F.array_distinct(ngrams(c, 3))
-    cued = lambda c: F.size(F.filter(c, _has_cue))
-    known = templates(spark).select("family", "template", triples("words").alias("all"))
-    known = known.select("family", "template", F.size("all").alias("most"), cued("all").alias("most_cued"), F.explode("all").alias("triple"))
-    mine = found.select("row", "paragraph", triples("words").alias("all")).select("row", "paragraph", F.size("all").alias("own"), cued("all").alias("own_cued"), F.explode("all").alias("triple"))
-    # the table has a row for each triple of the templates
-    met = mine.join(F.broadcast(known), "triple").groupBy("row", "paragraph", "family", "template", "most", "own", "most_cued", "own_cued")
-    met = met.agg(F.count("*").alias("n"), F.count_if(_has_cue(F.col("triple"))).alias("n_cued"))
-    part = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
-    parts = [part("n", "most"), part("n", "own"), part("n_cued", "most_cued"), part("n_cued", "own_cued")]
-    shared = met.groupBy("row", "paragraph", "family").agg(F.max(F.greatest(*parts)).alias("shared"))
-    both = predicted.join(shared, ["row", "paragraph", "family"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    both = predicted.join(shared(found, ["row", "paragraph"]), ["row", "paragraph", "family"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     confirmed = (F.col("score") >= LEAST_SCORE) & (F.col("shared") >= LEAST_SHARED)
-    return both.select("doc_id", "row", "paragraph", "family", "score", "shared", confirmed.alias("confirmed"))
+    return both.select(*keys, "family", "score", "shared", confirmed.alias("confirmed"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
     """doc_id, family (of the surest confirmed paragraph; 'none' without one), score, n_paragraphs, families of every document."""
     named = scan(docs).filter("confirmed")
-    each = named.groupBy("doc_id").agg(
+    each = named.groupBy("doc_id", "digest").agg(
         F.max_by("family", F.struct("score", "family")).alias("family"),
         F.max("score").alias("score"),
         F.countDistinct("paragraph").alias("n_paragraphs"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
     )
-    rows = docs.select("doc_id").join(each.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    each = each.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
+    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"))
+    rows = texts.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     return rows.select(
         "doc_id",
         F.coalesce("family", F.lit("none")).alias("family"),
