@@ -219,6 +219,102 @@ def test_mixing_targets(spark):
         assert got == pytest.approx(targets_of(by_source))
 
 
+def hashed(spark, values, kind, build):
+    """build(column) of each value, computed by Spark."""
+    values = sorted(set(values), key=repr)
+    rows = spark.createDataFrame([(v,) for v in values], f"v {kind}").select(build(F.col("v")).alias("h")).collect()
+    return {v: r.h for v, r in zip(values, rows, strict=True)}
+
+
+def brute_slots(spark, sources, block, per_shard, seed=7):
+    """The mix one slot after the other: a Counter of (src, block)."""
+    plan = [(r.src, -(-r.source_size // block), round(-(-r.source_size // block) * r.target / r.source_size) if r.source_size else 0) for r in sources]
+    total = sum(n for *_, n in plan)
+    uniform = hashed(spark, range(total), "long", lambda c: mixing._uniform(F.lit(seed), c))
+    part = hashed(spark, range(total // per_shard + 1), "long", lambda c: F.pmod(F.xxhash64(c), F.lit(mixing.SPREAD)))
+    perms = {s: [r.p for r in spark.range(b).orderBy("id").select(mixing.permuted("id", f"CAST({b} AS BIGINT)", str(s)).alias("p")).collect()] for s, b, n in plan if n}
+    draws = Counter()
+    for i in range(total):
+        at, u = 0, uniform[i] * total
+        for s, _, n in plan:
+            at += n
+            if u < at:
+                draws[i // per_shard, s] += 1
+                break
+    done, excess, out = Counter(), 0, Counter()
+    want = {s: (b, n) for s, b, n in plan}
+
+    def take(s):
+        b, _ = want[s]
+        out[s, perms[s][done[s] % b]] += 1
+        done[s] += 1
+
+    for shard in sorted({k for k, _ in draws}, key=lambda k: (part[k], k)):
+        for s, _, n in plan:
+            for _ in range(draws[shard, s]):
+                if done[s] < n:
+                    take(s)
+                else:
+                    excess += 1
+    for s, _, n in plan:
+        while done[s] < n:
+            excess -= 1
+            take(s)
+    assert excess == 0
+    return out
+
+
+@pytest.mark.parametrize("shape", ["many", "giant", "long"])
+def test_mixing_like_one_slot_after_the_other(spark, shape):
+    rnd = random.Random(17)
+    if shape == "many":
+        rows = [(i, rnd.choice([None, "a", "b", "c", "d"]), prose(rnd, rnd.choice([0, 3, 40, 300]))) for i in range(150)]
+    elif shape == "giant":
+        rows = [(i, "a" if i else "b", prose(rnd, 50 if i else 5)) for i in range(200)]
+    else:  # one text longer than a shard has slots
+        rows = [(1, "a", prose(rnd, 70_000)), (2, "b", prose(rnd, 900)), (3, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.contract(docs).collect()
+    sizes = {i: len((t or "").split()) for i, _, t in rows}
+    sources = sorted(mixing.targets(docs.select("source", mixing.n_words("text").alias("size"))).collect(), key=lambda r: r.src)
+    times = brute_slots(spark, sources, mixing.BLOCK, mixing.SLOTS)
+    number = {r.source: r.src for r in sources}
+    part = hashed(spark, sizes, "long", lambda c: F.pmod(F.xxhash64(c), F.lit(mixing.SPREAD)))
+    want = {}
+    for source, src in number.items():
+        at = 0
+        for i in sorted((i for i, s, _ in rows if s == source), key=lambda i: (part[i], i)):
+            want[i] = sum(times[src, (at + k) // mixing.BLOCK] for k in range(sizes[i]))
+            at += sizes[i]
+    assert {r.doc_id: r.taken for r in got} == want
+    # targets are met to a block, though every slot was drawn
+    for r in sources:
+        assert abs(sum(want[i] for i, s, _ in rows if s == r.source) - r.target) <= 2 * mixing.BLOCK
+
+
+def test_draws_are_multinomial(spark):
+    plan = spark.createDataFrame([(0, 6000), (1, 3000), (2, 1000)], "src int, slots long")
+    got = mixing.drawn(spark, plan, 10_000, 100).collect()
+    assert sum(r.n for r in got) == 10_000
+    by_shard = [[r.n for r in got if r.src == s] for s in range(3)]
+    for counts, share in zip(by_shard, (0.6, 0.3, 0.1), strict=True):
+        counts += [0] * (100 - len(counts))
+        mean, var = np.mean(counts), np.var(counts)
+        assert abs(mean - 100 * share) < 3 and 0.6 < var / (100 * share * (1 - share)) < 1.5
+
+
+def test_repeated_rows_take_their_own_blocks(spark):
+    rnd = random.Random(18)
+    text = prose(rnd, 100)
+    docs = spark.createDataFrame([(1, text, "a", 5)] * 9 + [(None, text, "b", 5), (None, text, "b", 5), (2, "  " + prose(rnd, 900) + " \n", None, 5)], "doc_id long, text string, source string, n_chars long")
+    taken = mixing.contract(docs).collect()
+    mixed = mixing.apply(docs)
+    size = lambda t: len(t.split())
+    for i in (1, 2, None):
+        assert sorted(size(r.text) for r in mixed.collect() if r.doc_id == i) == sorted(r.taken for r in taken if r.doc_id == i and r.taken)
+    assert all(r.n_chars == len(r.text) for r in mixed.collect())
+
+
 def test_mixed_texts_hold_what_was_taken(spark):
     docs = documents(spark).dropDuplicates(["doc_id"])
     taken = {r.doc_id: r.taken for r in mixing.contract(docs).collect()}

@@ -1,10 +1,11 @@
 """Mix sources to target weights with DataFrame operations only.
 
-The words of each source form a stream cut into blocks of fixed length.  Output shards of many slots
-each draw how many slots every source gets (whole parts fixed, the fractional parts by a multinomial
-draw), the n-th slot of a source takes the block that a pseudorandom permutation of the source's
-blocks names, and blocks are joined by index.  A source's blocks are all used once before any is
-used again, and never more than `cap` times.
+The words of each source form a stream cut into blocks of fixed length.  Every output shard of many slots
+draws by a multinomial draw how many of its slots each source gets; what a source draws beyond the number
+of slots that its target asks for goes to the sources that are still short, so that all targets are met to
+a block.  The n-th slot of a source takes the block that a pseudorandom permutation of the source's blocks
+names, and blocks are joined by index.  A source's blocks are all used once before any is used again, and
+never more than `cap` times.
 
 Defined results: a null or empty text has size 0 and nothing taken; a null source is a source of its
 own and comes last; repeated rows are rows of their own; all choices come from hashes, so reruns agree.
@@ -74,13 +75,16 @@ def running(df: DataFrame, group: str, value: str, order: list[str], name: str,
 
 def permuted(x: str, n: str, key: str) -> Column:
     """A pseudorandom permutation of 0..n-1: eight half rounds of a Feistel network over a grid of about
-    n cells, walked on where it leaves the range.  Null where the walk takes too long (practically never)."""
+    n cells, walked on where it leaves the range.
+
+    Less than sqrt(n) cells lie outside, so for small n the walk ends for certain, and for large n the chance
+    that it does not is below 10^-20; the query would fail then rather than lose a slot."""
     a, b = f"CAST(ceil(sqrt({n})) AS BIGINT)", f"CAST(ceil({n} / ceil(sqrt({n}))) AS BIGINT)"
     rounds = f"""aggregate(sequence(1, 8), named_struct('l', y div {b}, 'r', y % {b}), (s, i) -> named_struct(
         'l', if(i % 2 = 1, pmod(s.l + pmod(xxhash64(s.r, {key}, i), {a}), {a}), s.l),
         'r', if(i % 2 = 0, pmod(s.r + pmod(xxhash64(s.l, {key}, i), {b}), {b}), s.r)), s -> s.l * {b} + s.r)"""
-    walked = f"aggregate(sequence(0, 12), {x}, (y, j) -> if(j = 0 or y >= {n}, {rounds}, y))"
-    return F.expr(f"CASE WHEN {n} > 0 THEN nullif(greatest({walked}, -1), {n}) END")
+    ended = f"y -> if(y < {n}, y, CAST(raise_error('the walk of a permutation has no end') AS BIGINT))"
+    return F.expr(f"CASE WHEN {n} > 0 THEN aggregate(sequence(0, 19), {x}, (y, j) -> if(j = 0 or y >= {n}, {rounds}, y), {ended}) END")
 
 
 def _uniform(*of: str | Column) -> Column:
@@ -101,38 +105,40 @@ def _numbers(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, math.ceil(n / 1_000_000)))
 
 
-def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, cap: int = CAP, seed: int = 7) -> DataFrame:
+def drawn(spark: SparkSession, plan: DataFrame, total: int, per_shard: int = SLOTS, seed: int = 7) -> DataFrame:
+    """shard, src, n: how many slots of each shard each source draws, all of them by chance in proportion to
+    `slots` of `plan` (src, slots)."""
+    in_order = W.orderBy("src").rowsBetween(W.unboundedPreceding, 0)
+    ranges = plan.withColumn("hi", F.sum("slots").over(in_order)).withColumn("lo", F.col("hi") - F.col("slots")).select("src", "lo", "hi")
+    draws = _numbers(spark, total).select(F.floor(F.col("id") / per_shard).alias("shard"), (_uniform(F.lit(seed), "id") * F.lit(float(total))).alias("u"))
+    return _placed(draws, "u", ranges, float(max(total, 1))).groupBy("shard", "src").agg(F.count("*").alias("n"))
+
+
+def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = 7) -> DataFrame:
     """One row for each slot of the mix: shard, src, block.  `sources` is the stored result of targets()."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    plan = sources.withColumn("blocks", blocks).withColumn("wanted", F.when(F.col("source_size") > 0, F.col("blocks") * F.col("target") / F.col("source_size")).otherwise(0.0))
-    total = plan.agg(F.sum("wanted")).first()[0] or 0.0
-    shards = max(1, math.ceil(total / per_shard))
-    plan = plan.withColumn("each", F.floor(F.col("wanted") / shards + 1e-9).cast("long"))
-    plan = plan.withColumn("odd", F.greatest(F.lit(0.0), F.col("wanted") / shards - F.col("each")))
-    odd = plan.agg(F.sum("odd")).first()[0] or 0.0
-    in_order = W.orderBy("src").rowsBetween(W.unboundedPreceding, 0)
-    ranges = plan.withColumn("hi", F.sum("odd").over(in_order)).withColumn("lo", F.col("hi") - F.col("odd")).select("src", "lo", "hi")
-    draws = (
-        _numbers(spark, shards)
-        .select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(max(0, round(odd))))).alias("n"))
-        .withColumn("u", _uniform(F.lit(seed), "shard", "n") * F.lit(odd))
-        if round(odd)
-        else spark.range(0).select(F.col("id").alias("shard"), F.lit(0).alias("n"), F.lit(0.0).alias("u"))
-    )
-    drawn = store(_placed(draws, "u", ranges, max(odd, 1e-12)).select("src", "shard", "n", F.lit(1).cast("long").alias("one")), "mixing-draws")
-    counts = drawn.groupBy("src").agg(F.count("*").alias("drawn"))
-    sized = plan.join(counts, "src", "left").withColumn("fixed", F.col("each") * shards)
-    sized = sized.select("src", "blocks", "fixed", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    # the fixed slots of all sources stand in one row of numbers
-    ranges = sized.withColumn("hi", F.sum("fixed").over(in_order)).withColumn("lo", F.col("hi") - F.col("fixed"))
-    fixed = ranges.agg(F.max("hi")).first()[0] or 0
-    numbers = _numbers(spark, fixed).withColumnRenamed("id", "at")
-    taken = _placed(numbers, "at", ranges.select("src", "blocks", "lo", "hi"), float(max(fixed, 1)))
-    taken = taken.select((F.col("at") - F.col("lo")).alias("nth"), "src", "blocks").withColumn("shard", F.pmod("nth", F.lit(shards)))
-    late = running(drawn, "src", "one", ["shard", "n"], "after").join(sized, "src")
-    late = late.select((F.col("fixed") + F.col("after")).alias("nth"), "src", "blocks", "shard")
-    every = taken.unionByName(late).filter(F.col("nth") < F.col("blocks") * cap)
-    return every.withColumn("block", permuted("nth % blocks", "blocks", "src")).select("shard", "src", "block").filter("block is not null")
+    wanted = F.when(F.col("source_size") > 0, F.round(blocks * F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = sources.select("src", blocks.alias("blocks"), wanted.cast("long").alias("slots"))
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    counts = store(drawn(spark, plan, total, per_shard, seed), "mixing-draws")
+    counts = running(counts, "src", "n", ["shard"], "before").join(plan, "src")
+    # a source's draws in excess of its slots, in one row of numbers over all shards and sources
+    fits = F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("before")))
+    counts = store(counts.withColumn("fits", fits), "mixing-counts")
+    excess = counts.filter("n > fits").select("shard", "src", (F.col("n") - F.col("fits")).alias("n"), F.lit(0).alias("all"))
+    excess = running(excess, "all", "n", ["shard", "src"], "at")
+    excess = excess.select("shard", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"))
+    # and the slots that other sources still need in another one
+    got = counts.groupBy("src").agg(F.sum("fits").alias("got"))
+    short = plan.join(got, "src", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    short = short.withColumn("hi", F.sum(F.col("slots") - F.col("got")).over(W.orderBy("src").rowsBetween(W.unboundedPreceding, 0)))
+    short = short.withColumn("lo", F.col("hi") - F.col("slots") + F.col("got"))
+    open_ = short.agg(F.max("hi")).first()[0] or 0
+    moved = _placed(excess, "at", short.select("src", "blocks", "got", "lo", "hi"), float(max(open_, 1)))
+    moved = moved.select("shard", "src", "blocks", (F.col("got") + F.col("at") - F.col("lo")).alias("nth"))
+    own = counts.filter("fits > 0").select("shard", "src", "blocks", F.explode(F.sequence("before", F.col("before") + F.col("fits") - 1)).alias("nth"))
+    every = own.unionByName(moved)
+    return every.withColumn("block", permuted("nth % blocks", "blocks", "src")).select("shard", "src", "block")
 
 
 def spans(docs: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
@@ -169,18 +175,21 @@ def contract(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents of the mix: each keeps the words that the mix takes, in order, a block taken twice
-    standing twice, white space at the ends dropped; documents of which nothing is taken go.  Other columns stay; n_chars, if there, is counted anew."""
-    named = docs.withColumn("__digest", F.xxhash64("doc_id", text, "source"))
-    pieces = spans(measured(named.withColumnRenamed(text, "text") if text != "text" else named, ["doc_id", "__digest"]), ["doc_id", "__digest"])
-    first = F.greatest(F.col("block") * BLOCK, F.col("begin")) - F.col("begin")
-    piece = F.struct(first.cast("int").alias("first"), _overlap().cast("int").alias("n"), F.col("times").cast("int").alias("times"))
-    rows = pieces.filter("times > 0").groupBy("doc_id", "__digest", "begin").agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
-    # equal rows take what the first of them takes
-    rows = rows.groupBy("doc_id", "__digest").agg(F.min_by("__pieces", "begin").alias("__pieces")).withColumnRenamed("doc_id", "__id")
-    joined = named.join(rows.withColumnRenamed("__digest", "__d"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")))
-    words = F.regexp_extract_all(F.concat(F.col(text), F.lit("\n")), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    joined = joined.withColumn("__words", words)
-    parts = F.transform("__pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice(F.col("__words"), p["first"] + 1, p["n"]), p["times"])), ""))
-    mixed = F.rtrim(F.array_join(parts, ""), F.lit(" \t\n\x0b\f\r"))
+    standing twice, white space at the ends dropped; documents of which nothing is taken go.  Other columns
+    stay; n_chars, if there, is counted anew."""
+    # stored, so that a row keeps its number
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-rows")
+    named = rows.select("doc_id", F.xxhash64("doc_id", text, "source").alias("__digest"), "__row", "source", F.col(text).alias("text"))
+    pieces = spans(measured(named, ["doc_id", "__digest", "__row"]), ["doc_id", "__digest", "__row"])
+    each = F.sort_array(F.collect_list(F.struct("block", F.col("times").cast("int").alias("times"))))
+    taken = pieces.filter(F.col("block").isNotNull()).groupBy("__row", "begin").agg(each.alias("__blocks"), F.sum("times").alias("__any")).filter("__any > 0")
+    taken = taken.select("__row", (F.col("begin") % BLOCK).cast("int").alias("__lead"), F.transform("__blocks", lambda b: b["times"]).alias("__times"))
+    joined = rows.join(taken, "__row")
+    # as many one-letter words in front as the text's first block has of other texts: then each match is a block
+    space = r"[\x20\x09-\x0D]"
+    aligned = F.concat(F.repeat(F.lit("x "), F.col("__lead")), F.regexp_replace(F.col(text), f"^{space}+", ""), F.lit("\n"))
+    cut = F.regexp_extract_all(aligned, F.lit(rf"((?:{WORD}{space}*+){{1,{BLOCK}}}+)"), F.lit(1))
+    own = F.transform(cut, lambda c, i: F.when(i == 0, F.substr(c, 2 * F.col("__lead") + 1)).otherwise(c))
+    mixed = F.rtrim(F.array_join(F.zip_with(own, "__times", lambda c, n: F.repeat(c, n)), ""), F.lit(" \t\n\x0b\f\r"))
     out = joined.withColumn("__mixed", mixed)
     return out.select(*[F.col("__mixed").alias(c) if c == text else F.length("__mixed").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
