@@ -150,7 +150,29 @@ def test_near_duplicates_like_brute_force(spark):
     assert vectors.near_duplicates(empty(df)).count() == 0
 
 
-def test_top_k_like_brute_force(spark):
+def test_near_duplicates_without_ids(spark):
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, a), (5, b), (7, a), (None, c), (None, None), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(vectors.near_duplicates(df).collect(), key=repr)
+    want = [(None, 2, 5, False), (5, 2, 5, True), (7, 2, 5, False), (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_near_duplicates_in_many_cells(spark):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(40, 6))
+    v = [(b + rnd.normal(size=6) * 0.2).tolist() for b in base for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    m = np.array(v)
+    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+    x, y = np.nonzero(np.triu(m @ m.T >= 0.9, 1))
+    want, degree = classes_of(zip(x.tolist(), y.tolist()), range(len(v))), Counter([*x.tolist(), *y.tolist()])
+    for size in (16, 100):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, rows=size).collect()} == {i: (degree[i], want[i]) for i in range(len(v))}
+
+
+def test_top_k_like_brute_force(spark, monkeypatch):
     df = some_vectors(spark).filter("vec_id < 165 or vec_id in (168, 169, 170, 171, 172)")
     live = [(r.vec_id, [int(np.floor(256 * float(x))) for x in r.embedding]) for r in df.collect() if clean(r.embedding)]
     want = {}
@@ -158,7 +180,8 @@ def test_top_k_like_brute_force(spark):
         if i % 10 == 0:
             scores = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in live if j != i and len(x) == len(y))
             want[i] = [(j, -s) for s, j in scores[:5]]
-    for slices, size in ((2, 16), (4, 4096)):
+    for slices, size, sent in ((2, 16, 0), (4, 4096, 0), (2, 16, 1 << 20)):
+        monkeypatch.setattr(vectors, "SENT_BYTES", sent)
         got = {}
         for r in vectors.top_k(df, F.col("vec_id") % 10 == 0, slices=slices, rows=size).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -166,6 +189,24 @@ def test_top_k_like_brute_force(spark):
     assert vectors.top_k(empty(df), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_top_k_of_repeated_ids_and_ties(spark, monkeypatch, sent):
+    monkeypatch.setattr(vectors, "SENT_BYTES", sent)
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 5.0]), (3, [-1.0, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.top_k(df, F.col("vec_id") == 0, k=2).collect())
+    a, b = [(0, 2 * 65536), (1, 65536)], [(0, 2 * 65536), (1, 2 * 65536)]
+    assert got == sorted((0, n + 1, i, s) for w in (a, b) for n, (i, s) in enumerate(w))
+
+
+def test_search_resolves_few_entries(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(4000, 32)).tolist()
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").repartition(2)
+    counts = vectors.resolved(df, F.col("vec_id") % 50 == 0).agg(F.sum("resolved")).first()[0]
+    assert counts < 0.2 * 80 * 4000
+
+
 # -- mixing ------------------------------------------------------------------------------------------
 
 
