@@ -42,7 +42,9 @@ def blocks(text: str, size: int = BLOCK) -> list[bytes]:
 
 
 class Sizes:
-    """Compressed sizes of a text under both dictionaries."""
+    """Compressed sizes of a text under both dictionaries, and from them the inputs of the score: the difference
+    of the sizes alone, normalised by both sizes, by the text's length, by a length that lets short texts count
+    less, and cut off where it is large."""
 
     def __init__(self, model: Model):
         def compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -57,9 +59,8 @@ class Sizes:
         for b in blocks(text):
             good, bad, raw = good + len(self.good(b)), bad + len(self.bad(b)), raw + len(b)
         diff = bad - good
-        ratio, share = diff / (bad + good), diff / max(raw, 1)
-        sure = raw / (raw + 200.0)
-        return [1.0, 10 * ratio, 10 * share, 10 * share * sure, sure, math.tanh(10 * share), (bad + good) / (2.0 * max(raw, 1)) if raw else 1.0]
+        share = diff / max(raw, 1)
+        return [1.0, 10 * diff / (bad + good), 10 * share, 10 * diff / (raw + 200.0), math.tanh(10 * share)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
