@@ -56,6 +56,17 @@ def test_pieces_fuzz(library):
         at += n
 
 
+def test_pieces_remember_a_bounded_number_of_bytes(library, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20_000)
+    codec = pieces.Pieces(pieces.model_path())
+    rnd = random.Random(12)
+    for _ in range(30):
+        texts = ["".join(rnd.choice("abcdefgh ") for _ in range(400)) for _ in range(5)] + ["".join(rnd.choice("abcdefgh") for _ in range(5000))]
+        flat, lens = codec.encode(texts)
+        assert flat.tolist() == [i for t in texts for i in library.encode(t)]
+        assert codec.held < 200_000 and max(map(len, codec.memory)) <= pieces.LONG
+
+
 def test_pieces_decode_column(spark, library):
     docs = documents(spark)
     coded = pieces.encode(docs, keep=["doc_id"])

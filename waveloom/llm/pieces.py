@@ -29,8 +29,11 @@ _MARK = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _NONE = np.iinfo(np.int64).max
 _SHIFT = 22
-#: Chunks that a worker process remembers in each of two generations; when the younger is full, it becomes the older.
-REMEMBERED = 250_000
+#: Bytes that a worker process remembers in each of two generations of chunks; when the younger is full, it becomes
+#: the older.  Chunks of more than LONG characters are not remembered.
+REMEMBERED, LONG = 64 << 20, 200
+#: Bytes that a remembered chunk takes besides its text and ids.
+ENTRY = 200
 
 
 def model_path(path: str | None = None) -> str:
@@ -77,7 +80,8 @@ class Pieces:
         self.ranks = np.array([table[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([table[k][1] for k in self.keys.tolist()], np.int64)
         self.inside = np.array(sorted(borders), np.int64)
-        self.newline = any("\n" in s for s in merged)
+        if any("\n" in s and len(s) > 1 for s in merged):
+            raise ValueError("pieces with a line break inside would be cut by _CHUNK")
         # decoding: the bytes of each id; control ids give nothing
         self.surface = [b"" if lib.is_control(i) else names[i].replace(_MARK, " ").encode() for i in range(size)]
         self.surface[self.unk] = b" \xe2\x81\x87 "
@@ -88,6 +92,7 @@ class Pieces:
         self.run_id = merged.get(_MARK * self.run)
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     # -- encoding -------------------------------------------------------------------------------
 
@@ -198,20 +203,24 @@ class Pieces:
             parts[i] = np.full(ahead[i], self.run_id, np.int32).tobytes() + parts[i]
         return parts
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of each chunk, remembered or new."""
+        long = sorted(c for c in wanted if len(c) > LONG)
+        wanted = wanted.difference(long)
         new = wanted.difference(self.memory)
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.older, self.memory, new = self.memory, {}, wanted
+        if self.held > REMEMBERED:
+            self.older, self.memory, self.held, new = self.memory, {}, 0, wanted
         known = new.intersection(self.older)
-        self.memory.update((c, self.older[c]) for c in known)
         fresh = sorted(new.difference(known))
-        self.memory.update(zip(fresh, self.encode_chunks(fresh), strict=True))
+        added = {c: self.older[c] for c in known} | dict(zip(fresh, self.encode_chunks(fresh), strict=True))
+        self.memory |= added
+        self.held += sum(ENTRY + len(c) + len(ids) for c, ids in added.items())
+        return self.memory | dict(zip(long, self.encode_chunks(long), strict=True)) if long else self.memory
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text."""
         split = [_CHUNK.findall((" " + t).replace(_MARK, " ")) if t else [] for t in texts]
-        self._learn(set().union(*split))
-        get = self.memory.__getitem__
+        get = self._known(set().union(*split)).__getitem__
         raw = [b"".join(map(get, chunks)) for chunks in split]
         return np.frombuffer(b"".join(raw), np.int32), np.array([len(r) // 4 for r in raw], np.int64)
 
