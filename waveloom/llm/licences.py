@@ -122,7 +122,9 @@ def ngrams(tokens: str | Column, n: int) -> Column:
     """Runs of n words; fewer words give none."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    # get() looks at one place of the array, where slice() would walk all of it
+    run = lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<string>"))
 
 
 def _features(tokens: str) -> Column:
@@ -138,6 +140,24 @@ def _triples_of(text: str) -> set[str]:
 KNOWN = sorted({t for texts in TEMPLATES.values() for text in texts for t in _triples_of(text)})
 
 
+def _alternatives(words: dict[str, str]) -> str:
+    """A pattern for any of the words, each followed by its own pattern; equal beginnings are tried once."""
+    by_first: dict[str, dict[str, str]] = {}
+    for word, then in words.items():
+        by_first.setdefault(word[:1], {})[word[1:]] = then
+    parts = [c + _alternatives(rest) if c else rest[""] for c, rest in sorted(by_first.items(), reverse=True)]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def _pattern(triples: list[str]) -> str:
+    """Matches a lower-case text that holds any of the triples."""
+    letter, gap = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++"
+    tree: dict[str, dict[str, dict[str, str]]] = {}
+    for a, b, c in map(str.split, triples):
+        tree.setdefault(a, {}).setdefault(b, {})[c] = f"(?!{letter})"
+    return f"(?<!{letter})" + _alternatives({a: gap + _alternatives({b: gap + _alternatives(cs) for b, cs in bs.items()}) for a, bs in tree.items()})
+
+
 def _held(tokens: str | Column) -> Column:
     """Whether the words hold any triple of a template: without one, nothing can be confirmed."""
     return F.arrays_overlap(ngrams(tokens, 3), F.array(*map(F.lit, KNOWN)))
@@ -229,8 +249,12 @@ def scored(rows: DataFrame, weights: dict, intercepts: list, keep: list[str]) ->
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), row (a number of the input row), paragraph (its first line), words: paragraphs
     that hold a triple of a template."""
-    whole = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).filter(_held(words(F.col("text"))))
-    whole = whole.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", F.transform(F.split("text", "\n"), words))
+    # words come out of a generator, so that no later step computes them again
+    # one pattern finds the texts that hold a triple, as splitting all texts into triples takes ten times as long
+    some = docs.filter(F.lower("text").rlike(_pattern(KNOWN)))
+    whole = some.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.explode(F.array(words(F.col("text")))).alias("words")).filter(_held("words"))
+    lines = F.explode(F.array(F.transform(F.split("text", "\n"), words))).alias("lines")
+    whole = whole.select("doc_id", "digest", F.monotonically_increasing_id().alias("row"), lines)
     # the words on both sides of a line break, for the lines that have words
     before = lambda i: F.slice(F.get("lines", i - 1), -2, 2)
     tail = lambda i: F.when(F.size(F.get("lines", i - 1)) > 1, before(i)).otherwise(F.get("lines", i - 1))
