@@ -115,3 +115,17 @@ def active(series: DataFrame, keys: list[str], threshold: float, gap: int, least
     """keys.., b0, b1: runs of bins with v >= threshold, glued over gaps of at most `gap` bins, of `least` bins or more."""
     hits = series.filter(F.col("v") >= threshold).select(*keys, F.col("bin").alias("s"), (F.col("bin") + 1).alias("e"))
     return union(hits, keys, gap).filter(F.col("e") - F.col("s") >= least).withColumnsRenamed({"s": "b0", "e": "b1"})
+
+
+def one_pass_merge(ivals: DataFrame, by: list[str]) -> DataFrame:
+    """by.., s, e: intervals in order, each merged with its successor if they overlap and neither is merged yet.
+
+    One pass, so a chain of three overlapping intervals leaves one of two and one of one; see :func:`union`
+    for the transitive form.  In a chain of neighbours that overlap, places 2k and 2k + 1 go together.
+    """
+    order = W.partitionBy(*by).orderBy("s", "e")
+    new = F.coalesce(F.col("s") > F.lag("e").over(order), F.lit(True)).cast("int")
+    chained = ivals.withColumn("__new", new).withColumn("__chain", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.row_number().over(W.partitionBy(*by, "__chain").orderBy("s", "e")) - 1
+    pairs = chained.withColumn("__pair", F.floor(place / 2))
+    return pairs.groupBy(*by, "__chain", "__pair").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__chain", "__pair")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,3 +74,41 @@ def transform(series: DataFrame, freqs: list[float], window: int, step: int) ->
     rows = rows.join(F.broadcast(kernels), "k")
     made = rows.groupBy("rec", "ch", "widx", "freq").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("wre")).alias("re"), F.sum(F.col("v") * F.col("wim")).alias("im"))
     return made.filter(F.col("n") == window).drop("n")
+
+
+def unwrapped(series: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by.., order, phase, rate, amp of an analytic series (re, im): the phase without jumps of a whole turn, its change
+    from one place to the next in turns, and the amplitude."""
+    places = W.partitionBy(*by).orderBy(order)
+    raw = series.withColumn("__raw", F.atan2("im", "re"))
+    step = F.coalesce(F.col("__raw") - F.lag("__raw").over(places), F.lit(0.0))
+    turn = F.when(F.col("__step") > math.pi, 1).when(F.col("__step") < -math.pi, -1).otherwise(0)
+    raw = raw.withColumn("__step", step).withColumn("__turn", turn)
+    phase = F.col("__raw") - 2 * math.pi * F.sum("__turn").over(places.rowsBetween(W.unboundedPreceding, 0))
+    rows = raw.withColumn("phase", phase).withColumn("amp", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    rate = (F.col("phase") - F.lag("phase").over(places)) / (2 * math.pi)
+    return rows.select(*by, order, "phase", rate.alias("rate"), "amp")
+
+
+def spectrogram(samples: DataFrame, window: int, skip: int | None = None) -> DataFrame:
+    """rec, ch, win, freq, power: squared Fourier coefficients of windows of `window` bins, one every `skip`.
+
+    Windows that are not full have none.  A window is one group of bounded size; the transform takes all
+    windows of a batch at once.
+    """
+    skip = skip or window
+    first = F.greatest(F.lit(0), F.ceil((F.col("bin") - window + 1) / skip))
+    placed = samples.withColumn("win", F.explode(F.sequence(first.cast("long"), F.floor(F.col("bin") / skip).cast("long"))))
+    blocks = placed.groupBy("rec", "ch", "win").agg(F.sort_array(F.collect_list(F.struct("bin", "v"))).alias("b"))
+    full = blocks.filter(F.size("b") == window).select("rec", "ch", "win", F.transform("b", lambda x: x["v"]).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            power = np.abs(np.fft.rfft(flat.reshape(-1, window), axis=1)) ** 2
+            n, k = power.shape
+            columns = [batch.column(c).take(pa.array(np.repeat(np.arange(n), k))) for c in ("rec", "ch", "win")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(power.ravel())], names=["rec", "ch", "win", "freq", "power"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in full.schema.fields}
+    return full.mapInArrow(run, f"rec {kinds['rec']}, ch string, win long, freq int, power double")

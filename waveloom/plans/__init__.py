@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import learning, naming, report, series, spectra, states
+from . import datasets, learning, naming, report, series, spectra, states
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "learning", "naming", "report", "series", "spectra", "states"]
+__all__ = ["ORACLE_SQL", "QUERIES", "datasets", "learning", "naming", "report", "series", "spectra", "states"]
