@@ -63,10 +63,33 @@ def prune_inflated(rows: DataFrame, column: str, threshold: float) -> list[int]:
     return [i + 1 for i in left]
 
 
+def ranked(rows: DataFrame, group: str, order: list[str], parts: int = 64) -> DataFrame:
+    """Add place (from 1) and total of each row of its group in the given order.
+
+    Groups are cut into ranges of the first order column, whose rows are numbered apart and shifted by the
+    sizes of the ranges before; so the rows of a group need not meet in one task.
+    """
+    edges = rows.groupBy(group).agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 1000).alias("__edges"))
+    cut = rows.join(edges, group).withColumn("__part", F.size(F.filter("__edges", lambda e: F.col(order[0]) > e))).drop("__edges")
+    sizes = cut.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    whole = W.partitionBy(group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(group, "__part", before.alias("__before"), F.sum("__n").over(whole).alias("total"))
+    inside = F.row_number().over(W.partitionBy(group, "__part").orderBy(*order))
+    return cut.withColumn("__inside", inside).join(sizes, [group, "__part"]).withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
+def equal_bins(rows: DataFrame, group: str, order: list[str], bins: int) -> DataFrame:
+    """Add b (1..bins): bins of equal numbers of rows, the first ones one larger where they do not divide evenly."""
+    small, larger = F.floor(F.col("total") / bins), F.col("total") % bins
+    at = F.col("place") - 1
+    b = F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / F.greatest(small, F.lit(1))))
+    return ranked(rows, group, order).withColumn("b", (b + 1).cast("int")).drop("place", "total")
+
+
 def mutual_information(rows: DataFrame, y: str, bins: int) -> DataFrame:
     """feat, mi of each feature (long rows with a class column) and the class, over equally filled bins."""
-    binned = rows.withColumn("b", F.ntile(bins).over(W.partitionBy("feat").orderBy("x", "key")))
-    joint = binned.groupBy("feat", "b", y).agg(F.count("*").alias("n"))
+    joint = equal_bins(rows, "feat", ["x", "key"], bins).groupBy("feat", "b", y).agg(F.count("*").alias("n"))
     whole = lambda *c: F.sum("n").over(W.partitionBy("feat", *c))
     p = joint.select("feat", "n", whole().alias("t"), whole("b").alias("nb"), whole(y).alias("ny"))
     return p.groupBy("feat").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("mi"))
@@ -103,16 +126,34 @@ def discriminant(df: DataFrame, column: str, y: str) -> dict[int, tuple[list[flo
     return {int(c): ((inverse @ m).tolist(), float(-0.5 * m @ inverse @ m + np.log(counts[c] / total))) for c, m in means.items()}
 
 
+def inner(column: str, weights: list[float], offset: float = 0.0) -> Column:
+    """offset + the inner product of an array column with fixed weights, inside the row."""
+    return F.aggregate(F.zip_with(column, F.array(*map(F.lit, map(float, weights))), lambda a, b: a.cast("double") * b), F.lit(float(offset)), lambda s, v: s + v)
+
+
+def projected(df: DataFrame, column: str, model: dict[int, tuple[list[float], float]]) -> DataFrame:
+    """key, class, score for each class of the model; one row a class, no shuffle."""
+    scores = F.array(*[F.struct(F.lit(c).alias("class"), inner(column, w, b).alias("score")) for c, (w, b) in sorted(model.items())])
+    return df.select("key", F.inline(scores))
+
+
+def shuffled(df: DataFrame, y: str, seed: int) -> DataFrame:
+    """The same rows with the labels of other rows: rows are numbered in two orders given by hashes, within parts of the keys."""
+    at = df.withColumn("__p", F.pmod(F.xxhash64(F.lit(-seed - 1), "key"), F.lit(PARTS)))
+    number = lambda k: F.row_number().over(W.partitionBy("__p").orderBy(F.xxhash64(F.lit(k), "key"), "key"))
+    labels = at.select("__p", number(2 * seed + 1).alias("__n"), F.col(y).alias("__y"))
+    return at.withColumn("__n", number(2 * seed)).join(labels, ["__p", "__n"]).withColumn(y, F.col("__y")).drop("__p", "__n", "__y")
+
+
 def scored(df: DataFrame, column: str, model: dict[int, tuple[list[float], float]]) -> DataFrame:
     """Add yhat: the class with the largest discriminant; scoring is an inner product in the plan."""
-    dot = lambda w: F.aggregate(F.zip_with(column, F.array(*map(F.lit, w)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    best = F.array_max(F.array(*[F.struct((dot(w) + b).alias("score"), F.lit(c).alias("c")) for c, (w, b) in sorted(model.items())]))
+    best = F.array_max(F.array(*[F.struct((inner(column, w) + b).alias("score"), F.lit(c).alias("c")) for c, (w, b) in sorted(model.items())]))
     return df.withColumn("yhat", best["c"])
 
 
 def cross_validated(df: DataFrame, column: str, y: str, k: int, trees: bool = False) -> DataFrame:
     """key, fold, y, yhat of every row, predicted by a model that did not see its fold."""
-    ready = vectors(folds(df, F.col(y), "key", k), column).withColumn("label", F.col(y).cast("double")).cache()
+    ready = vectors(folds(df, F.col(y), "key", k), column).withColumn("label", F.col(y).cast("double"))
     out = None
     for f in range(k):
         model = (GBTClassifier(maxIter=5, maxDepth=3, seed=1) if trees else LogisticRegression(regParam=1e-2, maxIter=30)).fit(ready.filter(F.col("fold") != f))
@@ -215,14 +256,23 @@ def common_patterns(df: DataFrame, column: str, y: str, k: int) -> list[tuple[fl
     return [(float(shares[i]), filters[i].tolist()) for i in picked]
 
 
-def grid_search(df: DataFrame, column: str, y: str, grid: list[float], k: int = 3) -> DataFrame:
-    """reg, key, fold, y, yhat for each regularisation: cross-validated predictions of every grid point."""
+def grid_search(df: DataFrame, column: str, y: str, grid: list[dict[str, float]], k: int = 3, patience: int = 2) -> DataFrame:
+    """point (place in the grid), key, fold, y, yhat: cross-validated predictions of the grid points in turn.
+
+    A point is a dictionary of parameters of the regression.  After `patience` points in a row that are no
+    better than the best before, by the share of right predictions, the rest is left out.
+    """
     ready = vectors(folds(df, F.col(y), "key", k), column).withColumn("label", F.col(y).cast("double"))
-    out = None
-    for f in range(k):
-        train, test = ready.filter(F.col("fold") != f), ready.filter(F.col("fold") == f)
-        for reg in grid:
-            part = LogisticRegression(regParam=reg, maxIter=20).fit(train).transform(test)
-            part = part.select(F.lit(reg).alias("reg"), "key", "fold", y, F.col("prediction").cast("int").alias("yhat"))
-            out = part if out is None else out.unionByName(part)
+    out, best, waited = None, -1.0, 0
+    for n, point in enumerate(grid):
+        parts = None
+        for f in range(k):
+            model = LogisticRegression(maxIter=20, **point).fit(ready.filter(F.col("fold") != f))
+            part = model.transform(ready.filter(F.col("fold") == f)).select(F.lit(n).alias("point"), "key", "fold", y, F.col("prediction").cast("int").alias("yhat"))
+            parts = part if parts is None else parts.unionByName(part)
+        right = parts.agg(F.avg((F.col(y) == F.col("yhat")).cast("double"))).first()[0] or 0.0
+        out = parts if out is None else out.unionByName(parts)
+        best, waited = (right, 0) if right > best else (best, waited + 1)
+        if waited >= patience:
+            break
     return out
