@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,11 +28,19 @@ def rescaled(df: DataFrame, stats: DataFrame, keys: list[str], x: str = "v") ->
     return df.join(stats.select(*keys, "mean", "std"), keys).withColumn(x, F.when(F.col("std") > 0, (F.col(x) - F.col("mean")) / F.col("std")).otherwise(zero)).drop("mean", "std")
 
 
+def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
+    """Add statistics of each row's group: aggregated first and joined back, so that a group of any size is never one
+    task's window."""
+    own = [f"__k{i}" for i in range(len(keys))]
+    found = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]).withColumnsRenamed(dict(zip(keys, own, strict=True)))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)))
+    return df.join(found, same).drop(*own)
+
+
 def zscored(df: DataFrame, keys: list[str], x: str = "v", least: float = 1e-19) -> DataFrame:
     """Z-score over the whole series; series without spread stay as they are."""
-    own = W.partitionBy(*keys)
-    mean, std = F.avg(x).over(own), F.stddev_pop(x).over(own)
-    return df.withColumn(x, F.when(std < least, F.col(x)).otherwise((F.col(x) - mean) / std))
+    rows = with_stats(df, keys, __mean=F.avg(x), __std=F.stddev_pop(x))
+    return rows.withColumn(x, F.when(F.col("__std") < least, F.col(x)).otherwise((F.col(x) - F.col("__mean")) / F.col("__std"))).drop("__mean", "__std")
 
 
 def grouping_sets(df: DataFrame, sets: list[tuple[str, ...]], aggregates: list[Column]) -> DataFrame:

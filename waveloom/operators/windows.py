@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import with_stats
+
 
 def moments(df: DataFrame, keys: list[str], columns: list[str], window: int, skip: int) -> DataFrame:
     """keys.., widx, n, mean_c, m2_c for full windows of `window` bins every `skip` bins (which must divide it).
@@ -101,7 +103,7 @@ def wiener(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     half = width // 2
     frame = W.partitionBy(*keys).orderBy("bin").rowsBetween(-half, width - 1 - half)
     rows = df.withColumn("__m", F.avg("v").over(frame)).withColumn("__q", F.var_pop("v").over(frame))
-    rows = rows.withColumn("__noise", F.avg("__q").over(W.partitionBy(*keys)))
+    rows = with_stats(rows, keys, __noise=F.avg("__q"))
     gain = F.when(F.col("__q") > F.col("__noise"), (F.col("__q") - F.col("__noise")) / F.col("__q")).otherwise(F.lit(0.0))
     return rows.withColumn("v", F.col("__m") + gain * (F.col("v") - F.col("__m"))).drop("__m", "__q", "__noise")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import intervals as I
 from ..operators import spectral as S
+from ..operators.stats import with_stats
 from ..sources import tables as T
 from ..sources import views as V
 from .naming import _PARSED, features
@@ -280,8 +281,8 @@ def f8_muscle_artifacts(spark, sf_dir):
     """Runs of bins in which the fast part of all channels together, scaled by channel, lies above a threshold."""
     series = W.partitionBy("rec", "ch").orderBy("bin")
     fast = V.samples(spark, sf_dir).withColumn("d", F.abs(F.col("v") - F.lag("v").over(series)))
-    own = W.partitionBy("rec", "ch")
-    z = fast.withColumn("z", (F.col("d") - F.avg("d").over(own)) / F.nullif(F.stddev_pop("d").over(own), F.lit(0.0)))
+    scaled = with_stats(fast, ["rec", "ch"], m=F.avg("d"), sd=F.stddev_pop("d"))
+    z = scaled.withColumn("z", (F.col("d") - F.col("m")) / F.nullif("sd", F.lit(0.0)))
     high = z.groupBy("rec", "bin").agg(F.avg("z").alias("z")).filter("z > 1.2")
     run = F.col("bin") - F.row_number().over(W.partitionBy("rec").orderBy("bin"))
     return high.withColumn("run", run).groupBy("rec", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).drop("run")

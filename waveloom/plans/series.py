@@ -134,8 +134,8 @@ def a4_grouping_modes(spark, sf_dir):
 
 @query("SELECT rec, ch, bin, round(v - avg(v) OVER (PARTITION BY rec % 10, ch), 6) v FROM fx_samples")
 def a5_group_value_to_members(spark, sf_dir):
-    rows = V.samples(spark, sf_dir)
-    return rows.select("rec", "ch", "bin", R6(F.col("v") - F.avg("v").over(W.partitionBy(F.col("rec") % 10, "ch"))).alias("v"))
+    rows = S.with_stats(V.samples(spark, sf_dir).withColumn("g", F.col("rec") % 10), ["g", "ch"], m=F.avg("v"))
+    return rows.select("rec", "ch", "bin", R6(F.col("v") - F.col("m")).alias("v"))
 
 
 @query(f"WITH {_TRIM} SELECT rec, ch, bin, round((v - m) / s, 6) v FROM fx_samples JOIN tr USING (rec, ch) WHERE s > 0")
