@@ -91,6 +91,27 @@ def test_jaccard_like_brute_force(spark, seed, monkeypatch):
     assert {r.doc_id: r.n_shingles for r in got} == sizes
 
 
+def test_a_line_in_every_document_is_dealt_by_set(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHINGLES", 2000)
+    monkeypatch.setattr(jaccard, "DOCS", 40)
+    rnd = random.Random(14)
+    line = " ".join(f"every{i}" for i in range(40))
+    texts = [line + " " + prose(rnd, rnd.randrange(20, 60)) for _ in range(300)]
+    texts += [line + " " + t for t in family(rnd, 50, 8, 4)] + [line, line + " x", prose(rnd, 30)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, sizes = brute_classes(rows)
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.classes(docs).collect()} == {i: (want[i], sizes[i]) for i in want}
+    known = jaccard.store(jaccard.sets(docs), "test")
+    hot = jaccard._hot(known, 300)
+    assert 30 <= len(hot) <= 60
+    packed = jaccard._dealt(docs, 5, "text", hot, 4).collect()
+    entries = Counter()
+    for r in packed:
+        entries[r.part] += len(r.keys) // (6 if r.part >= 0 else 8)
+    assert len([p for p in entries if p < 0]) == 4 and max(entries.values()) < 2 * sum(entries.values()) / len(entries)
+
+
 def test_jaccard_edge_cases(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

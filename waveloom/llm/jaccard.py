@@ -39,6 +39,10 @@ NUM, DEN = 75, 100
 SHINGLES, ENTRIES, DOCS = 1_500_000, 400_000, 2500
 #: Characters whose words are hashed at once.
 CHARS = 1_000_000
+#: A shingle is hot if it is in this share of all sets, and that many; hot ones that are known at most.
+HOT_SHARE, HOT_LEAST, HOT_KEYS = 1 / 64, 8, 1 << 16
+#: What stands for the number of sets of a hot shingle: all of them come last.
+_OFTEN = (1 << 31) - 2
 #: Sets of one index list that are compared at once.
 LIST = 4096
 #: The number of a stored row.
@@ -109,19 +113,45 @@ def _split(values: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
 
 
 def sets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, sig (equal for equal sets; null without shingles), and the columns of `keep`."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), *(docs.schema[c] for c in keep)])
+    """doc_id, n_shingles, sig (equal for equal sets; null without shingles), the columns of `keep`, and in one row of
+    each slice of texts `often`: shingles that many of its different sets hold, with how many do."""
+    pair = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    own = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "sig")]
+    schema = T.StructType([*own, *(docs.schema[c] for c in keep), T.StructField("often", T.ArrayType(pair))])
+    often_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text", CHARS):
                 keys, lens = shingles(texts)
-                sigs = [_signature(k) if len(k) else None for k in _split(keys, lens)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(sigs, pa.int64()), *map(part.column, keep)], names=schema.names)
+                cut = _split(keys, lens)
+                sigs = [_signature(k) if len(k) else None for k in cut]
+                found = [_often(list({s: k for s, k in zip(sigs, cut, strict=True) if s is not None}.values()))] + [None] * (len(sigs) - 1)
+                columns = [part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(sigs, pa.int64()), *map(part.column, keep), pa.array(found, often_type)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
 
 
+def _often(sets_: list[np.ndarray]) -> list[dict[str, int]]:
+    """Shingles in so many of these sets that they may be hot.  One in a share of all sets is in that share of some
+    slice at least, so no slice needs to look at rarer ones."""
+    least = max(HOT_LEAST, len(sets_) * HOT_SHARE)
+    if len(sets_) < least:
+        return []
+    keys, n = np.unique(np.concatenate(sets_), return_counts=True)
+    at = n >= least
+    return [{"key": k, "n": c} for k, c in zip(keys[at].view(np.int64).tolist(), n[at].tolist(), strict=True)]
+
+
+def _hot(known: DataFrame, n_sets: int) -> np.ndarray:
+    """Sorted shingles that are in HOT_SHARE of all sets or more; at most 1 / HOT_SHARE times the shingles of a mean set,
+    and of these the HOT_KEYS most frequent.  Which are known decides only how they are dealt and ordered, not what links."""
+    counts = known.select(F.inline("often")).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, n_sets * HOT_SHARE))
+    top = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    return np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+
+
 def _six(keys: np.ndarray) -> bytes:
     """The low six bytes of each key."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -136,8 +166,12 @@ def _from_six(raw: bytes) -> np.ndarray:
 _PACKED = "part int, sigs binary, ns binary, lens binary, keys binary"
 
 
-def _dealt(docs: DataFrame, parts: int, text: str) -> DataFrame:
-    """Shingles dealt by hash into `parts`, packed: for each part the sets' sig, size, how many keys, keys (48 bits)."""
+def _dealt(docs: DataFrame, parts: int, text: str, hot: np.ndarray, hot_parts: int) -> DataFrame:
+    """Shingles dealt by hash into `parts`, packed: for each part the sets' sig, size, how many keys, keys (48 bits).
+
+    Hot shingles, of which one part would get an entry from every set, are dealt by set into parts of
+    their own, numbered below 0, with their final keys (64 bits).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task count once
@@ -156,9 +190,14 @@ def _dealt(docs: DataFrame, parts: int, text: str) -> DataFrame:
                 keys, n = np.concatenate([cut[i] for i in use]), lens[use]
                 of = np.repeat(np.arange(len(use)), n)
                 part = ((keys >> np.uint64(36)) % np.uint64(parts)).astype(np.int32)  # 28 bits, of which the key keeps 12
+                sig = np.array([sigs[i] for i in use], np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                    is_hot = hot[at] == keys
+                    keys = np.where(is_hot, _final(keys, part.astype(np.uint64)), keys)
+                    part = np.where(is_hot, -1 - (sig.view(np.uint64) % np.uint64(hot_parts)).astype(np.int32)[of], part)
                 order = np.argsort(part, kind="stable")
                 keys, of, part = keys[order], of[order], part[order]
-                sig = np.array([sigs[i] for i in use], np.int64)
                 rows = {c: [] for c in ("part", "sigs", "ns", "lens", "keys")}
                 for p, a, b in _runs(part):
                     which, count = np.unique(of[a:b], return_counts=True)
@@ -166,12 +205,17 @@ def _dealt(docs: DataFrame, parts: int, text: str) -> DataFrame:
                     rows["sigs"].append(sig[which].tobytes())
                     rows["ns"].append(n[which].astype(np.int32).tobytes())
                     rows["lens"].append(count.astype(np.int32).tobytes())
-                    rows["keys"].append(_six(keys[a:b]))
+                    rows["keys"].append(_six(keys[a:b]) if p >= 0 else keys[a:b].tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_packed_schema())
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, _PACKED)
 
 
+def _final(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """48 bits alone would mix parts: the final key of a shingle is a hash of both."""
+    return _mix((keys & np.uint64((1 << 48) - 1)) + part * _ODD)
+
+
 def _packed_schema() -> pa.Schema:
     return pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("sigs", "ns", "lens", "keys"))])
 
@@ -192,21 +236,24 @@ def _counted(groups: int):
     def count(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         sigs, ns, lens = _joined(table, "sigs", "<i8"), _joined(table, "ns", "<i4"), _joined(table, "lens", "<i4")
-        keys = _from_six(b"".join(table["keys"].to_pylist()))
+        raw = b"".join(table["keys"].to_pylist())
+        keys = _from_six(raw) if part >= 0 else np.frombuffer(raw, "<u8")
         _, first = np.unique(sigs, return_index=True)
         once = np.zeros(len(sigs), bool)
         once[first] = True
         stay = np.repeat(once, lens)
         sigs, ns, lens, keys = sigs[once], ns[once], lens[once], keys[stay]
         of = np.repeat(np.arange(len(sigs), dtype=np.int32), lens)
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        edge = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)])
-        df = np.empty(len(keys), np.int32)
-        df[order] = np.repeat(np.diff(np.append(edge, len(keys))), np.diff(np.append(edge, len(keys))))
-        shared = df > 1
-        # 48 bits alone would mix parts: the key becomes a hash of both
-        keys, of, df = _mix(keys[shared] + np.uint64(part) * _ODD), of[shared], df[shared]
+        if part >= 0:
+            order = np.argsort(keys, kind="stable")
+            sorted_keys = keys[order]
+            edge = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)])
+            df = np.empty(len(keys), np.int32)
+            df[order] = np.repeat(np.diff(np.append(edge, len(keys))), np.diff(np.append(edge, len(keys))))
+            shared = df > 1
+            keys, of, df = _final(keys[shared], np.full(int(shared.sum()), part, np.uint64)), of[shared], df[shared]
+        else:
+            df = np.full(len(keys), _OFTEN, np.int32)
         group = (sigs.astype(np.uint64) % np.uint64(groups)).astype(np.int64)[of]
         order = np.argsort(group, kind="stable")
         keys, of, df, group = keys[order], of[order], df[order], group[order]
@@ -264,7 +311,10 @@ def linkable(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     if not size["sets"]:
         return docs.sparkSession.createDataFrame([], "sig long, n long, alone long, keys binary")
     parts, groups = -(-size["n"] // SHINGLES), -(-size["sets"] // DOCS)
-    counted = _dealt(docs, parts, text).groupBy("part").applyInArrow(_counted(groups), ", ".join(f"{c} {'long' if c == 'grp' else 'binary'}" for c in _BACK))
+    hot = _hot(known, size["sets"])
+    # at most as many entries as every set times every hot shingle
+    hot_parts = max(1, min(groups, -(-size["sets"] * len(hot) // SHINGLES)))
+    counted = _dealt(docs, parts, text, hot, hot_parts).groupBy("part").applyInArrow(_counted(groups), ", ".join(f"{c} {'long' if c == 'grp' else 'binary'}" for c in _BACK))
     return counted.groupBy("grp").applyInArrow(_ordered, "sig long, n long, alone long, keys binary")
 
 
