@@ -100,9 +100,14 @@ def _placed(points: DataFrame, point: str, ranges: DataFrame, scale: float) -> D
     return joined.filter((F.col(point) >= F.col("lo")) & (F.col(point) < F.col("hi"))).drop("__cell")
 
 
+def _parts(spark: SparkSession, n: int) -> int:
+    """Partitions of at most a million numbers."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(n / 1_000_000))
+
+
 def _numbers(spark: SparkSession, n: int) -> DataFrame:
-    """0..n-1 in partitions of at most a million."""
-    return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, math.ceil(n / 1_000_000)))
+    """0..n-1."""
+    return spark.range(0, n, 1, _parts(spark, n))
 
 
 def drawn(spark: SparkSession, plan: DataFrame, total: int, per_shard: int = SLOTS, seed: int = 7) -> DataFrame:
@@ -136,7 +141,9 @@ def slots(spark: SparkSession, sources: DataFrame, block: int = BLOCK, per_shard
     open_ = short.agg(F.max("hi")).first()[0] or 0
     moved = _placed(excess, "at", short.select("src", "blocks", "got", "lo", "hi"), float(max(open_, 1)))
     moved = moved.select("shard", "src", "blocks", (F.col("got") + F.col("at") - F.col("lo")).alias("nth"))
-    own = counts.filter("fits > 0").select("shard", "src", "blocks", F.explode(F.sequence("before", F.col("before") + F.col("fits") - 1)).alias("nth"))
+    # a row stands for up to a shard of slots: few rows make many, so they are spread by the number of slots
+    spread = counts.filter("fits > 0").repartition(_parts(spark, total), "shard", "src")
+    own = spread.select("shard", "src", "blocks", F.explode(F.sequence("before", F.col("before") + F.col("fits") - 1)).alias("nth"))
     every = own.unionByName(moved)
     return every.withColumn("block", permuted("nth % blocks", "blocks", "src")).select("shard", "src", "block")
 
