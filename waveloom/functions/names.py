@@ -130,3 +130,48 @@ def selected(
     if drop_hfo:
         rules.append(~F.coalesce(F.col("fb1").startswith("HFO"), F.lit(False)) & ~F.coalesce(F.col("fb2").startswith("HFO"), F.lit(False)))
     return features.filter(conjunction(rules))
+
+
+# Names of coarse groups of parcels, and the parcels called motor-related where no other list is given.
+CEREBELLUM, UNLABELED = "Cerebellum", "unlabeled"
+MOTOR_PARCELS = ("Precentral", "Postcentral", "Supp_Motor_Area", "Paracentral_Lobule", "Rolandic_Oper", "Cerebellum")
+TEST_PARCELS = ("Supp_Motor_Area", "Precentral")
+
+
+def parcel_groupings(label: Column, motor: tuple[str, ...] = MOTOR_PARCELS) -> dict[str, Column]:
+    """The coarse group of a parcel (<name>_<L or R>, or 'unlabeled') under every grouping."""
+    sided = lambda name: F.concat(F.lit(f"{name}_"), F.right(label, F.lit(1)))
+    both = lambda name: F.lit(f"{name}_B")
+    base = F.regexp_replace(label, "_[LR]$", "")
+    cerebellum, known = label.startswith(CEREBELLUM), label != UNLABELED
+
+    def cases(*rules: tuple[Column | None, Column]) -> Column:
+        out = F.when(~known, F.lit(UNLABELED))
+        for when, then in rules:
+            out = out.otherwise(then) if when is None else out.when(when, then)
+        return out
+
+    motor_cerebellum, motor_rest = cerebellum & base.isin(*motor), ~cerebellum & base.isin(*motor)
+    groups = {
+        "all": label,
+        "all_raw": label,
+        "merged": cases((None, both("brain"))),
+        "merged_by_side": cases((None, sided("hemisphere"))),
+        "CB_vs_rest": cases((cerebellum, label), (None, sided("notCerebellum"))),
+        "CBmerged_vs_rest": cases((cerebellum, both(CEREBELLUM)), (None, sided("notCerebellum"))),
+        "motor-related_incCB_vs_rest": cases((base.isin(*motor), sided("motor-related_incCB")), (None, sided("rest"))),
+        "motor-related_only": F.when(base.isin(*motor), label).otherwise(UNLABELED),
+        "test": F.when(base.isin(*TEST_PARCELS), label).otherwise(UNLABELED),
+    }
+    for name, own, side in (
+        ("motor-related_vs_CB_vs_rest", label, sided),
+        ("motor-related_vs_CBmerged_vs_rest", both(CEREBELLUM), sided),
+        ("motor-related_vs_CB_vs_rest_merge_across_sides", both(CEREBELLUM), both),
+    ):
+        groups[name] = cases((motor_cerebellum, own), (motor_rest, side("motor-related")), (None, side("rest")))
+    return groups
+
+
+def add_body_side(parcel: Column, body_side: Column) -> Column:
+    """A parcel without a side gets that opposite to the side of the body; the cerebellum lies on the same side."""
+    return F.concat(parcel, F.lit("_"), F.when(parcel == CEREBELLUM, body_side).otherwise(opposite(body_side)))

@@ -208,6 +208,63 @@ def p16_mirror_parcels(spark, sf_dir):
     return rows.select("ch", F.format_string("msrc%s_%d_%d_c%d", N.opposite(F.col("p.side")), "p.grp", "swapped", "p.comp").alias("mirrored"), (-F.col("x")).alias("x"))
 
 
+_AREAS = """named AS (SELECT DISTINCT p_partkey % 59 AS parcel, ['Cerebellum','Precentral','Supp_Motor_Area','Calcarine','Insula','Postcentral','unlabeled'][p_partkey % 59 % 7 + 1] b, CASE WHEN p_partkey % 59 % 2 = 0 THEN 'L' ELSE 'R' END AS side FROM part),
+  areas AS (SELECT parcel, b, side, CASE WHEN b = 'unlabeled' THEN b ELSE b || '_' || side END AS label, b IN ('Cerebellum', 'Precentral', 'Supp_Motor_Area', 'Postcentral') AS motor FROM named)"""
+
+
+def _areas(spark, sf_dir):
+    """parcel, base, side, label: parcels with names of areas."""
+    k = F.col("p_partkey") % 59
+    base = F.element_at(F.array(*map(F.lit, ("Cerebellum", "Precentral", "Supp_Motor_Area", "Calcarine", "Insula", "Postcentral", "unlabeled"))), (k % 7 + 1).cast("int"))
+    side = F.when(k % 2 == 0, "L").otherwise("R")
+    label = F.when(base == "unlabeled", base).otherwise(F.concat_ws("_", base, side))
+    return V.table(spark, sf_dir, "part").select(k.cast("int").alias("parcel"), base.alias("base"), side.alias("side"), label.alias("label")).distinct()
+
+
+@query(f"""WITH {_PARSED}, {_AREAS}, g AS (SELECT parcel, side, motor, label, b, u.name, CASE
+    WHEN u.name IN ('all', 'all_raw') THEN label WHEN u.name = 'motor-related_only' THEN CASE WHEN motor THEN label ELSE 'unlabeled' END
+    WHEN u.name = 'test' THEN CASE WHEN b IN ('Supp_Motor_Area', 'Precentral') THEN label ELSE 'unlabeled' END WHEN b = 'unlabeled' THEN b
+    WHEN u.name = 'merged' THEN 'brain_B' WHEN u.name = 'merged_by_side' THEN 'hemisphere_' || side
+    WHEN u.name = 'CB_vs_rest' THEN CASE WHEN b = 'Cerebellum' THEN label ELSE 'notCerebellum_' || side END
+    WHEN u.name = 'CBmerged_vs_rest' THEN CASE WHEN b = 'Cerebellum' THEN 'Cerebellum_B' ELSE 'notCerebellum_' || side END
+    WHEN u.name = 'motor-related_incCB_vs_rest' THEN CASE WHEN motor THEN 'motor-related_incCB_' ELSE 'rest_' END || side
+    WHEN b = 'Cerebellum' THEN CASE WHEN u.name = 'motor-related_vs_CB_vs_rest' THEN label ELSE 'Cerebellum_B' END
+    ELSE CASE WHEN motor THEN 'motor-related_' ELSE 'rest_' END || CASE WHEN u.name LIKE '%across_sides' THEN 'B' ELSE side END END grp
+  FROM areas, (VALUES ('all'), ('all_raw'), ('merged'), ('merged_by_side'), ('CB_vs_rest'), ('CBmerged_vs_rest'), ('motor-related_incCB_vs_rest'), ('motor-related_only'), ('test'),
+    ('motor-related_vs_CB_vs_rest'), ('motor-related_vs_CBmerged_vs_rest'), ('motor-related_vs_CB_vs_rest_merge_across_sides')) u(name)),
+  c AS (SELECT split_part(ch1, '_', 3)::INT parcel, count(*) n FROM pf WHERE ch1 LIKE 'msrc%' GROUP BY ALL)
+  SELECT name, grp, count(*) parcels, sum(n)::BIGINT n FROM g JOIN c USING (parcel) GROUP BY ALL""")
+def j13_parcel_groupings(spark, sf_dir):
+    """Features of sources by the coarse groups of their parcels, under every grouping at once."""
+    parcel = N.source(F.col("ch1"))["parcel"].alias("parcel")
+    n = features(spark, sf_dir).filter("mod1 = 'msrc'").groupBy(parcel).agg(F.count("*").alias("n"))
+    groups = N.parcel_groupings(F.col("label"))
+    each = F.array(*[F.struct(F.lit(k).alias("name"), c.alias("grp")) for k, c in groups.items()])
+    rows = _areas(spark, sf_dir).join(n, "parcel").select("n", F.inline(each))
+    return rows.groupBy("name", "grp").agg(F.count("*").alias("parcels"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {_AREAS} SELECT DISTINCT b AS parcel, side AS body_side, b || '_' || CASE WHEN b = 'Cerebellum' THEN side WHEN side = 'L' THEN 'R' ELSE 'L' END AS label FROM areas WHERE b <> 'unlabeled'")
+def j13_side_of_body(spark, sf_dir):
+    rows = _areas(spark, sf_dir).filter("base <> 'unlabeled'").select(F.col("base").alias("parcel"), F.col("side").alias("body_side")).distinct()
+    return rows.withColumn("label", N.add_body_side(F.col("parcel"), F.col("body_side")))
+
+
+@query(f"""WITH {_PARSED}, {_PARCELS}, c AS (SELECT ch1 ch, count(*) n FROM pf GROUP BY ch1), m AS (SELECT ch, n, CASE WHEN ch LIKE 'LFP%' THEN 'LFP' ELSE 'msrc' END AS modality FROM c),
+  i AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY ch) - 1 AS idx FROM m), s AS (SELECT i.*, CASE WHEN modality = 'LFP' THEN ch[4] WHEN x < 0 THEN 'L' ELSE 'R' END AS side FROM i LEFT JOIN parcels ON modality = 'msrc' AND parcel = TRY_CAST(split_part(ch, '_', 3) AS INT))
+  SELECT modality, side, string_agg(ch, ',' ORDER BY ch) AS names, string_agg(idx::VARCHAR, ',' ORDER BY ch) AS places, string_agg(ch, ',' ORDER BY ch) FILTER (n < 10) AS bad FROM s GROUP BY ALL""")
+def p25_tuples_by_side(spark, sf_dir):
+    """Names and places of the channels of each modality and side (of sources by the sign of x), and which hold too little."""
+    ch = features(spark, sf_dir).groupBy(F.col("ch1").alias("ch")).agg(F.count("*").alias("n")).withColumn("modality", N.modality(F.col("ch")))
+    placed = ch.withColumn("idx", F.row_number().over(W.partitionBy("modality").orderBy("ch")) - 1)  # one row a channel
+    x = _parcels(spark, sf_dir).select("parcel", "x")
+    placed = placed.withColumn("parcel", N.source(F.col("ch"))["parcel"]).join(F.broadcast(x), "parcel", "left")
+    side = F.when(F.col("modality") == "LFP", N.side(F.col("ch"))).when(F.col("x") < 0, "L").otherwise("R")
+    listed = lambda c, of=None: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("ch", c)) if of is not None else F.struct("ch", c))), lambda t: t[c].cast("string")), ",")
+    rows = placed.withColumn("side", side).withColumn("name", F.col("ch")).groupBy("modality", "side")
+    return rows.agg(listed("name").alias("names"), listed("idx").alias("places"), F.nullif(listed("name", F.col("n") < 10), F.lit("")).alias("bad"))
+
+
 @query("""WITH d AS (SELECT *, s > lag(e) OVER (PARTITION BY rec, label ORDER BY s, e) brk FROM fx_ivals), c AS (SELECT *, sum(coalesce(brk, true)::INT) OVER (PARTITION BY rec, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM d),
   p AS (SELECT *, (row_number() OVER (PARTITION BY rec, label, k ORDER BY s, e) - 1) // 2 q FROM c) SELECT rec, label, round(min(s), 3) s, round(max(e), 3) e FROM p GROUP BY rec, label, k, q""")
 def w9_one_pass_merge(spark, sf_dir):
