@@ -87,15 +87,27 @@ def masked(df: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
     return df.join(marks, on, "left").withColumn("v", F.when(F.col("__bad").isNull(), F.col("v"))).drop("__bad")
 
 
-def interpolated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Fill null v linearly in time; gaps at the begin become 0, gaps at the end keep the last value."""
-    order = W.partitionBy(*keys).orderBy("bin")
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col("v").isNotNull(), F.col("bin"))
-    rows = df.withColumns({"__v0": F.last("v", True).over(back), "__b0": F.last(at, True).over(back), "__v1": F.first("v", True).over(ahead), "__b1": F.first(at, True).over(ahead)})
-    between = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col("bin") - F.col("__b0")) / (F.col("__b1") - F.col("__b0"))
-    v = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("__v0").isNull(), F.lit(0.0)).when(F.col("__v1").isNull(), F.col("__v0")).otherwise(between)
-    return rows.withColumn("v", v).drop("__v0", "__b0", "__v1", "__b1")
+def interpolated(df: DataFrame, keys: list[str], chunk: int = 65_536) -> DataFrame:
+    """Fill null v linearly in time; gaps at the begin become 0, gaps at the end keep the last value.
+
+    Series are cut into chunks of bins.  Within a chunk a window finds the values around a gap; for gaps that
+    cross its ends, the values before and after come from one row for each chunk, so that a long series is
+    never one task's group.
+    """
+    known = F.when(F.col("v").isNotNull(), F.struct("bin", "v"))
+    rows = df.withColumn("__c", F.floor(F.col("bin") / chunk))
+    over = W.partitionBy(*keys).orderBy("__c")
+    ends = rows.groupBy(*keys, "__c").agg(F.min(known).alias("__first"), F.max(known).alias("__last"))
+    before = F.last("__last", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("__before")
+    after = F.first("__first", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("__after")
+    ends = ends.select(*keys, "__c", before, after)
+    inside = W.partitionBy(*keys, "__c").orderBy("bin")
+    rows = rows.withColumn("__p", F.last(known, True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("__n", F.first(known, True).over(inside.rowsBetween(0, W.unboundedFollowing))).join(ends, [*keys, "__c"])
+    rows = rows.withColumns({"__p": F.coalesce("__p", "__before"), "__n": F.coalesce("__n", "__after")})
+    between = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col("bin") - F.col("__p.bin")) / (F.col("__n.bin") - F.col("__p.bin"))
+    v = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("__p").isNull(), F.lit(0.0)).when(F.col("__n").isNull(), F.col("__p.v")).otherwise(between)
+    return rows.withColumn("v", v).select(df.columns)
 
 
 def wiener(df: DataFrame, keys: list[str], width: int) -> DataFrame:
