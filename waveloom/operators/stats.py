@@ -6,20 +6,34 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def trimmed(df: DataFrame, keys: list[str], x: str = "v", q: float = 0.05, upper: float | None = None, approximate: int | None = None) -> DataFrame:
     """keys.., n, mean, std of the values within the [q, upper] quantiles, bounds inclusive (std: population).
 
-    `upper` is 1 - q by default; q = 0 with an upper bound is the one-sided form for positive data.
-    `approximate` (an accuracy) uses Spark's quantile sketch, which merges before the shuffle.
+    `upper` is 1 - q by default; q = 0 with an upper bound is the one-sided form for positive data.  Quantiles
+    are exact and interpolated: values move once, are sorted (on disk where memory ends) and looked up by
+    their places, and all else happens on that partitioning.  `approximate` (an accuracy) uses Spark's
+    quantile sketch instead, which merges before the shuffle.
     """
     upper = 1 - q if upper is None else upper
-    bounds = F.percentile_approx(x, [q, upper], approximate) if approximate else F.percentile(x, F.array(F.lit(q), F.lit(upper)))
-    limits = df.groupBy(*keys).agg(bounds.alias("__b"))
-    rows = df.join(limits, keys).filter((F.col(x) >= F.col("__b")[0]) & (F.col(x) <= F.col("__b")[1]))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    if approximate:
+        limits = df.groupBy(*keys).agg(F.percentile_approx(x, [q, upper], approximate).alias("__b"))
+        rows = df.join(limits, keys).filter((F.col(x) >= F.col("__b")[0]) & (F.col(x) <= F.col("__b")[1]))
+        return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    group = W.partitionBy(*keys)
+    rows = df.select(*keys, x).filter(F.col(x).isNotNull()).withColumn("__at", F.row_number().over(group.orderBy(x)) - 1).withColumn("__n", F.count("*").over(group))
+
+    def bound(share: float) -> Column:
+        place = F.lit(share) * (F.col("__n") - 1)
+        below, above = F.floor(place), F.ceil(place)
+        a, b = (F.max(F.when(F.col("__at") == p, F.col(x))).over(group) for p in (below, above))
+        return F.when(a == b, a).otherwise((above - place) * a + (place - below) * b)
+
+    inside = rows.withColumns({"__low": bound(q), "__high": bound(upper)}).filter((F.col(x) >= F.col("__low")) & (F.col(x) <= F.col("__high")))
+    return inside.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
 
 
 def rescaled(df: DataFrame, stats: DataFrame, keys: list[str], x: str = "v") -> DataFrame:
