@@ -3,37 +3,132 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def trimmed(df: DataFrame, keys: list[str], x: str = "v", q: float = 0.05, upper: float | None = None, approximate: int | None = None) -> DataFrame:
+#: Accuracy of the sketches that give the first ranges, and equal steps into which a range is cut again.
+ACCURACY, STEPS = 20_000, 64
+
+
+def joined_back(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the other columns of `found`, one row a group; null keys are equal."""
+    own = [f"__k{i}" for i in range(len(keys))]
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)), F.lit(True))
+    return df.join(found.withColumnsRenamed(dict(zip(keys, own, strict=True))), same).drop(*own)
+
+
+def _place(n: Column, share: float) -> Column:
+    """The place (from 0) of a quantile among n values, between two of them if it is not whole."""
+    return F.lit(share) * (n - 1)
+
+
+def ranges(df: DataFrame, keys: list[str], x: str, shares: list[float], accuracy: int = ACCURACY, rounds: int = 1) -> DataFrame:
+    """keys.., lo0, hi0, lo1, ..: for each share a range of values that holds its quantile in the group.
+
+    A mergeable sketch of each group gives the first ranges: to either side of a quantile the narrowest of a ladder of shares
+    that exceeds the sketch's error by two values.  Every further round counts how many values lie below and inside a range,
+    cuts it into STEPS equal parts by a sketch of what is inside, and keeps the part that holds the place with a part to
+    either side.
+    """
+    rows = df.select(*keys, x).filter(F.col(x).isNotNull())
+    ladder = [2 / accuracy * 4**k for k in range(40) if 2 / accuracy * 4 ** (k - 1) < 1]
+    ends = [min(1.0, max(0.0, s + sign * d)) for s in shares for sign in (-1, 1) for d in ladder]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(x, ends, accuracy).alias("__e"))
+    rung = F.size(F.filter(F.array(*map(F.lit, ladder)), lambda d: (d - 1 / accuracy) * F.col("__n") < 2))
+    at = lambda side: F.get("__e", F.lit(side * len(ladder)) + F.least(rung, F.lit(len(ladder) - 1)))
+    found = found.select(*keys, *[at(2 * j + i).alias(f"{n}{j}") for j in range(len(shares)) for i, n in enumerate(("lo", "hi"))])
+    for _ in range(rounds - 1):
+        inside = lambda j: F.when(F.col(x).between(F.col(f"lo{j}"), F.col(f"hi{j}")), F.col(x))
+        steps = [i / STEPS for i in range(STEPS + 1)]
+        counts = [F.count("*").alias("__n")]
+        for j in range(len(shares)):
+            counts += [F.count_if(F.col(x) < F.col(f"lo{j}")).alias(f"__b{j}"), F.count(inside(j)).alias(f"__i{j}"), F.percentile_approx(inside(j), steps, 16 * STEPS).alias(f"__e{j}")]
+        cut = joined_back(rows, found, keys).groupBy(*keys).agg(*counts)
+        part = lambda j, up: ((_place(F.col("__n"), shares[j]) + up - F.col(f"__b{j}")) / F.col(f"__i{j}") * STEPS).cast("int")
+        low = lambda j: F.get(f"__e{j}", F.greatest(F.lit(0), part(j, -1) - 1)).alias(f"lo{j}")
+        high = lambda j: F.get(f"__e{j}", F.least(F.lit(STEPS), part(j, 1) + 2)).alias(f"hi{j}")
+        found = cut.select(*keys, *[f(j) for j in range(len(shares)) for f in (low, high)])
+    return found
+
+
+def _counted(df: DataFrame, keys: list[str], x: str, shares: list[float], accuracy: int, rounds: int, extra: list[Column] = (), merged: list[Column] = ()) -> DataFrame:
+    """keys.., __n, q (the quantiles), __c (values inside a range with their numbers): values that are in no range only add to
+    counts, equal values inside one are a single entry; `extra` is aggregated over the former, `merged` takes it along."""
+    some = range(len(shares))
+    rows = joined_back(df.select(*keys, x).filter(F.col(x).isNotNull()), ranges(df, keys, x, shares, accuracy, rounds), keys)
+    inside = reduce(or_, (F.col(x).between(F.col(f"lo{j}"), F.col(f"hi{j}")) for j in some))
+    below = [F.count_if(F.col(x) < F.col(f"lo{j}")).alias(f"__b{j}") for j in some]
+    ends = [F.min(f"{n}{j}").alias(f"{n}{j}") for j in some for n in ("lo", "hi")]
+    counts = rows.groupBy(*keys, F.when(inside, F.col(x)).alias("__v")).agg(F.count("*").alias("__n"), *below, *ends, *extra)
+    entry = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__n").alias("n")))
+    group = counts.groupBy(*keys).agg(
+        F.sum("__n").alias("__n"), *[F.sum(f"__b{j}").alias(f"__b{j}") for j in some], *[F.min(f"{n}{j}").alias(f"{n}{j}") for j in some for n in ("lo", "hi")], F.array_sort(F.collect_list(entry)).alias("__c"), *merged
+    )
+
+    def at(j: int) -> Column:
+        place = _place(F.col("__n"), shares[j])
+        below_, above = F.floor(place), F.ceil(place)
+        start = F.struct(F.col(f"__b{j}").cast("long").alias("seen"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+
+        def step(s: Column, e: Column) -> Column:
+            seen, v = s["seen"] + e["n"], e["v"].cast("double")
+            first = lambda name, p: F.when(s[name].isNull() & (seen > p), v).otherwise(s[name]).alias(name)
+            return F.struct(seen.alias("seen"), first("a", below_), first("b", above))
+
+        mine = F.filter("__c", lambda e: (e["v"] >= F.col(f"lo{j}")) & (e["v"] <= F.col(f"hi{j}")))
+        missed = F.raise_error(F.lit("the range of a quantile missed it")).cast("double")
+        # a range begins at or before its place and ends behind it, else the sketch broke its word
+        value = lambda r: F.when(r["b"].isNull() | (F.col(f"__b{j}") > below_), missed).when(r["a"] == r["b"], r["a"]).otherwise((above - place) * r["a"] + (place - below_) * r["b"])
+        return F.aggregate(mine, start, step, value)
+
+    return group.withColumn("q", F.array(*[at(j) for j in some]))
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], accuracy: int = ACCURACY, rounds: int = 1) -> DataFrame:
+    """keys.., q: the exact, linearly interpolated quantiles of each group's values that are not null.
+
+    Two passes: a sketch that merges before the shuffle gives each quantile a range (:func:`ranges`), then values outside the
+    ranges are counted and those inside kept with their numbers.  Of n values of a group 4 to 16 n / accuracy different ones
+    (or a few, where n is small) for each quantile meet in a row; each of the `rounds` beyond the first is a pass more and leaves 3 / STEPS of them.
+    """
+    return _counted(df, keys, x, shares, accuracy, rounds).select(*keys, "q")
+
+
+def with_quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], rounds: int = 1) -> DataFrame:
+    """Add q, the quantiles of x in each row's group; rows of groups without a value go."""
+    return joined_back(df, quantiles(df, keys, x, shares, rounds=rounds), keys)
+
+
+def trimmed(df: DataFrame, keys: list[str], x: str = "v", q: float = 0.05, upper: float | None = None, approximate: int | None = None, rounds: int = 1) -> DataFrame:
     """keys.., n, mean, std of the values within the [q, upper] quantiles, bounds inclusive (std: population).
 
     `upper` is 1 - q by default; q = 0 with an upper bound is the one-sided form for positive data.  Quantiles
-    are exact and interpolated: values move once, are sorted (on disk where memory ends) and looked up by
-    their places, and all else happens on that partitioning.  `approximate` (an accuracy) uses Spark's
-    quantile sketch instead, which merges before the shuffle.
+    are exact, by ranges (:func:`quantiles`); the same second pass aggregates what lies between the two ranges, to
+    which the values inside them are added that are within the quantiles.  `approximate` (an accuracy) takes
+    the quantiles of Spark's sketch instead.
     """
     upper = 1 - q if upper is None else upper
     if approximate:
         limits = df.groupBy(*keys).agg(F.percentile_approx(x, [q, upper], approximate).alias("__b"))
-        rows = df.join(limits, keys).filter((F.col(x) >= F.col("__b")[0]) & (F.col(x) <= F.col("__b")[1]))
+        rows = joined_back(df, limits, keys).filter((F.col(x) >= F.col("__b")[0]) & (F.col(x) <= F.col("__b")[1]))
         return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
-    group = W.partitionBy(*keys)
-    rows = df.select(*keys, x).filter(F.col(x).isNotNull()).withColumn("__at", F.row_number().over(group.orderBy(x)) - 1).withColumn("__n", F.count("*").over(group))
-
-    def bound(share: float) -> Column:
-        place = F.lit(share) * (F.col("__n") - 1)
-        below, above = F.floor(place), F.ceil(place)
-        a, b = (F.max(F.when(F.col("__at") == p, F.col(x))).over(group) for p in (below, above))
-        return F.when(a == b, a).otherwise((above - place) * a + (place - below) * b)
-
-    inside = rows.withColumns({"__low": bound(q), "__high": bound(upper)}).filter((F.col(x) >= F.col("__low")) & (F.col(x) <= F.col("__high")))
-    return inside.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    sure = F.when((F.col(x) > F.col("hi0")) & (F.col(x) < F.col("lo1")), F.col(x))
+    extra = [F.count(sure).alias("__s"), F.avg(sure).alias("__m"), F.var_pop(sure).alias("__q")]
+    rest = F.when(F.col("__v").isNull(), F.struct("__s", "__m", "__q"))  # one row of a group at most
+    found = _counted(df, keys, x, [q, upper], ACCURACY, rounds, extra, [F.max(rest).alias("__r")])
+    found = found.withColumn("__c", F.filter("__c", lambda e: e["v"].cast("double").between(F.col("q")[0], F.col("q")[1])))
+    zero = lambda c: F.coalesce(F.col(f"__r.{c}"), F.lit(0.0))
+    total = lambda f: F.aggregate("__c", F.lit(0.0), lambda s, e: s + e["n"] * f(e["v"]))
+    n = (F.coalesce(F.col("__r.__s"), F.lit(0)) + F.aggregate("__c", F.lit(0).cast("long"), lambda s, e: s + e["n"])).alias("n")
+    # deviations from the mean of what is sure, or from any value: sums of large squares never meet
+    mid = F.coalesce(F.col("__r.__m"), F.get("__c", F.lit(0))["v"].cast("double"))
+    found = found.select(*keys, n, mid.alias("__mid"), "__c", "__r").withColumn("__d", total(lambda v: v - F.col("__mid")) / F.col("n"))
+    square = (zero("__s") * zero("__q") + total(lambda v: (v - F.col("__mid")) * (v - F.col("__mid")))) / F.col("n")
+    return found.select(*keys, "n", (F.col("__mid") + F.col("__d")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - F.col("__d") * F.col("__d"))).alias("std"))
 
 
 def rescaled(df: DataFrame, stats: DataFrame, keys: list[str], x: str = "v") -> DataFrame:
@@ -45,10 +140,7 @@ def rescaled(df: DataFrame, stats: DataFrame, keys: list[str], x: str = "v") ->
 def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     """Add statistics of each row's group: aggregated first and joined back, so that a group of any size is never one
     task's window."""
-    own = [f"__k{i}" for i in range(len(keys))]
-    found = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]).withColumnsRenamed(dict(zip(keys, own, strict=True)))
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)))
-    return df.join(found, same).drop(*own)
+    return joined_back(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
 def zscored(df: DataFrame, keys: list[str], x: str = "v", least: float = 1e-19) -> DataFrame:

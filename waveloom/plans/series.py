@@ -157,7 +157,9 @@ def a42_match_scale(spark, sf_dir):
 @query("SELECT rec, ch, max(v) most, round(quantile_cont(v, 0.9), 6) q90 FROM fx_samples JOIN (SELECT DISTINCT rec, unnest(range(b0, b1)) bin FROM fx_anns WHERE label IN ('trem', 'hold')) USING (rec, bin) GROUP BY ALL")
 def a9_interval_maxima(spark, sf_dir):
     bins = _labelled(spark, sf_dir).filter(F.col("label").isin("trem", "hold")).select("rec", "bin").distinct()
-    return V.samples(spark, sf_dir).join(bins, ["rec", "bin"]).groupBy(RC).agg(F.max("v").alias("most"), R6(F.percentile("v", 0.9)).alias("q90"))
+    rows = V.samples(spark, sf_dir).join(bins, ["rec", "bin"])
+    most = rows.groupBy(RC).agg(F.max("v").alias("most"))
+    return S.joined_back(most, S.quantiles(rows, RC, "v", [0.9]), RC).select("rec", "ch", "most", R6(F.col("q")[0]).alias("q90"))
 
 
 @query(f"""WITH {_BINS} SELECT label, ch, CASE WHEN v < 0 THEN 0 WHEN v >= 50 THEN 11 ELSE floor(v / 5)::INT + 1 END bucket, count(*) n FROM fx_samples JOIN lb USING (rec, bin) WHERE ch = 'qty' GROUP BY ALL""")
@@ -188,8 +190,7 @@ def w3_windowed_ratio(spark, sf_dir):
 def w5_envelope(spark, sf_dir):
     rows = V.samples(spark, sf_dir).filter("ch = 'qty'")
     e = rows.withColumn("z", X.box(rows, ["rec"], F.abs(F.col("v") - 25), 9))
-    q = e.groupBy("rec").agg(F.percentile("z", 0.75).alias("q"))
-    return e.join(q, "rec").select("rec", "bin", R6(F.col("z") / F.col("q")).alias("envelope"))
+    return S.with_quantiles(e, ["rec"], "z", [0.75]).select("rec", "bin", R6(F.col("z") / F.col("q")[0]).alias("envelope"))
 
 
 @query(f"""WITH {_BINS}, m AS (SELECT s.rec, s.bin, CASE WHEN b.bin IS NULL THEN v END v FROM fx_samples s LEFT JOIN (SELECT DISTINCT rec, bin FROM lb WHERE label = 'move') b ON s.rec = b.rec AND s.bin = b.bin WHERE ch = 'price'),
@@ -215,8 +216,7 @@ def w15_wiener(spark, sf_dir):
   SELECT rec, lag, k widx, round(avg(z), 5) corr FROM p, range(0, 8) o(j), LATERAL (SELECT bin // 4 - j AS k) WHERE k >= 0 GROUP BY ALL HAVING count(*) = 32""")
 def w13_lagged_correlation(spark, sf_dir):
     rows = V.samples(spark, sf_dir).filter(F.col("ch").isin("qty", "price"))
-    span = rows.groupBy(RC).agg((F.percentile("v", 0.93) - F.percentile("v", 0.01)).alias("span"))
-    z = rows.join(span, RC).withColumn("v", F.col("v") / F.col("span"))
+    z = S.with_quantiles(rows, RC, "v", [0.01, 0.93]).withColumn("v", F.col("v") / (F.col("q")[1] - F.col("q")[0])).drop("q")
     left = z.filter("ch = 'qty'").select("rec", "bin", F.col("v").alias("va")).withColumn("lag", F.explode(F.sequence(F.lit(-2), F.lit(2))))
     right = z.filter("ch = 'price'").select("rec", F.col("bin").alias("at"), F.col("v").alias("vb"))
     both = left.withColumn("at", F.col("bin") + F.col("lag")).join(right, ["rec", "at"])
@@ -233,8 +233,8 @@ def w22_reindex_without_edges(spark, sf_dir):
 @query("SELECT rec, bin, round((v - avg(v) OVER w) / (quantile_cont(v, 0.93) OVER w - quantile_cont(v, 0.01) OVER w), 6) v FROM fx_samples WHERE ch = 'price' WINDOW w AS (PARTITION BY rec)")
 def w23_quantile_normalise(spark, sf_dir):
     rows = V.samples(spark, sf_dir).filter("ch = 'price'")
-    q = rows.groupBy("rec").agg(F.avg("v").alias("m"), (F.percentile("v", 0.93) - F.percentile("v", 0.01)).alias("span"))
-    return rows.join(q, "rec").select("rec", "bin", R6((F.col("v") - F.col("m")) / F.col("span")).alias("v"))
+    rows = S.with_quantiles(S.with_stats(rows, ["rec"], m=F.avg("v")), ["rec"], "v", [0.01, 0.93])
+    return rows.select("rec", "bin", R6((F.col("v") - F.col("m")) / (F.col("q")[1] - F.col("q")[0])).alias("v"))
 
 
 @query("""SELECT rec, bin, round(0.25 * coalesce(lag(v, -1) OVER w, 0) + 0.5 * v + 0.25 * coalesce(lag(v, 1) OVER w, 0), 6) v FROM fx_samples WHERE ch = 'qty' WINDOW w AS (PARTITION BY rec ORDER BY bin)""")
@@ -255,8 +255,7 @@ def w7_active_runs(spark, sf_dir):
   SELECT rec, min(bin) b0, max(bin) + 1 b1 FROM g GROUP BY rec, i""")
 def w18_amplitude_artifacts(spark, sf_dir):
     rows = V.samples(spark, sf_dir)
-    q = rows.groupBy(RC).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    z = rows.join(q, RC).filter(F.col("q")[2] > F.col("q")[0]).groupBy("rec", "bin").agg(F.sum(F.abs(F.col("v") - F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0])).alias("z"))
+    z = S.with_quantiles(rows, RC, "v", [0.25, 0.5, 0.75]).filter(F.col("q")[2] > F.col("q")[0]).groupBy("rec", "bin").agg(F.sum(F.abs(F.col("v") - F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0])).alias("z"))
     level = z.groupBy("rec").agg(F.avg("z").alias("m"))
     over = z.join(level, "rec").select("rec", "bin", (F.col("z") / F.col("m")).alias("v"))
     return I.active(over, ["rec"], 1.8, 3, 1)
@@ -267,14 +266,13 @@ def w18_amplitude_artifacts(spark, sf_dir):
   SELECT rec, min(bin) b0, max(bin) + 1 b1 FROM g GROUP BY rec, i HAVING count(*) >= 2""")
 def w20_quiet_intervals(spark, sf_dir):
     rows = V.samples(spark, sf_dir)
-    q = rows.groupBy(RC).agg(F.percentile("v", 0.7).alias("q"))
-    quiet = rows.join(q, RC).groupBy("rec", "bin").agg(F.min((F.col("v") <= F.col("q")).cast("int")).alias("v"))
+    quiet = S.with_quantiles(rows, RC, "v", [0.7]).groupBy("rec", "bin").agg(F.min((F.col("v") <= F.col("q")[0]).cast("int")).alias("v"))
     return I.active(quiet, ["rec"], 1, 0, 2)
 
 
 @query("WITH q AS (SELECT rec, ch, quantile_cont(v, 0.98) h, median(v) m FROM fx_samples GROUP BY ALL) SELECT rec, ch, round((h - m) / nullif(m, 0), 6) tail FROM q")
 def w21_tail_ratio(spark, sf_dir):
-    q = V.samples(spark, sf_dir).groupBy(RC).agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.98))).alias("q"))
+    q = S.quantiles(V.samples(spark, sf_dir), RC, "v", [0.5, 0.98])
     return q.select("rec", "ch", R6(F.try_divide(F.col("q")[1] - F.col("q")[0], F.col("q")[0])).alias("tail"))
 
 
@@ -300,19 +298,18 @@ def a12_histogram_peaks(spark, sf_dir):
 def m1_outlier_factor(spark, sf_dir):
     """Least factor k with which at most a tenth of the rows are outliers: a percentile of each row's own least factor."""
     rows = V.samples(spark, sf_dir)
-    q = rows.groupBy(RC).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     above = F.when(F.col("v") > hi, F.try_divide(F.col("v") - hi, F.abs(hi))).otherwise(0.0)
     below = F.when(F.col("v") < lo, F.try_divide(lo - F.col("v"), F.abs(lo))).otherwise(0.0)
-    k = rows.join(q, RC).groupBy("rec", "bin").agg((F.max(F.greatest(above, below)) + 1).alias("k"))
-    return k.groupBy("rec").agg(R6(F.percentile("k", 0.9)).alias("factor"), F.count("*").alias("n_rows"))
+    k = S.with_quantiles(rows, RC, "v", [0.05, 0.95]).groupBy("rec", "bin").agg((F.max(F.greatest(above, below)) + 1).alias("k"))
+    n = k.groupBy("rec").agg(F.count("*").alias("n_rows"))
+    return S.joined_back(n, S.quantiles(k, ["rec"], "k", [0.9]), ["rec"]).select("rec", R6(F.col("q")[0]).alias("factor"), "n_rows")
 
 
 @query("SELECT rec, ch, bin, round((v - median(v) OVER w) / nullif(quantile_cont(v, 0.75) OVER w - quantile_cont(v, 0.25) OVER w, 0), 6) v FROM fx_samples WINDOW w AS (PARTITION BY rec, ch)")
 def m2_robust_scale(spark, sf_dir):
     rows = V.samples(spark, sf_dir)
-    q = rows.groupBy(RC).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return rows.join(q, RC).select("rec", "ch", "bin", R6(F.try_divide(F.col("v") - F.col("q")[1], F.col("q")[2] - F.col("q")[0])).alias("v"))
+    return S.with_quantiles(rows, RC, "v", [0.25, 0.5, 0.75]).select("rec", "ch", "bin", R6(F.try_divide(F.col("v") - F.col("q")[1], F.col("q")[2] - F.col("q")[0])).alias("v"))
 
 
 @query(f"WITH {_BINS} SELECT s.rec, s.ch, s.bin, coalesce(CASE WHEN b.bin IS NULL THEN v END, 0) v FROM fx_samples s LEFT JOIN (SELECT DISTINCT rec, bin FROM lb WHERE label = 'hold') b ON s.rec = b.rec AND s.bin = b.bin")
