@@ -143,5 +143,6 @@ def with_views(sql: str) -> str:
         if name in sql:
             need(name)
     sql = sql.strip()
-    rest = f", {sql[4:].lstrip()}" if sql[:5].upper() == "WITH " else f" {sql}"
-    return f"WITH {', '.join(SQL[n] for n in used)}{rest}" if used else sql
+    word = "WITH RECURSIVE " if sql.upper().startswith("WITH RECURSIVE ") else "WITH "
+    rest = f", {sql[len(word):].lstrip()}" if sql.upper().startswith(word) else f" {sql}"
+    return f"{word}{', '.join(SQL[n] for n in used)}{rest}" if used else sql
