@@ -4,17 +4,8 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-
-def chunked(df: DataFrame, size: int, halo: int) -> DataFrame:
-    """Add chunk and own: every sample goes to its chunk of `size` bins and to the chunks whose halo holds it.
-
-    A series of any length becomes groups of at most size + 2 * halo rows.
-    """
-    first = F.greatest(F.lit(0), F.floor((F.col("bin") - halo) / size))
-    cells = F.sequence(first.cast("long"), F.floor((F.col("bin") + halo) / size).cast("long"))
-    return df.withColumn("chunk", F.explode(cells)).withColumn("own", F.col("chunk") == F.floor(F.col("bin") / size))
+from .windows import chunked
 
 
 def _smooth(v: list[float], process: float, noise: float) -> list[float]:

@@ -81,6 +81,24 @@ def box(df: DataFrame, keys: list[str], value: Column, width: int) -> Column:
     return F.sum(value).over(W.partitionBy(*keys).orderBy("bin").rowsBetween(-half, width - 1 - half))
 
 
+def chunked(df: DataFrame, size: int, halo: int) -> DataFrame:
+    """Add chunk and own: every sample goes to its chunk of `size` bins and to the chunks whose halo holds it.
+
+    A series of any length becomes groups of at most size + 2 * halo rows.
+    """
+    first = F.greatest(F.lit(0), F.floor((F.col("bin") - halo) / size))
+    cells = F.sequence(first.cast("long"), F.floor((F.col("bin") + halo) / size).cast("long"))
+    return df.withColumn("chunk", F.explode(cells)).withColumn("own", F.col("chunk") == F.floor(F.col("bin") / size))
+
+
+def box_sum(df: DataFrame, keys: list[str], value: Column, width: int, chunk: int = 65_536) -> DataFrame:
+    """Add total: the centred sum over `width` bins, in chunks with the bins around them."""
+    half = width // 2
+    frame = W.partitionBy(*keys, "chunk").orderBy("bin").rowsBetween(-half, width - 1 - half)
+    rows = chunked(df.withColumn("__x", value), chunk, width).withColumn("total", F.sum("__x").over(frame))
+    return rows.filter("own").drop("__x", "chunk", "own")
+
+
 def masked(df: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
     """v becomes null at the (on..) rows of `bad`."""
     marks = bad.select(*on).distinct().withColumn("__bad", F.lit(True))
