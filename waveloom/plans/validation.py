@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import learn as L
 from ..operators import report as R
 from ..operators import sufficient as E
@@ -66,3 +67,38 @@ def m8_stratified_group_folds(spark, sf_dir):
   SELECT key, fold AS outer, 'test' AS role FROM f UNION ALL SELECT key, outer_::INT, CASE WHEN i = 0 THEN 'inner test' ELSE 'train' END FROM r""")
 def m8_nested_split(spark, sf_dir):
     return E.nested(rows(spark, sf_dir), "y", "key", 4)
+
+
+@query()
+def m12_boosted_classes(spark, sf_dir):
+    """Weighted boosting over all classes: how each class of the held-out fifth is named."""
+    df = L.folds(rows(spark, sf_dir), F.col("label"), "key", 5)
+    train = df.filter("fold <> 0")
+    weights = {r["label"]: r["weight"] for r in L.balanced_weights(train, "label").collect()}  # one row a class
+    model = B.boosted(train, "embedding", "label", weights, rounds=3, depth=2, bins=16)
+    return R.confusion(B.predicted(df.filter("fold = 0"), "embedding", model, ["label"]).withColumnRenamed("label", "y"))
+
+
+@query()
+def m12_importances(spark, sf_dir):
+    """Share of the gain of all splits that each feature brings."""
+    df = rows(spark, sf_dir)
+    model = B.boosted(df, "embedding", "y", rounds=3, depth=2, bins=16)
+    total = float(model.gain.sum()) or 1.0
+    return spark.createDataFrame([(i + 1, round(float(g) / total, 8)) for i, g in enumerate(model.gain)], "feat int, gain double")  # one row a feature
+
+
+@query()
+def m19_additive_pairs(spark, sf_dir):
+    """Mean size of what each feature and chosen pair adds to the held-out score of an additive model."""
+    df = folded(spark, sf_dir, 3)
+    model, _ = B.additive(df, "embedding", "y", "fold", 3, rounds=4)
+    return B.explained(df, "embedding", model, "fold", ["key"]).groupBy("feat").agg(F.round(F.avg(F.abs("score")), 8).alias("size"))
+
+
+@query()
+def m22_additive_explanations(spark, sf_dir):
+    """What each feature adds to the held-out score of a row by the additive model, with the intercept; parts of pairs go."""
+    df = folded(spark, sf_dir, 3)
+    model, _ = B.additive(df, "embedding", "y", "fold", 3, rounds=4)
+    return B.explained(df, "embedding", model, "fold", ["key"]).filter(~F.col("feat").contains(" x ")).select("key", "feat", F.round("score", 8).alias("score"))
