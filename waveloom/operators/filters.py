@@ -241,3 +241,54 @@ def resampling_taps(up: int, down: int, half: int = 10) -> np.ndarray:
 
     most = max(up, down)
     return up * np.array(lowpass(2 * half * most + 1, 0.5 / most))
+
+
+def analytic(low: float, high: float, width: int) -> np.ndarray:
+    """Complex taps of a band (cycles per bin): a windowed low pass of half its width, moved to its middle; twice that of
+    positive frequencies alone, so that the absolute value of the output is the band's envelope."""
+    from .spectral import lowpass
+
+    turn = np.exp(2j * math.pi * (low + high) / 2 * (np.arange(width) - width // 2))
+    return 2 * np.array(lowpass(width, (high - low) / 2)) * turn
+
+
+def envelopes(df: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]], width: int = 129, skip: int = 1, chunk: int = 16_384) -> DataFrame:
+    """keys.., band, bin, re, im, envelope of every `skip`-th bin: all bands' analytic filters in one pass.
+
+    Overlap and save: a chunk and the half filter length around it are transformed once, multiplied by the
+    transforms of all bands, and turned back; what the filter length spoils is the halo, so the results are
+    those of whole-series convolutions (samples beyond the ends count as 0).  v must not be null: impute artifacts before
+    (:func:`imputed`).
+    """
+    from .windows import chunked
+
+    names = list(bands)
+    taps = np.array([analytic(a, b, width) for a, b in bands.values()])
+    half, size = width // 2, 1 << (chunk + 2 * (width // 2) + width - 1).bit_length()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    response = np.fft.fft(taps, size, axis=1)
+
+    def run(table: pa.Table) -> pa.Table:
+        bins, v, own = _column(table, "bin"), _column(table, "v").astype(np.float64), table.column("own").to_numpy(zero_copy_only=False)
+        begin = table.column("chunk")[0].as_py() * chunk - half
+        x = np.zeros(chunk + 2 * half)
+        x[bins - begin] = v
+        out = np.fft.ifft(np.fft.fft(x, size)[None, :] * response, axis=1)
+        at = np.sort(bins[own])
+        at = at[at % skip == 0]
+        z = out[:, at - begin + half]
+        n = len(at)
+        heads = [pa.array([table.column(k)[0].as_py()] * (n * len(names)), table.schema.field(k).type) for k in keys]
+        band = pa.array(np.repeat(np.array(names, object), n), pa.string())
+        columns = [*heads, band, pa.array(np.tile(at, len(names))), pa.array(z.real.ravel()), pa.array(z.imag.ravel()), pa.array(np.abs(z).ravel())]
+        return pa.table(columns, names=[*keys, "band", "bin", "re", "im", "envelope"])
+
+    rows = chunked(df.select(*keys, "bin", "v"), chunk, half)
+    return rows.groupBy(*keys, "chunk").applyInArrow(run, f"{kinds}, band string, bin long, re double, im double, envelope double")
+
+
+def imputed(df: DataFrame, keys: list[str], bad: DataFrame, on: list[str], chunk: int = CHUNK) -> DataFrame:
+    """v with the bins of `bad` (on.., bin) put on the straight line between their neighbours."""
+    from .windows import interpolated, masked
+
+    return interpolated(masked(df.select(*keys, "bin", "v"), bad, [*on, "bin"]), keys, chunk)

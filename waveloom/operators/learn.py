@@ -63,6 +63,44 @@ def prune_inflated(rows: DataFrame, column: str, threshold: float) -> list[int]:
     return [i + 1 for i in left]
 
 
+def pruned(rows: DataFrame, column: str, threshold: float) -> list[tuple[int, list[int], list[float]]]:
+    """(component, those left, their coefficients) in the order of pruning, components from 1: each time the one of largest
+    inflation above the threshold, with its regression on the ones left then, all from blocks of one covariance matrix."""
+    ready = vectors(rows, column)
+    std = ready.select(Summarizer.std(F.col("features"))).first()[0].toArray()
+    corr = Correlation.corr(ready, "features").first()[0].toArray()
+    left, out = list(range(len(std))), []
+    while len(left) > 1:
+        vif = np.diag(np.linalg.pinv(corr[np.ix_(left, left)]))
+        worst = int(vif.argmax())
+        if vif[worst] <= threshold:
+            break
+        bad = left.pop(worst)
+        beta = np.linalg.pinv(corr[np.ix_(left, left)]) @ corr[left, bad]
+        scale = np.divide(std[bad], std[left], out=np.zeros(len(left)), where=std[left] > 0)
+        out.append((bad + 1, [i + 1 for i in left], (beta * scale).tolist()))
+    return out
+
+
+def redistributed(scores: DataFrame, steps: list[tuple[int, list[int], list[float]]], keys: list[str]) -> DataFrame:
+    """keys.., feat, score: scores of the kept components, and of the pruned ones what their regressions make of these.
+
+    The last pruned comes first, as the earlier ones were regressed on it.  Each becomes a sum over kept components before any row
+    is touched, so the scores (keys.., feat, score) meet one small table of coefficients once.
+    """
+    made: dict[int, dict[int, float]] = {}
+    for bad, left, beta in reversed(steps):
+        mine: dict[int, float] = {}
+        for i, b in zip(left, beta, strict=True):
+            for kept, c in made.get(i, {i: 1.0}).items():
+                mine[kept] = mine.get(kept, 0.0) + b * c
+        made[bad] = mine
+    table = scores.sparkSession.createDataFrame([(k, bad, c) for bad, mine in made.items() for k, c in mine.items()], "feat int, to int, c double")  # components squared at most
+    kept = scores.join(F.broadcast(table.select(F.col("to").alias("feat")).distinct()), "feat", "left_anti")
+    new = kept.join(F.broadcast(table), "feat").groupBy(*keys, "to").agg(F.sum(F.col("c") * F.col("score")).alias("score"))
+    return kept.select(*keys, F.col("feat").cast("int").alias("feat"), "score").unionByName(new.select(*keys, F.col("to").alias("feat"), "score"))
+
+
 def ranked(rows: DataFrame, group: str, order: list[str], parts: int = 64) -> DataFrame:
     """Add place (from 1) and total of each row of its group in the given order.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_, or_
 
@@ -126,9 +127,9 @@ def trimmed(df: DataFrame, keys: list[str], x: str = "v", q: float = 0.05, upper
     n = (F.coalesce(F.col("__r.__s"), F.lit(0)) + F.aggregate("__c", F.lit(0).cast("long"), lambda s, e: s + e["n"])).alias("n")
     # deviations from the mean of what is sure, or from any value: sums of large squares never meet
     mid = F.coalesce(F.col("__r.__m"), F.get("__c", F.lit(0))["v"].cast("double"))
-    found = found.select(*keys, n, mid.alias("__mid"), "__c", "__r").withColumn("__d", total(lambda v: v - F.col("__mid")) / F.col("n"))
-    square = (zero("__s") * zero("__q") + total(lambda v: (v - F.col("__mid")) * (v - F.col("__mid")))) / F.col("n")
-    return found.select(*keys, "n", (F.col("__mid") + F.col("__d")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - F.col("__d") * F.col("__d"))).alias("std"))
+    found = found.select(*keys, n, mid.alias("__mid"), "__c", "__r").withColumn("__d", F.try_divide(total(lambda v: v - F.col("__mid")), "n"))
+    square = F.try_divide(zero("__s") * zero("__q") + total(lambda v: (v - F.col("__mid")) * (v - F.col("__mid"))), "n")
+    return found.filter("n > 0").select(*keys, "n", (F.col("__mid") + F.col("__d")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - F.col("__d") * F.col("__d"))).alias("std"))
 
 
 def rescaled(df: DataFrame, stats: DataFrame, keys: list[str], x: str = "v") -> DataFrame:
@@ -169,13 +170,49 @@ def matched(df: DataFrame, reference: str, q: float = 0.05) -> DataFrame:
     return rows.select("rec", "ch", "bin", F.when(F.col("std") > 0, (F.col("v") - F.col("mean")) / F.col("std") * F.col("s0") + F.col("m0")).otherwise(F.col("m0")).alias("v"))
 
 
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: eight steps up, then Stirling's series."""
+    up = x + 8
+    steps = reduce(lambda a, b: a * b, [x + k for k in range(8)])
+    series = 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7) + 1 / (1188 * up**9)
+    return (up - 0.5) * F.log(up) - up + 0.5 * F.log(F.lit(2 * math.pi)) + series - F.log(steps)
+
+
+def incomplete_beta(x: Column, rest: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1 and rest = 1 - x (given apart, as the difference may cancel), as
+    an expression: the continued fraction, in the half in which it converges fast, with as many terms as the
+    parameters ask for."""
+    lower = x < (a + 1) / (a + b + 2)
+    y, z, p, q = F.when(lower, x).otherwise(rest), F.when(lower, rest).otherwise(x), F.when(lower, a).otherwise(b), F.when(lower, b).otherwise(a)
+    tiny = 1e-300
+    some = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    first = 1 / some(1 - (p + q) * y / (p + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+    def step(s: Column, k: Column) -> Column:
+        m = k.cast("double")
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d1, c1 = 1 / some(1 + even * s["d"]), some(1 + even / s["c"])
+        d2, c2 = 1 / some(1 + odd * d1), some(1 + odd / c1)
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    terms = F.sequence(F.lit(1), (30 + 3 * F.sqrt(F.greatest(p, q))).cast("int"))
+    front = F.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * F.log(y) + q * F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(z))) / p
+    value = F.when(y <= 0, F.lit(0.0)).otherwise(front * F.aggregate(terms, start, step, lambda s: s["h"]))
+    return F.when(lower, value).otherwise(1 - value)
+
+
 def t_test(df: DataFrame, group: Column, a: object, b: object, x: str, keys: list[str]) -> DataFrame:
-    """keys.., t: two-sample statistic with pooled variance, groups a and b."""
+    """keys.., t, n, p: two-sample statistic with pooled variance, groups a and b, its rows, and its two-sided p value."""
     side = lambda v: F.when(group == F.lit(v), F.col(x))
     m = df.groupBy(*keys).agg(*[f(side(v)).alias(f"{n}{i}") for i, v in enumerate((a, b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     pooled = ((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2)
     t = (F.col("m0") - F.col("m1")) / F.sqrt(pooled * (1 / F.col("n0") + 1 / F.col("n1")))
-    return m.filter("n0 > 1 and n1 > 1").select(*keys, t.alias("t"))
+    free = (F.col("n") - 2).cast("double")
+    found = m.filter("n0 > 1 and n1 > 1").select(*keys, t.alias("t"), (F.col("n0") + F.col("n1")).alias("n"))
+    square = F.col("t") * F.col("t")
+    return found.withColumn("p", incomplete_beta(free / (free + square), square / (free + square), free / 2, F.lit(0.5)))
 
 
 def two_means(df: DataFrame, keys: list[str], x: str = "v", rounds: int = 8) -> DataFrame:
@@ -185,3 +222,68 @@ def two_means(df: DataFrame, keys: list[str], x: str = "v", rounds: int = 8) ->
         low, high = F.avg(F.when(F.col(x) <= F.col("threshold"), F.col(x))), F.avg(F.when(F.col(x) > F.col("threshold"), F.col(x)))
         cut = df.join(cut, keys).groupBy(*keys).agg(((low + F.coalesce(high, low)) / 2).alias("threshold"))
     return cut
+
+
+def _histogram(df: DataFrame, state: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys.., i, n: equal bins from lo to hi of the group's values below its limit, the last one closed; a value is put by the
+    bins' own edges."""
+    rows = joined_back(df.filter(F.col(x).isNotNull()), state, keys).filter(F.col("limit").isNull() | (F.col(x) < F.col("limit")))
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    edge = lambda i: F.when(i == F.col("bins"), F.col("hi")).otherwise(F.col("lo") + i * width)
+    raw = F.least(F.col("bins") - 1, ((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")).cast("long"))
+    i = F.col("__i")
+    placed = rows.withColumn("__i", raw).withColumn("__i", F.when(F.col(x) < edge(i), i - 1).when((F.col(x) >= edge(i + 1)) & (i < F.col("bins") - 1), i + 1).otherwise(i))
+    return placed.groupBy(*keys, F.col("__i").alias("i")).agg(F.count("*").alias("n"))
+
+
+def effective_range(df: DataFrame, keys: list[str], x: str, bins: int = 200, rare: float = 0.01, take: int = 20) -> DataFrame:
+    """keys.., low, high: the range of non-negative values without their rare tail.
+
+    While the first bin of a group's histogram holds more than 1 - rare of it, what lies at or above bin `take` goes and the rest gets
+    twice as many bins (10 values a bin on average at least; a group too small for that at the start has a tenth of its size as bins and goes on).
+    high is the lower edge of the first bin with which more than 1 - rare are reached.  Groups of fewer than ten values have nulls.
+    One aggregation a round for all groups that are not done; their states are written down, a row a group.
+    """
+    from pyspark.sql import Window as W
+
+    from ..sources.tables import scratch
+
+    spark = df.sparkSession
+    # bounds of the values that are left, as the bins are made; equal values get a bin range of 1 around them
+    some = df.filter(F.col(x).isNotNull())
+    wide = lambda name, sign: F.when(F.col("a") == F.col("z"), F.col(name) + sign * 0.5).otherwise(F.col(name))
+    ends = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("z"))
+    small = F.floor(F.col("n") / 10)
+    state = ends(some, keys).select(*keys, "n", wide("a", -1).alias("lo"), wide("z", 1).alias("hi"), F.least(F.lit(bins), small).cast("long").alias("bins"), (F.col("n") / 10 < bins).alias("short"), F.lit(None).cast("double").alias("limit"))
+    none = state.filter("bins = 0").select(*keys, F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    state, out = state.filter("bins > 0"), none
+    while True:
+        at = scratch(spark, "ranges-state")
+        state.write.parquet(at)
+        state = spark.read.schema(state.schema).parquet(at)
+        if state.isEmpty():
+            return out
+        counts = joined_back(_histogram(some, state, keys, x), state.drop("limit").withColumnRenamed("n", "__all"), keys)
+        # at most `bins` rows a group
+        upto = F.sum("n").over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.partitionBy(*keys))
+        reached = counts.withColumn("__s", upto)
+        edge = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / F.col("bins"))
+        first = reached.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("i") == 0, F.col("__s"))), F.lit(0.0)).alias("__first"), F.min(F.when(F.col("__s") > 1 - rare, F.col("i"))).alias("__at"))
+        seen = joined_back(state, first, keys)
+        again = (F.col("__first") > 1 - rare) & (F.col("short") | (2 * F.col("bins") <= F.col("n") / 10))
+        path = scratch(spark, "ranges-seen")
+        seen.withColumn("again", again).write.parquet(path)
+        seen = spark.read.parquet(path)
+        out = out.unionByName(seen.filter("not again").select(*keys, F.col("lo").alias("low"), edge(F.col("__at")).alias("high")))
+        cut = seen.filter("again").select(*keys, (2 * F.col("bins")).alias("bins"), "short", edge(F.least(F.lit(take).cast("long"), F.col("bins"))).alias("limit"))
+        left = joined_back(some, cut, keys).filter(F.col(x) < F.col("limit"))
+        bounds = ends(left, [*keys]).select(*keys, "n", wide("a", -1).alias("lo"), wide("z", 1).alias("hi"))
+        state = joined_back(bounds, cut, keys).select(state.columns)
+
+
+def without_rare(df: DataFrame, keys: list[str], over: str, x: str, bins: int = 200, rare: float = 0.01, take: int = 20) -> DataFrame:
+    """The rows of those keys (a time bin, say) at which the value of every `over` (a frequency) is within its effective range."""
+    high = effective_range(df, [over], x, bins, rare, take)
+    rows = joined_back(df, high.drop("low"), [over])
+    bad = rows.filter(F.col(x) > F.col("high")).select(*keys).distinct()
+    return df.join(bad, keys, "left_anti")

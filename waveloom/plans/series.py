@@ -357,6 +357,16 @@ def a39_t_test(spark, sf_dir):
     return S.t_test(rows, F.col("label"), "trem", "notrem", "v", RC).select("rec", "ch", R6("t").alias("t"))
 
 
+@query(f"""WITH {_BINS}, m AS (SELECT rec, ch, count(*) FILTER (label = 'trem') n0, count(*) FILTER (label = 'notrem') n1, avg(v) FILTER (label = 'trem') m0, avg(v) FILTER (label = 'notrem') m1, var_samp(v) FILTER (label = 'trem') v0, var_samp(v) FILTER (label = 'notrem') v1 FROM fx_samples JOIN lb USING (rec, bin) GROUP BY ALL),
+  t AS (SELECT rec, ch, n0 + n1 n, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) t FROM m WHERE n0 > 1 AND n1 > 1),
+  g AS (SELECT rec, ch, n, t, atan(abs(t) / sqrt(n - 2)) th, k / 4000 u, CASE WHEN k % 4000 = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END c FROM t, range(4001) r(k))
+  SELECT rec, ch, n, round(any_value(t), 6) + 0.0 t, round(sum(c * cos(th + u * (pi() / 2 - th)) ** (n - 3)) * (pi() / 2 - any_value(th)) / (sum(c * cos(u * pi() / 2) ** (n - 3)) * (pi() / 2)), 5) p FROM g GROUP BY rec, ch, n""")
+def a39_p_values(spark, sf_dir):
+    """Two-sample t statistic with its two-sided p value (the SQL integrates the density by Simpson's rule)."""
+    rows = V.samples(spark, sf_dir).join(_labelled(spark, sf_dir), ["rec", "bin"])
+    return S.t_test(rows, F.col("label"), "trem", "notrem", "v", RC).select("rec", "ch", "n", (R6("t") + 0.0).alias("t"), F.round("p", 5).alias("p"))
+
+
 @query("SELECT rec, round(atan2(2 * covar_samp(a.v, b.v), var_samp(a.v) - var_samp(b.v)) / 2, 6) AS angle FROM fx_samples a JOIN fx_samples b USING (rec, bin) WHERE a.ch = 'disc' AND b.ch = 'tax' GROUP BY rec")
 def f6_main_component_angle(spark, sf_dir):
     """Direction of the first principal component of two channels: closed form for a 2 x 2 covariance."""

@@ -128,3 +128,31 @@ def f2_band_envelope(spark, sf_dir):
 def x12_complex_power(spark, sf_dir):
     p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     return V.tfr(spark, sf_dir).select("rec", "ch", "freq", F.round(p, 8).alias("power"), F.round(F.log(F.greatest(p, F.lit(1e-12))), 6).alias("log_power"))
+
+
+def parcels(spark, sf_dir):
+    """rec, ch, bin, v of 64 sources (the components of a vector) and the eight parcels that they belong to."""
+    rows = V.table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec"), F.col("vec_id").alias("bin"), F.posexplode("embedding").alias("ch", "v"))
+    return rows, spark.range(64).select(F.col("id").cast("int").alias("ch"), (F.col("id") % 8).cast("int").alias("parcel"))
+
+
+@query()
+def f5_parcel_components(spark, sf_dir):
+    """Leading components of each parcel (nine tenths of its variance), fitted without every seventh bin: their number, shares and spread."""
+    from ..operators.parcels import components
+
+    samples, members = parcels(spark, sf_dir)
+    scores, model = components(samples, members, 0.9, samples.filter("bin % 7 = 0").select("rec", "bin"))
+    spread = scores.groupBy("parcel").agg(F.count("*").alias("n"), F.stddev_pop(F.col("scores")[0]).alias("spread"))
+    return model.join(spread, "parcel").select("parcel", F.size("shares").alias("k"), F.round(F.aggregate("shares", F.lit(0.0), lambda a, b: a + b), 8).alias("share"), "n", F.round("spread", 8).alias("spread"))
+
+
+@query()
+def a10_iterated_extremes(spark, sf_dir):
+    """Range of power without its rare tail by iterated histograms, and mean inside it, for each frequency."""
+    from ..operators import stats as Q
+
+    p = V.tfr(spark, sf_dir).select("freq", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("a"))
+    ends = Q.effective_range(p, ["freq"], "a")
+    inside = Q.joined_back(p, ends, ["freq"]).filter("a <= high").groupBy("freq").agg(F.avg("a").alias("mean"), F.count("*").alias("n"))
+    return Q.joined_back(ends, inside, ["freq"]).select("freq", F.round("low", 10).alias("low"), F.round("high", 10).alias("high"), F.round("mean", 10).alias("mean"), "n")

@@ -102,3 +102,13 @@ def m22_additive_explanations(spark, sf_dir):
     df = folded(spark, sf_dir, 3)
     model, _ = B.additive(df, "embedding", "y", "fold", 3, rounds=4)
     return B.explained(df, "embedding", model, "fold", ["key"]).filter(~F.col("feat").contains(" x ")).select("key", "feat", F.round("score", 8).alias("score"))
+
+
+@query()
+def m15_redistributed_scores(spark, sf_dir):
+    """Mean of each class as a score of each feature, computed for the features that pruning keeps and carried over to the others."""
+    df = rows(spark, sf_dir)
+    steps = L.pruned(df, "embedding", 1.2)
+    gone = [bad for bad, _, _ in steps]
+    kept = long(spark, sf_dir).filter(~F.col("feat").isin(gone) if gone else F.lit(True)).groupBy("label", "feat").agg(F.avg("x").alias("score"))
+    return L.redistributed(kept, steps, ["label"]).select("label", "feat", F.round("score", 8).alias("score"))
