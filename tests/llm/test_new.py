@@ -192,3 +192,50 @@ def test_ranking_prunes():
         want += [(q, -s, i) for s, i in scores[:3] if s < 0]
     assert list(zip(*(x.tolist() for x in ranking.best), strict=True)) == want
     assert ranking.scored < 0.3 * ranking.seen
+
+
+# -- mended in this round ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "snippet",
+    ['<p class="ad-hoc">stays</p>', '<div class="comment-period"><p>stays</p></div>', '<section id="subscription-economy"><p>stays</p></section>', '<div class="widget"><p>stays</p></div>', '<p class="signup-fee">stays</p>', '<p>By <span class="login">stays</span> today.</p>', "<fieldset><p>stays</p></fieldset>"],
+)
+def test_names_inside_articles_do_not_remove_text(spark, snippet):
+    from waveloom.llm import html
+
+    rows = [(1, "http://a.example/1", f"<html><body><nav>menu</nav><article><h1>T</h1><p>first</p>{snippet}</article></body></html>")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text
+    assert "stays" in got and "menu" not in got
+    # names of furniture alone, and of reader comments, still do
+    for gone in ('<div class="ad">x9</div>', '<section class="reader-comments"><p>x9</p></section>', '<div class="sidebar">x9</div>', "<aside>x9</aside>", '<p class="ad">x9</p>'):
+        assert "x9" not in "\n".join(html.Page(f"<article><p>a</p>{gone}</article>").main())
+
+
+def test_context_window_cuts_no_words():
+    from waveloom.llm import pii
+
+    token = "q8Zt3LmN0pX7vB2yRk5W1d9cQ2w3E4r5T6y7U8i9"
+    alone = [s["score"] for s in pii.find("a plain note " + token + " here")]
+    for gap in range(60):
+        text = "monkey " + "." * gap + " " + token
+        assert [s["score"] for s in pii.find(text)] == alone, gap
+    # (whole words within the window still count)
+    assert pii.find("the key is " + token)[0]["score"] > max(alone, default=0.0)
+
+
+def test_copies_of_rows_leave_toxicity_as_it_is(spark):
+    from waveloom.llm import toxicity
+
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, 40) + (" vile scum rot" if i % 5 == 0 else ""), "x") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    again = spark.createDataFrame(rows + 6 * [r for r in rows if r[0] % 5], docs.schema)
+    one, two = (toxicity.fit(d, lab) for d, lab in ((docs, labels), (again, labels.unionByName(labels.filter("toxic = 0")))))
+    assert one == two
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, one).collect()}
+    assert all((scores[i] > 0.5) == (i % 5 == 0) for i in scores)
+    few = spark.createDataFrame([(0, "vile scum", "x")] + 4 * [(1, "good day", "x")] + [(2, "fine weather", "x")], docs.schema)
+    model = toxicity.fit(few, spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, 0)], "doc_id long, toxic int"))
+    assert all((r.score > 0.5) == (r.doc_id == 0) for r in toxicity.score(few, model).collect())

@@ -63,6 +63,12 @@ LOOSE = frozenset(
     "menu footer header masthead topbar promo banner notice notices popup modal overlay respond related recommended share sharing social skip"
     " copyright notification".split()
 )
+#: Of MARKS, words that have other meanings inside articles too: there they count as LOOSE ones in a longer name.
+OPEN = frozenset("widget login signup comment subscribe subscription".split())
+#: A name that ends with one of these is that of reader comments.
+COMMENTS = frozenset("comments commentlist disqus replies".split())
+#: Elements inside a line of text, which are furniture inside an article only if they recur.
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time u var".split())
 #: A class such as has-sidebar or no-comments speaks of the page, not of the element.
 MODIFIERS = frozenset("has no with without is not".split())
 ROOTS = ("article", "main")
@@ -92,13 +98,19 @@ def _named(name: str, inside: bool) -> int:
     parts = [p.lower() for p in _NAME.findall(name)] if name.lower() not in MARKS | LOOSE else [name.lower()]
     if not parts or parts[0] in MODIFIERS:
         return PLAIN
-    if not MARKS.isdisjoint(parts) or LOOSE.issuperset(parts):
+    marked, loose = not MARKS.isdisjoint(parts), not LOOSE.isdisjoint(parts)
+    if not inside:
+        return SURE if marked or loose else PLAIN
+    # inside an article a name with other words, such as ad-hoc or signup-fee, may be that of a subject
+    if (MARKS - OPEN | LOOSE).issuperset(parts) or parts[-1] in COMMENTS:
         return SURE
-    return PLAIN if LOOSE.isdisjoint(parts) else LIKELY if inside else SURE
+    return LIKELY if marked or loose else PLAIN
 
 
 def _furniture(tag: str, attrs: str, inside: bool) -> int:
     """PLAIN, LIKELY or SURE; inside: the element stands in an article or main."""
+    if tag == "fieldset" and inside:
+        return LIKELY  # without a form around it, a group of anything
     if tag in FURNITURE or tag in EMBEDDED:
         return SURE
     if not attrs or tag in ("html", "body", *ROOTS) or not _TELLING.search(attrs):
@@ -107,7 +119,8 @@ def _furniture(tag: str, attrs: str, inside: bool) -> int:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            sure = max([sure, *(_named(c, inside) for c in value.split())])
+            named = max([PLAIN, *(_named(c, inside) for c in value.split())])
+            sure = max(sure, min(named, LIKELY) if inside and tag in INLINE else named)
         value = value.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return SURE
@@ -212,7 +225,7 @@ class Page:
                 self._start(tag, attrs)
                 if attrs.endswith("/") and self.marks[-1] == SURE:
                     self._close(len(self._open) - 1)
-            elif _furniture(tag, attrs, False) == SURE:
+            elif _furniture(tag, attrs, self.roots[self._open[-1]] > 0) == SURE:
                 self._text.append(" ")
                 if not attrs.endswith("/"):
                     skipped.append(tag)
