@@ -164,8 +164,15 @@ def _ids(text: str) -> list[tuple[int, int, float]]:
     return [(*m.span(), CHECKED_ID if checked(m) else PLAIN_ID) for m in _ID.finditer(text)]
 
 
+def _words(text: str, start: int, end: int) -> set[str]:
+    """The words wholly within WINDOW characters before a span and half as many behind it: what the window cuts is no word."""
+    before = {m[0].lower() for m in _WORD.finditer(text, max(0, start - WINDOW), start)}  # looks at what stands before the window
+    behind = _WORD.finditer(text[end : end + WINDOW])
+    return before | {m[0].lower() for m in behind if m.end() <= WINDOW // 2}
+
+
 def _score(text: str, kind: str, start: int, end: int, score: float) -> float:
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start])} | {w.lower() for w in _WORD.findall(text[end : end + WINDOW // 2])}
+    near = _words(text, start, end)
     score += CONTEXT * (not near.isdisjoint(FOR[kind])) - CONTEXT * (not near.isdisjoint(AGAINST))
     return round(min(1.0, max(0.0, score)), 3)
 
