@@ -6,7 +6,8 @@ The classifier is linear over the set of a text's words and word beginnings, so
 weights are not negative, so that harmless words can't dilute what a long text holds.
 
 Defined results: null and empty texts have no words and get the score of the bias alone; repeated
-rows get equal scores; without a confirmed toxic text every score is 0.
+rows get equal scores and change none, as each document id counts once in the fit; without a confirmed toxic text every
+score is next to 0; an empty table gives an empty one; columns named score are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import fold, map_texts, sampled_texts
 ADDED = T.StructType([T.StructField("score", T.DoubleType())])
 #: Bounds of the fit: confirmed toxic texts, unlabelled texts.
 FIT_TOXIC, FIT_UNLABELLED = 3000, 7000
-#: A feature needs so many confirmed texts to get a weight.
+#: A feature needs so many confirmed texts (all, if there are fewer) to get a weight.
 LEAST_TEXTS = 3
 #: And so many times the share among unlabelled texts.
 LIFT = 1.5
@@ -81,28 +82,33 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
 def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column | None = None, prior: float | None = None) -> Model:
     """Fit on at most FIT_TOXIC confirmed and FIT_UNLABELLED unlabelled texts outside the fold `held_out`.
 
-    `prior` is the share of toxic texts among the unlabelled; by default the confirmed share of all
-    labelled rows of the training folds.
+    The unlabelled texts are drawn from all documents, whether they have a label or not.  Every document id counts once, however
+    many rows of either table it has (toxic if one of its labels is).  `prior` is the share of toxic texts among the
+    unlabelled; by default the confirmed share of the labelled ids of the training folds.
     """
-    rows = labels.filter(F.col("toxic").isNotNull())
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.filter(~held_out) if held_out is not None else rows
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    every = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
+    every = (every.filter(~held_out) if held_out is not None else every).distinct()
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not counts.get(1):
         return Model({}, -30.0)
     prior = counts[1] / total if prior is None else prior
     bags = {}
-    for name, wanted, limit in (("p", F.col("toxic") == 1, FIT_TOXIC), ("u", F.lit(True), FIT_UNLABELLED)):
-        some = sampled_texts(docs, rows, wanted, limit, f"toxicity-{name}")
+    for name, ids, limit in (("p", rows.filter(F.col("toxic") == 1), FIT_TOXIC), ("u", every, FIT_UNLABELLED)):
+        # one text an id: of several the first in order
+        some = sampled_texts(docs, ids, F.lit(True), limit, f"toxicity-{name}").groupBy("doc_id").agg(F.min("text").alias("text"))
         bags[name] = [np.frombuffer(r["bag"], np.uint32) for r in _bags(some).collect()]
     if not bags["p"]:
         return Model({}, -30.0)
     # weights are not negative, so only what confirmed texts hold more often than others can get one
     known, texts = np.unique(np.concatenate(bags["p"]), return_counts=True)
-    every = np.concatenate([np.zeros(0, np.uint32), *bags["u"]])
-    others = np.bincount(_places(known, every), minlength=len(known))
+    held = np.concatenate([np.zeros(0, np.uint32), *bags["u"]])
+    others = np.bincount(_places(known, held), minlength=len(known))
     lifted = texts / len(bags["p"]) >= LIFT * others / max(1, len(bags["u"]))
-    known = known[lifted & (texts >= (LEAST_TEXTS if len(bags["p"]) >= 20 else 1))]
+    known = known[lifted & (texts >= min(LEAST_TEXTS, len(bags["p"])))]
     weights, bias = nnpu([_places(known, b) for b in bags["p"]], [_places(known, b) for b in bags["u"]], len(known), prior)
     return Model({int(known[i]): float(weights[i]) for i in np.flatnonzero(weights > 1e-3)}, bias)
 
