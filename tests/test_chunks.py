@@ -31,3 +31,34 @@ def test_interpolation_across_chunks(spark):
         got = {(x.rec, x.bin): x.v for x in X.interpolated(df, ["rec"], chunk).collect()}
         for r, vs in series.items():
             assert all(abs(got[r, i] - w) < 1e-12 for i, w in enumerate(filled(vs)))
+
+
+def test_windows_do_not_depend_on_chunks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from waveloom.operators import spectral as S
+
+    rnd = random.Random(8)
+    rows = [(r, i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for r, n in ((0, 150), (1, 33), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "rec int, bin long, v double, im double").repartition(4)
+    series = df.select("rec", "bin", "v")
+
+    def results():
+        some = {
+            "differences": X.differences(series, ["rec"], 2.0),
+            "moments": X.moments(series, ["rec"], ["v"], 12, 4),
+            "sums": X.sums(series, ["rec"], F.col("v"), 12, 4),
+            "fir": X.fir(series, ["rec"], [0.1, 0.2, 0.4, 0.3, -0.1]),
+            "wiener": X.wiener(series, ["rec"], 5),
+            "box": X.box_sum(series, ["rec"], F.col("v"), 6, X.CHUNK),
+            "numbered": X.numbered(series.filter("bin % 3 > 0"), ["rec"], "i", X.CHUNK),
+            "unwrapped": S.unwrapped(df.select("rec", "bin", F.col("v").alias("re"), "im"), ["rec"], "bin"),
+        }
+        return {k: sorted([tuple(None if x is None else round(x, 9) for x in r) for r in d.collect()], key=str) for k, d in some.items()}
+
+    whole = results()
+    assert all(whole.values()) and [r[3] for r in sorted(whole["numbered"]) if r[0] == 0] == list(range(100))
+    for chunk in (7, 16):
+        monkeypatch.setattr(X, "CHUNK", chunk)
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        assert results() == whole

@@ -94,8 +94,17 @@ def selected(
     not_parcels: list[int] | None = None,
     lfp_channel: str | None = None,
     drop_hfo: bool = False,
+    cerebellum: dict[str, int] | None = None,
+    cerebellum_only: bool = False,
+    bands_of: dict[str, list[str]] | None = None,
+    components: list[int] | None = None,
 ) -> DataFrame:
-    """Rows of a parsed feature dimension that pass every rule that is set."""
+    """Rows of a parsed feature dimension that pass every rule that is set.
+
+    `cerebellum` gives its parcel on each side: with `brain_side` the side of the brain is that side without its own cerebellum
+    but with the opposite one (which serves the same side of the body); with `cerebellum_only` only these two parcels
+    are left.  `bands_of` lists the bands that a modality may have, `components` the components of sources.
+    """
     chans = F.array_compact(F.array("ch1", "ch2"))
     both = F.col("ch2").isNotNull()
     is_lfp, is_src = (lambda x: x.startswith("LFP")), (lambda x: x.startswith("msrc"))
@@ -105,7 +114,13 @@ def selected(
         rules.append(F.exists(chans, is_lfp))
     if lfp_side:
         rules.append(F.forall(chans, lambda x: ~is_lfp(x) | (side(x) == lfp_side)))
-    if brain_side:
+    if cerebellum is not None:
+        of_side = lambda x: F.when(side(x) == "L", F.lit(cerebellum["L"])).otherwise(F.lit(cerebellum["R"]))
+        if cerebellum_only:
+            rules.append(F.forall(chans, lambda x: ~is_src(x) | (parcel(x) == of_side(x))))
+        elif brain_side:
+            rules.append(F.forall(chans, lambda x: ~is_src(x) | ((side(x) == brain_side) != (parcel(x) == of_side(x)))))
+    elif brain_side:
         rules.append(F.forall(chans, lambda x: ~is_src(x) | (side(x) == brain_side)))
     if bands:
         rules.append(F.coalesce(F.col("fb1").isin(bands), F.lit(True)) & F.coalesce(F.col("fb2").isin(bands), F.lit(True)))
@@ -125,6 +140,12 @@ def selected(
         rules.append(F.forall(chans, lambda x: ~is_src(x) | parcel(x).isin(parcels)))
     if not_parcels is not None:
         rules.append(F.forall(chans, lambda x: ~is_src(x) | ~parcel(x).isin(not_parcels)))
+    if bands_of is not None:
+        for n in (1, 2):
+            known = reduce(lambda a, b: a | b, [(F.col(f"mod{n}") == m) & F.col(f"fb{n}").isin(some) for m, some in bands_of.items()])
+            rules.append(F.col(f"fb{n}").isNull() | known)
+    if components is not None:
+        rules.append(F.forall(chans, lambda x: ~is_src(x) | source(x)["comp"].isin(components)))
     if lfp_channel:
         rules.append(F.forall(chans, lambda x: ~is_lfp(x) | (x == lfp_channel)))
     if drop_hfo:
@@ -132,6 +153,33 @@ def selected(
     return features.filter(conjunction(rules))
 
 
+def artifact_labels(ch: Column) -> Column:
+    """The artifact labels that apply to a channel: of its modality, of its side of it, of itself."""
+    kind = F.when(ch.startswith("LFP"), "LFP").otherwise("MEG")
+    return F.array(F.concat(F.lit("BAD_"), kind), F.concat(F.lit("BAD_"), kind, side(ch)), F.concat(F.lit("BAD_"), ch))
+
+
+def artifact_masks(features: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """feat, rec, n_bins, bins: the bins [b0, b1) of each recording that an artifact (rec, label, b0, b1) of one of a feature's
+    channels masks, as disjoint intervals.
+
+    Labels meet labels (an equi-join), and intervals are united before they are counted: no bin becomes a row.
+    """
+    from ..operators.intervals import union
+
+    chans = features.select("feat", F.explode(F.array_distinct(F.array_compact(F.array("ch1", "ch2")))).alias("ch"))
+    wanted = chans.select("feat", F.explode(artifact_labels(F.col("ch"))).alias("label")).distinct()
+    hit = wanted.join(artifacts.filter("b1 > b0"), "label").select("feat", "rec", F.col("b0").alias("s"), F.col("b1").alias("e"))
+    bins = F.array_sort(F.collect_list(F.struct(F.col("s").alias("b0"), F.col("e").alias("b1"))))
+    return union(hit, ["feat", "rec"]).groupBy("feat", "rec").agg(F.sum(F.col("e") - F.col("s")).alias("n_bins"), bins.alias("bins"))
+
+
+def renamed(features: DataFrame, channel: str, name: str) -> DataFrame:
+    """Names and channels with one channel (a main one, say) called by another name."""
+    other = lambda c: F.when(F.col(c) == channel, F.lit(name)).otherwise(F.col(c))
+    return features.withColumns({"feat": F.regexp_replace("feat", rf"(?<![A-Za-z0-9]){channel}(?![A-Za-z0-9])", name), "ch1": other("ch1"), "ch2": other("ch2")})
+
+
 # Names of coarse groups of parcels, and the parcels called motor-related where no other list is given.
 CEREBELLUM, UNLABELED = "Cerebellum", "unlabeled"
 MOTOR_PARCELS = ("Precentral", "Postcentral", "Supp_Motor_Area", "Paracentral_Lobule", "Rolandic_Oper", "Cerebellum")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import CHUNK, chunked
+
 
 def neighbours(tfr: DataFrame) -> DataFrame:
     """rec, ch1, ch2: each channel with the next one of its recording."""
@@ -79,15 +81,20 @@ def transform(series: DataFrame, freqs: list[float], window: int, step: int) ->
 def unwrapped(series: DataFrame, by: list[str], order: str) -> DataFrame:
     """by.., order, phase, rate, amp of an analytic series (re, im): the phase without jumps of a whole turn, its change
     from one place to the next in turns, and the amplitude."""
-    places = W.partitionBy(*by).orderBy(order)
-    raw = series.withColumn("__raw", F.atan2("im", "re"))
+    # a series in chunks: steps look one place back, turns are summed within the chunk and shifted by those of the chunks before
+    places = W.partitionBy(*by, "chunk").orderBy(order)
+    raw = chunked(series, CHUNK, 2, order).withColumn("__raw", F.atan2("im", "re"))
     step = F.coalesce(F.col("__raw") - F.lag("__raw").over(places), F.lit(0.0))
     turn = F.when(F.col("__step") > math.pi, 1).when(F.col("__step") < -math.pi, -1).otherwise(0)
-    raw = raw.withColumn("__step", step).withColumn("__turn", turn)
-    phase = F.col("__raw") - 2 * math.pi * F.sum("__turn").over(places.rowsBetween(W.unboundedPreceding, 0))
-    rows = raw.withColumn("phase", phase).withColumn("amp", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    rate = (F.col("phase") - F.lag("phase").over(places)) / (2 * math.pi)
-    return rows.select(*by, order, "phase", rate.alias("rate"), "amp")
+    raw = raw.withColumn("__step", step).withColumn("__turn", turn).withColumn("__earlier", F.lag("__raw").over(places)).filter("own")
+    chunks = W.partitionBy(*by).orderBy("chunk")  # one row a chunk
+    before = F.coalesce(F.sum("__t").over(chunks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = raw.groupBy(*by, "chunk").agg(F.sum("__turn").alias("__t")).select(*by, "chunk", before.alias("__before"))
+    raw = raw.withColumn("__turns", F.sum("__turn").over(places.rowsBetween(W.unboundedPreceding, 0))).join(turns, [*by, "chunk"])
+    turned = F.col("__raw") - 2 * math.pi * (F.col("__before") + F.col("__turns"))
+    earlier = F.col("__earlier") - 2 * math.pi * (F.col("__before") + F.col("__turns") - F.col("__turn"))
+    amp = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return raw.select(*by, order, turned.alias("phase"), ((turned - earlier) / (2 * math.pi)).alias("rate"), amp.alias("amp"))
 
 
 def spectrogram(samples: DataFrame, window: int, skip: int | None = None) -> DataFrame:

@@ -11,21 +11,47 @@ from pyspark.sql import functions as F
 from .stats import with_stats
 
 
+#: Bins (or blocks) of a chunk: what one task's window holds of a series at most, besides the halo.
+CHUNK = 65_536
+
+
+def chunked(df: DataFrame, size: int, halo: int, at: str = "bin") -> DataFrame:
+    """Add chunk and own: every row goes to its chunk of `size` bins and to the chunks whose halo holds it.
+
+    A series of any length becomes groups of at most size + 2 * halo rows.
+    """
+    first = F.greatest(F.lit(0), F.floor((F.col(at) - halo) / size))
+    cells = F.sequence(first.cast("long"), F.floor((F.col(at) + halo) / size).cast("long"))
+    return df.withColumn("chunk", F.explode(cells)).withColumn("own", F.col("chunk") == F.floor(F.col(at) / size))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add `name`: each row's place (from 0) in its series in bin order; chunks are numbered apart and shifted by the sizes of those before."""
+    rows = df.withColumn("__c", F.floor(F.col("bin") / chunk))
+    order = W.partitionBy(*keys).orderBy("__c")  # one row a chunk
+    sizes = rows.groupBy(*keys, "__c").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(*keys, "__c", F.coalesce(F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "__c").orderBy("bin")) - 1
+    return rows.withColumn("__i", inside).join(sizes, [*keys, "__c"]).withColumn(name, (F.col("__before") + F.col("__i")).cast("long")).drop("__c", "__i", "__before")
+
+
 def moments(df: DataFrame, keys: list[str], columns: list[str], window: int, skip: int) -> DataFrame:
     """keys.., widx, n, mean_c, m2_c for full windows of `window` bins every `skip` bins (which must divide it).
 
     Two levels: each block of `skip` bins is aggregated once, then window/skip neighbouring blocks are
-    put together, so that no sample is copied into the windows that share it.  Blocks keep their mean
-    and squared deviations, and means are taken relative to the series' mean: sums of large squares never meet.
+    put together (in chunks of blocks), so that no sample is copied into the windows that share it.  Blocks keep
+    their mean and squared deviations, and means are taken relative to the chunk's mean: sums of large squares never meet.
     """
     assert window % skip == 0
     blocks = df.groupBy(*keys, F.floor(F.col("bin") / skip).alias("blk"))
     made = blocks.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a_{c}") for c in columns], *[F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)).alias(f"q_{c}") for c in columns])
-    series, frame = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("blk").rowsBetween(0, window // skip - 1)
+    made = chunked(made, CHUNK, window // skip, "blk")
+    series = W.partitionBy(*keys, "chunk")
+    frame = series.orderBy("blk").rowsBetween(0, window // skip - 1)
     made = made.withColumns({f"r_{c}": F.sum(F.col("n") * F.col(f"a_{c}")).over(series) / F.sum("n").over(series) for c in columns})
     n, d = F.col("n"), {c: F.col(f"a_{c}") - F.col(f"r_{c}") for c in columns}
     sums = {"t": F.sum("n").over(frame)} | {f"s_{c}": F.sum(n * d[c]).over(frame) for c in columns} | {f"p_{c}": F.sum(F.col(f"q_{c}") + n * d[c] * d[c]).over(frame) for c in columns}
-    full = made.withColumns(sums).filter(F.col("t") == window)
+    full = made.withColumns(sums).filter(F.col("own") & (F.col("t") == window))
     means = [(F.col(f"r_{c}") + F.col(f"s_{c}") / window).alias(f"mean_{c}") for c in columns]
     spread = [F.greatest(F.lit(0.0), F.col(f"p_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}") / window).alias(f"m2_{c}") for c in columns]
     return full.select(*keys, F.col("blk").alias("widx"), F.col("t").alias("n"), *means, *spread)
@@ -33,9 +59,9 @@ def moments(df: DataFrame, keys: list[str], columns: list[str], window: int, ski
 
 def differences(df: DataFrame, keys: list[str], dt: float) -> DataFrame:
     """Add dv and ddv: first and second difference in bin order over dt, the first ones 0."""
-    order = W.partitionBy(*keys).orderBy("bin")
+    order = W.partitionBy(*keys, "chunk").orderBy("bin")
     step = lambda c: F.coalesce((F.col(c) - F.lag(c).over(order)) / dt, F.lit(0.0))
-    return df.withColumn("dv", step("v")).withColumn("ddv", step("dv"))
+    return chunked(df, CHUNK, 2).withColumn("dv", step("v")).withColumn("ddv", step("dv")).filter("own").drop("chunk", "own")
 
 
 def hjorth(df: DataFrame, keys: list[str], window: int, skip: int, dt: float = 1.0, floor: float = 1e-14) -> DataFrame:
@@ -50,9 +76,10 @@ def hjorth(df: DataFrame, keys: list[str], window: int, skip: int, dt: float = 1
 def sums(df: DataFrame, keys: list[str], value: Column, window: int, skip: int) -> DataFrame:
     """keys.., widx, total of `value` over full windows, by blocks as in :func:`moments`."""
     made = df.groupBy(*keys, F.floor(F.col("bin") / skip).alias("blk")).agg(F.sum(value).alias("t"), F.count("*").alias("n"))
-    frame = W.partitionBy(*keys).orderBy("blk").rowsBetween(0, window // skip - 1)
-    out = made.select(*keys, F.col("blk").alias("widx"), F.sum("t").over(frame).alias("total"), F.sum("n").over(frame).alias("n"))
-    return out.filter(F.col("n") == window).drop("n")
+    frame = W.partitionBy(*keys, "chunk").orderBy("blk").rowsBetween(0, window // skip - 1)
+    made = chunked(made, CHUNK, window // skip, "blk")
+    out = made.select(*keys, F.col("blk").alias("widx"), "own", F.sum("t").over(frame).alias("total"), F.sum("n").over(frame).alias("n"))
+    return out.filter(F.col("own") & (F.col("n") == window)).drop("n", "own")
 
 
 def paired(df: DataFrame, a: str, b: str, lag: int = 0) -> DataFrame:
@@ -75,23 +102,7 @@ def decimated(df: DataFrame, keys: list[str], skip: int) -> DataFrame:
     return df.groupBy(*keys, F.floor(F.col("bin") / skip).alias("bin")).agg(F.avg("v").alias("v"))
 
 
-def box(df: DataFrame, keys: list[str], value: Column, width: int) -> Column:
-    """Centred sum over `width` bins."""
-    half = width // 2
-    return F.sum(value).over(W.partitionBy(*keys).orderBy("bin").rowsBetween(-half, width - 1 - half))
-
-
-def chunked(df: DataFrame, size: int, halo: int) -> DataFrame:
-    """Add chunk and own: every sample goes to its chunk of `size` bins and to the chunks whose halo holds it.
-
-    A series of any length becomes groups of at most size + 2 * halo rows.
-    """
-    first = F.greatest(F.lit(0), F.floor((F.col("bin") - halo) / size))
-    cells = F.sequence(first.cast("long"), F.floor((F.col("bin") + halo) / size).cast("long"))
-    return df.withColumn("chunk", F.explode(cells)).withColumn("own", F.col("chunk") == F.floor(F.col("bin") / size))
-
-
-def box_sum(df: DataFrame, keys: list[str], value: Column, width: int, chunk: int = 65_536) -> DataFrame:
+def box_sum(df: DataFrame, keys: list[str], value: Column, width: int, chunk: int = CHUNK) -> DataFrame:
     """Add total: the centred sum over `width` bins, in chunks with the bins around them."""
     half = width // 2
     frame = W.partitionBy(*keys, "chunk").orderBy("bin").rowsBetween(-half, width - 1 - half)
@@ -131,8 +142,8 @@ def interpolated(df: DataFrame, keys: list[str], chunk: int = 65_536) -> DataFra
 def wiener(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Local mean plus the part of the deviation that exceeds the noise (the mean of the local variances)."""
     half = width // 2
-    frame = W.partitionBy(*keys).orderBy("bin").rowsBetween(-half, width - 1 - half)
-    rows = df.withColumn("__m", F.avg("v").over(frame)).withColumn("__q", F.var_pop("v").over(frame))
+    frame = W.partitionBy(*keys, "chunk").orderBy("bin").rowsBetween(-half, width - 1 - half)
+    rows = chunked(df, CHUNK, width).withColumn("__m", F.avg("v").over(frame)).withColumn("__q", F.var_pop("v").over(frame)).filter("own").drop("chunk", "own")
     rows = with_stats(rows, keys, __noise=F.avg("__q"))
     gain = F.when(F.col("__q") > F.col("__noise"), (F.col("__q") - F.col("__noise")) / F.col("__q")).otherwise(F.lit(0.0))
     return rows.withColumn("v", F.col("__m") + gain * (F.col("v") - F.col("__m"))).drop("__m", "__q", "__noise")
@@ -140,6 +151,6 @@ def wiener(df: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 def fir(df: DataFrame, keys: list[str], taps: list[float]) -> DataFrame:
     """v filtered by a centred finite impulse response; samples beyond the ends count as 0."""
-    order, half = W.partitionBy(*keys).orderBy("bin"), len(taps) // 2
+    order, half = W.partitionBy(*keys, "chunk").orderBy("bin"), len(taps) // 2
     terms = [F.lit(t) * F.coalesce(F.lag("v", k - half).over(order), F.lit(0.0)) for k, t in enumerate(taps)]
-    return df.withColumn("v", reduce(lambda a, b: a + b, terms))
+    return chunked(df, CHUNK, len(taps)).withColumn("v", reduce(lambda a, b: a + b, terms)).filter("own").drop("chunk", "own")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import intervals as I
 from ..operators import spectral as S
+from ..operators import windows as X
 from ..operators.stats import with_stats
 from ..sources import tables as T
 from ..sources import views as V
@@ -336,13 +337,12 @@ def f4_spectrogram(spark, sf_dir):
   g AS (SELECT *, bin - row_number() OVER (PARTITION BY rec ORDER BY bin) g FROM z) SELECT rec, min(bin) b0, max(bin) b1, count(*) n FROM g GROUP BY rec, g.g""")
 def f8_muscle_artifacts(spark, sf_dir):
     """Runs of bins in which the fast part of all channels together, scaled by channel, lies above a threshold."""
-    series = W.partitionBy("rec", "ch").orderBy("bin")
-    fast = V.samples(spark, sf_dir).withColumn("d", F.abs(F.col("v") - F.lag("v").over(series)))
+    fast = X.differences(V.samples(spark, sf_dir), ["rec", "ch"], 1.0).withColumn("d", F.when(F.col("bin") > 0, F.abs("dv")))
     scaled = with_stats(fast, ["rec", "ch"], m=F.avg("d"), sd=F.stddev_pop("d"))
     z = scaled.withColumn("z", (F.col("d") - F.col("m")) / F.nullif("sd", F.lit(0.0)))
     high = z.groupBy("rec", "bin").agg(F.avg("z").alias("z")).filter("z > 1.2")
-    run = F.col("bin") - F.row_number().over(W.partitionBy("rec").orderBy("bin"))
-    return high.withColumn("run", run).groupBy("rec", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).drop("run")
+    high = X.numbered(high, ["rec"], "at").withColumn("run", F.col("bin") - F.col("at"))
+    return high.groupBy("rec", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).drop("run")
 
 
 _LOCAL = """x AS (SELECT vec_id AS key, label % 2 y, f::INT feat, embedding[f]::DOUBLE x FROM embeddings, range(1, 65) r(f)),

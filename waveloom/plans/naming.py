@@ -54,6 +54,52 @@ def p2_filter_features(spark, sf_dir):
     return some.select("feat")
 
 
+def _both(rule: str) -> str:
+    """A rule on sources ({side}, {par}, {comp}) that both channels of a feature must keep."""
+    one = lambda c: f"({c} IS NULL OR {c} NOT LIKE 'msrc%' OR (" + rule.format(side=f"{c}[5]", par=f"TRY_CAST(split_part({c}, '_', 3) AS INT)", comp=f"TRY_CAST(substr(split_part({c}, '_', 4), 2) AS INT)") + "))"
+    return f"{one('ch1')} AND {one('ch2')}"
+
+
+#: Rule families: the settings, and what SQL says of them.
+_RULES = {
+    "lfp": ({"need_lfp": True}, "(ch1 LIKE 'LFP%' OR coalesce(ch2 LIKE 'LFP%', false))"),
+    "lfp side": ({"lfp_side": "L"}, "(ch1 NOT LIKE 'LFP%' OR ch1[4] = 'L') AND (ch2 IS NULL OR ch2 NOT LIKE 'LFP%' OR ch2[4] = 'L')"),
+    "brain side": ({"brain_side": "L"}, _both("{side} = 'L'")),
+    "brain side by cerebellum": ({"brain_side": "L", "cerebellum": {"L": 3, "R": 4}}, _both("({side} = 'L' AND {par} <> 3) OR ({side} = 'R' AND {par} = 4)")),
+    "only cerebellum": ({"cerebellum": {"L": 3, "R": 4}, "cerebellum_only": True}, _both("{par} = CASE {side} WHEN 'L' THEN 3 ELSE 4 END")),
+    "parcels": ({"parcels": list(range(1, 21))}, _both("{par} BETWEEN 1 AND 20")),
+    "not parcels": ({"not_parcels": [2, 4, 6]}, _both("{par} NOT IN (2, 4, 6)")),
+    "components": ({"components": [1]}, _both("{comp} = 1")),
+    "no self": ({"drop_self": True}, "(ch2 IS NULL OR ch1 <> ch2)"),
+    "no cross lfp": ({"drop_cross_lfp": True}, "NOT (ch2 IS NOT NULL AND ch1 LIKE 'LFP%' AND ch2 LIKE 'LFP%' AND ch1 <> ch2)"),
+    "cross": ({"cross_only": True}, "(ch2 IS NOT NULL AND ch1 <> ch2)"),
+    "self": ({"self_only": True}, "(ch2 IS NULL OR ch1 = ch2)"),
+    "bands": ({"bands": ["beta", "gamma"]}, "coalesce(fb1 IN ('beta', 'gamma'), true) AND coalesce(fb2 IN ('beta', 'gamma'), true)"),
+    "bands of modalities": ({"bands_of": {"LFP": ["HFO", "beta"], "msrc": ["tremor", "beta"]}}, " AND ".join(f"(fb{n} IS NULL OR (mod{n} = 'LFP' AND fb{n} IN ('HFO', 'beta')) OR (mod{n} = 'msrc' AND fb{n} IN ('tremor', 'beta')))" for n in (1, 2))),
+    "types": ({"types": ["con", "H_act"]}, "ftype IN ('con', 'H_act')"),
+    "modalities": ({"modalities": ["msrc"]}, "mod1 = 'msrc' AND coalesce(mod2 = 'msrc', true)"),
+    "main channel": ({"lfp_channel": "LFPR05"}, "(ch1 NOT LIKE 'LFP%' OR ch1 = 'LFPR05') AND (ch2 IS NULL OR ch2 NOT LIKE 'LFP%' OR ch2 = 'LFPR05')"),
+    "no hfo": ({"drop_hfo": True}, "coalesce(fb1 NOT LIKE 'HFO%', true) AND coalesce(fb2 NOT LIKE 'HFO%', true)"),
+}
+
+
+@query(f"WITH {_PARSED} " + " UNION ALL ".join(f"SELECT '{name}' AS rule, feat FROM pf WHERE {sql}" for name, (_, sql) in _RULES.items()))
+def p2_rule_families(spark, sf_dir):
+    """Every family of the composite filter on its own."""
+    some = features(spark, sf_dir)
+    out = None
+    for name, (rule, _) in _RULES.items():
+        one = N.selected(some, **rule).select(F.lit(name).alias("rule"), "feat")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_PARSED} SELECT replace(feat, 'LFPR05', 'LFPR_main') feat, replace(ch1, 'LFPR05', 'LFPR_main') ch1, replace(ch2, 'LFPR05', 'LFPR_main') ch2 FROM pf WHERE (ch1 NOT LIKE 'LFP%' OR ch1 = 'LFPR05') AND (ch2 IS NULL OR ch2 NOT LIKE 'LFP%' OR ch2 = 'LFPR05')")
+def p2_main_channel(spark, sf_dir):
+    """Features of the main channel alone, under its general name."""
+    return N.renamed(N.selected(features(spark, sf_dir), lfp_channel="LFPR05"), "LFPR05", "LFPR_main").select("feat", "ch1", "ch2")
+
+
 @query(f"WITH {_PARSED} SELECT feat FROM pf WHERE (mod1 = 'msrc' AND fb1 IN ('beta', 'gamma') AND mod2 = 'LFP' AND fb2 IN ('HFO', 'beta')) OR (mod2 = 'msrc' AND fb2 IN ('beta', 'gamma') AND mod1 = 'LFP' AND fb1 IN ('HFO', 'beta'))")
 def p3_band_combinations(spark, sf_dir):
     def combo(a, b):
@@ -133,6 +179,23 @@ def j6_artifact_labels(spark, sf_dir):
     return features(spark, sf_dir).select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_PARSED}, c AS (SELECT DISTINCT ch FROM (SELECT ch1 ch FROM pf UNION ALL SELECT ch2 FROM pf) WHERE ch IS NOT NULL), lab AS (SELECT ch, unnest(CASE WHEN ch LIKE 'LFP%' THEN ['BAD_LFP', 'BAD_LFP' || ch[4], 'BAD_' || ch] ELSE ['BAD_MEG', 'BAD_MEG' || ch[5], 'BAD_' || ch] END) AS label FROM c),
+  bad AS (SELECT rec, CASE label WHEN 'trem' THEN 'BAD_LFPR' WHEN 'notrem' THEN 'BAD_LFPL' || lpad((rec % 13)::VARCHAR, 2, '0') WHEN 'hold' THEN 'BAD_MEGL' ELSE CASE WHEN rec % 10 = 0 THEN 'BAD_MEG' ELSE 'BAD_LFP_other' END END AS label, unnest(range(b0, b1)) bin FROM fx_anns),
+  m AS (SELECT DISTINCT ch, rec, bin FROM lab JOIN bad USING (label)), f AS (SELECT DISTINCT feat, rec, bin FROM (SELECT feat, ch1 ch FROM pf UNION SELECT feat, ch2 FROM pf) JOIN m USING (ch))
+  SELECT feat, count(*) n_bins, count(DISTINCT rec) n_recs FROM f GROUP BY feat""")
+def j6_artifact_masks(spark, sf_dir):
+    """How many bins of how many recordings are masked for each feature: artifacts of a modality, of a side, of one of its channels."""
+    label = (
+        F.when(F.col("label") == "trem", "BAD_LFPR")
+        .when(F.col("label") == "notrem", F.concat(F.lit("BAD_LFPL"), F.lpad((F.col("rec") % 13).cast("string"), 2, "0")))
+        .when(F.col("label") == "hold", "BAD_MEGL")
+        .otherwise(F.when(F.col("rec") % 10 == 0, "BAD_MEG").otherwise("BAD_LFP_other"))
+    )
+    masks = N.artifact_masks(features(spark, sf_dir), V.anns(spark, sf_dir).withColumn("label", label))
+    return masks.groupBy("feat").agg(F.sum("n_bins").alias("n_bins"), F.count("*").alias("n_recs"))
+
+
+
 @query(f"WITH {_PARSED}, c AS (SELECT DISTINCT ch1 ch FROM pf) SELECT a.ch ch1, b.ch ch2 FROM c a JOIN c b ON a.ch[1:3] = 'LFP' AND b.ch LIKE 'msrc%c0' AND a.ch[4] = b.ch[5]")
 def j10_channel_pairs(spark, sf_dir):
     """Pairs by rule; the side in common makes it an equi-join."""

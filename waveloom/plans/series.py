@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as I
 from ..operators import stats as S
 from ..operators import windows as X
+from ..sources import tables as T
 from ..sources import views as V
 from .registry import query
 
@@ -45,7 +46,9 @@ _LABELS = """grid AS (SELECT rec, (count(*) - 32) // 4 + 1 AS n FROM fx_samples
   SELECT rec, ch, label, round(avg((activity - m) / s), 5) AS mean_z, count(*) AS n_windows FROM hj JOIN wl USING (rec, widx) JOIN st USING (rec, ch) WHERE s > 0 GROUP BY ALL""")
 def w2_hjorth_activity(spark, sf_dir):
     """The minimum slice: baseline-normalised activity per recording, channel and state (S1, W1, W2, J2, A2, J9)."""
-    h, labels = hjorth(spark, sf_dir), window_labels(spark, sf_dir).select("rec", "label", "widx")
+    # three passes read the windows: they are computed once and written down
+    h = T.stored(hjorth(spark, sf_dir).select("rec", "ch", "widx", "activity"), "hjorth")
+    labels = window_labels(spark, sf_dir).select("rec", "label", "widx")
     rest = labels.filter("label = 'notrem'").select("rec", "widx").distinct()
     stats = S.trimmed(h.join(rest, ["rec", "widx"]), RC, "activity").filter("std > 0")
     z = S.rescaled(h, stats, RC, "activity").join(labels, ["rec", "widx"])
@@ -189,7 +192,7 @@ def w3_windowed_ratio(spark, sf_dir):
   q AS (SELECT rec, quantile_cont(z, 0.75) q FROM e GROUP BY rec) SELECT rec, bin, round(z / q, 6) envelope FROM e JOIN q USING (rec)""")
 def w5_envelope(spark, sf_dir):
     rows = V.samples(spark, sf_dir).filter("ch = 'qty'")
-    e = rows.withColumn("z", X.box(rows, ["rec"], F.abs(F.col("v") - 25), 9))
+    e = X.box_sum(rows, ["rec"], F.abs(F.col("v") - 25), 9).withColumnRenamed("total", "z")
     return S.with_quantiles(e, ["rec"], "z", [0.75]).select("rec", "bin", R6(F.col("z") / F.col("q")[0]).alias("envelope"))
 
 
@@ -226,8 +229,8 @@ def w13_lagged_correlation(spark, sf_dir):
 
 @query("SELECT rec, bin, bin - 5 AS hole_free FROM fx_samples WHERE ch = 'qty' AND bin >= 5 AND bin < (SELECT count(*) FROM fx_samples s WHERE s.rec = fx_samples.rec AND s.ch = 'qty') - 5")
 def w22_reindex_without_edges(spark, sf_dir):
-    rows = V.samples(spark, sf_dir).filter("ch = 'qty'").withColumn("n", F.count("*").over(W.partitionBy("rec"))).filter("bin >= 5 AND bin < n - 5")
-    return rows.select("rec", "bin", (F.row_number().over(W.partitionBy("rec").orderBy("bin")) - 1).cast("long").alias("hole_free"))
+    rows = S.with_stats(V.samples(spark, sf_dir).filter("ch = 'qty'"), ["rec"], n=F.count("*")).filter("bin >= 5 AND bin < n - 5")
+    return X.numbered(rows, ["rec"], "hole_free").select("rec", "bin", "hole_free")
 
 
 @query("SELECT rec, bin, round((v - avg(v) OVER w) / (quantile_cont(v, 0.93) OVER w - quantile_cont(v, 0.01) OVER w), 6) v FROM fx_samples WHERE ch = 'price' WINDOW w AS (PARTITION BY rec)")
@@ -333,7 +336,7 @@ def a26_class_counts(spark, sf_dir):
 
 @query("SELECT rec, ch, bin // 2 AS i, v FROM fx_samples WHERE bin % 2 = 0")
 def p19_subsample(spark, sf_dir):
-    rows = V.samples(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy(RC).orderBy("bin")) - 1)
+    rows = X.numbered(V.samples(spark, sf_dir), RC, "i")
     return rows.filter("i % 2 = 0").select("rec", "ch", (F.col("i") / 2).cast("long").alias("i"), "v")
 
 
@@ -421,10 +424,9 @@ def p21_labelled_rows(spark, sf_dir):
 def w19_detect_activity(spark, sf_dir):
     """Envelope per muscle above its mean, runs, and their union over the muscles."""
     rows = V.samples(spark, sf_dir).filter(F.col("ch").isin("qty", "price"))
-    rows = rows.withColumn("c", F.abs(F.col("v") - F.avg("v").over(W.partitionBy(RC))))
-    e = rows.withColumn("z", X.box(rows, RC, F.col("c"), 9))
-    mean = e.groupBy(RC).agg(F.avg("z").alias("a"))
-    over = e.join(mean, RC).select("rec", "ch", "bin", (F.col("z") / F.col("a")).alias("v"))
+    rows = S.with_stats(rows, RC, m=F.avg("v"))
+    e = X.box_sum(rows, RC, F.abs(F.col("v") - F.col("m")), 9).select("rec", "ch", "bin", F.col("total").alias("z"))
+    over = S.with_stats(e, RC, a=F.avg("z")).select("rec", "ch", "bin", (F.col("z") / F.col("a")).alias("v"))
     runs = I.active(over, RC, 1.25, 3, 5)
     return I.union(runs.select("rec", F.col("b0").alias("s"), F.col("b1").alias("e")), ["rec"]).withColumnsRenamed({"s": "b0", "e": "b1"})
 

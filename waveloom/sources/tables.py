@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to a new path of the shared folder and read again: computed once however often it is read, and durable."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_prepared(df: DataFrame, path: str, by: tuple[str, ...] = ("rec",), mode: str = "overwrite") -> None:
     """Parquet partitioned by recording: later reads of a few recordings see only their files.
 
