@@ -239,3 +239,35 @@ def test_copies_of_rows_leave_toxicity_as_it_is(spark):
     few = spark.createDataFrame([(0, "vile scum", "x")] + 4 * [(1, "good day", "x")] + [(2, "fine weather", "x")], docs.schema)
     model = toxicity.fit(few, spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, 0)], "doc_id long, toxic int"))
     assert all((r.score > 0.5) == (r.doc_id == 0) for r in toxicity.score(few, model).collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, columns with clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    docs = documents(spark)
+    more = [(None, prose(rnd, 50), "en", "a", 0), (None, prose(rnd, 50), "en", "a", 0)] + 12 * [(700, prose(rnd, 40), "en", "b", 0)] + [(800 + i, prose(rnd, 30) + " vile scum rot", "en", "a", 0) for i in range(20)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.select(docs.columns[:5]).schema), allowMissingColumns=True)
+    labels = spark.createDataFrame([(800 + i, 1, 1) for i in range(20)] + [(i, 1, 0) for i in range(40)] + 12 * [(700, 1, 0)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        sf_dir = f"{tmp_path}/{name}"
+        table.write.parquet(f"{sf_dir}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{sf_dir}/labels.parquet")
+        now = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        kept = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, now, sf_dir).write.parquet(f"{sf_dir}/out-{k}")
+            now = spark.read.parquet(f"{sf_dir}/out-{k}")
+            kept.append([r.doc_id for r in now.select("doc_id").collect()])
+            assert k == 4 or now.columns == docs.columns
+        assert corpus_pipeline.run(spark, sf_dir).count() == len(kept[-1])
+        if name == "none":
+            assert kept == [[]] * 5
+            continue
+        clean = Counter(r.doc_id for r in docs.filter("doc_id is null or doc_id < 800").collect())
+        assert len([i for i in kept[0] if i is not None and i >= 800]) <= 3  # held-out ones may stay
+        assert Counter(i for i in kept[0] if i is None or i < 800) == clean
+        # the second null id is another text; of repeated rows one stays
+        assert Counter(kept[1])[None] == 2 and Counter(kept[1])[700] == 1 and Counter(kept[1])[7] == 0 and Counter(kept[1])[0] == 1
+        assert Counter(kept[2]) == Counter(kept[1]) and set(kept[3]) <= set(kept[2]) and len(kept[4]) == len(kept[3])
