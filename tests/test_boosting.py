@@ -89,3 +89,19 @@ def test_pair_gain_is_the_best_cut():
             parts = [(n[a, b].sum(), s[a, b].sum()) for a in (slice(0, i), slice(i, 6)) for b in (slice(0, j), slice(j, 6))]
             best = max(best, sum(t * t / c for c, t in parts if c))
     assert abs(B.pair_gain(n, s) - best) < 1e-9
+
+
+def test_shadows_and_binomial_test(spark):
+    rng = np.random.default_rng(3)
+    n = 900
+    x = rng.normal(size=(n, 6))
+    y = ((x[:, 2] + 0.8 * x[:, 4] + 0.5 * rng.normal(size=n)) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "key long, y int, x array<double>")
+    rows = B.shadowed(df, "x", "y", "key", 1, block=100).collect()
+    v = np.array([r.v for r in rows])
+    assert v.shape == (n, 12) and sorted(map(tuple, v[:, :6].tolist())) == sorted(map(tuple, x.tolist()))
+    for j in range(6):  # each component's values, in another order
+        assert np.allclose(np.sort(v[:, j]), np.sort(v[:, 6 + j])) and (v[:, j] != v[:, 6 + j]).mean() > 0.9
+    assert sum(B.tails(k, 10)[0] - (B.tails(k + 1, 10)[0] if k < 10 else 0) for k in range(11)) == 1 and B.tails(9, 10)[0] == 11 / 1024 and B.tails(1, 10)[1] == 11 / 1024
+    found = B.all_relevant(df, "x", "y", tests=8, rounds=2, depth=2, bins=8)
+    assert {i for i, _, d in found if d == "confirmed"} == {3, 5} and all(h < 8 for i, h, _ in found if i not in (3, 5))

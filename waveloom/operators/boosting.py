@@ -198,6 +198,67 @@ def predicted(df: DataFrame, column: str, model: Booster, keep: list[str]) -> Da
     return rows.mapInArrow(run, out)
 
 
+# -- all relevant features ------------------------------------------------------------------------
+
+
+def shadowed(df: DataFrame, column: str, y: str, key: str, seed: int, block: int = 4096) -> DataFrame:
+    """y, v: each vector with its shadow behind it, whose components are permuted among the rows of a block, each on its own."""
+    from .sufficient import prepared
+
+    rows = prepared(df.withColumn("__fold", F.lit(0)), column, y, key, "__fold", block)
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            x = np.concatenate([_matrix(b, "x") for b in held])
+            other = np.random.default_rng([seed, last & ((1 << 63) - 1)]).permuted(x, axis=0)
+            labels = pa.concat_arrays([b.column("y") for b in held])
+            flat = pa.array(np.concatenate([x, other], axis=1).ravel())
+            ends = pa.array(np.arange(0, 2 * x.size + 1, 2 * x.shape[1], dtype=np.int32))
+            return pa.RecordBatch.from_arrays([labels, pa.ListArray.from_arrays(ends, flat)], names=["y", "v"])
+
+        for batch in batches:
+            at = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and last != int(at[a]):
+                    yield done()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = int(at[a])
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["y"], T.StructField("v", T.ArrayType(T.DoubleType()))]))
+
+
+def tails(hits: int, rounds: int) -> tuple[float, float]:
+    """Chances of at least and of at most so many hits among fair tosses."""
+    from math import comb
+
+    up = sum(comb(rounds, k) for k in range(hits, rounds + 1)) / 2**rounds
+    return up, sum(comb(rounds, k) for k in range(hits + 1)) / 2**rounds
+
+
+def all_relevant(df: DataFrame, column: str, y: str, key: str = "key", tests: int = 12, alpha: float = 0.05, **fit: object) -> list[tuple[int, int, str]]:
+    """(feature from 1, hits, decision): in each of `tests` fits a feature hits if its gain exceeds that of every shadow; as many hits
+    as chance would give with less than alpha (divided among the features) confirm it, as few reject it, else it stays tentative."""
+    hits = None
+    for t in range(tests):
+        gain = boosted(shadowed(df, column, y, key, t), "v", "y", **fit).gain
+        d = len(gain) // 2
+        one = gain[:d] > gain[d:].max()
+        hits = one.astype(int) if hits is None else hits + one
+    out = []
+    for i, h in enumerate(hits.tolist()):
+        up, down = tails(h, tests)
+        out.append((i + 1, h, "confirmed" if up * len(hits) < alpha else "rejected" if down * len(hits) < alpha else "tentative"))
+    return out
+
+
 # -- additive models ------------------------------------------------------------------------------
 
 

@@ -38,6 +38,18 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     return n.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n")))
 
 
+def oversampled(df: DataFrame, y: str, key: str) -> DataFrame:
+    """Add copy: rows of smaller classes stand as often as it takes for all classes to be as large as the largest; the first ones in
+    key order once more where that does not divide evenly.  Rows are numbered in chunks of (whole, not negative) keys."""
+    from .windows import numbered
+
+    n = df.groupBy(y).agg(F.count("*").alias("__n"))  # one row a class
+    most = n.agg(F.max("__n").alias("__most"))
+    rows = numbered(df.withColumn("bin", F.col(key)), [y], "__place").drop("bin").join(F.broadcast(n.crossJoin(F.broadcast(most))), y)  # one row a class
+    times = F.floor(F.col("__most") / F.col("__n")) + (F.col("__place") < F.col("__most") % F.col("__n")).cast("int")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).drop("__n", "__most", "__place")
+
+
 def correlations(rows: DataFrame, column: str) -> DataFrame:
     """i < j, r: Pearson correlations of the components; the d x d result is the size of the model."""
     matrix = Correlation.corr(rows.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("v")), "v").first()[0].toArray()

@@ -154,3 +154,24 @@ def fir(df: DataFrame, keys: list[str], taps: list[float]) -> DataFrame:
     order, half = W.partitionBy(*keys, "chunk").orderBy("bin"), len(taps) // 2
     terms = [F.lit(t) * F.coalesce(F.lag("v", k - half).over(order), F.lit(0.0)) for k, t in enumerate(taps)]
     return chunked(df, CHUNK, len(taps)).withColumn("v", reduce(lambda a, b: a + b, terms)).filter("own").drop("chunk", "own")
+
+
+def autocorrelation(df: DataFrame, keys: list[str], lags: list[int], x: str = "v") -> DataFrame:
+    """keys.., lag, r: the sum of products of deviations from the series' mean at a distance of `lag` bins over the sum of their squares.
+
+    A bin meets those behind it by an equi-join on the bin; sums are taken before anything moves further.
+    """
+    rows = with_stats(df, keys, __m=F.avg(x)).select(*keys, "bin", (F.col(x) - F.col("__m")).alias("__d"))
+    power = rows.groupBy(*keys).agg(F.sum(F.col("__d") * F.col("__d")).alias("__p"))
+    later = rows.select(*keys, F.col("bin").alias("__at"), F.col("__d").alias("__e"))
+    left = rows.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("__at", F.col("bin") + F.col("lag"))
+    sums = left.join(later, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.sum(F.col("__d") * F.col("__e")).alias("__s"))
+    return sums.join(power, keys).select(*keys, "lag", F.try_divide("__s", "__p").alias("r"))
+
+
+def main_component(df: DataFrame, a: str, b: str) -> DataFrame:
+    """rec, bin, v: two channels projected on the first principal axis of their deviations, which points to where the first channel grows."""
+    both = paired(df, a, b)
+    angle = F.atan2(2 * F.covar_samp("va", "vb"), F.var_samp("va") - F.var_samp("vb")) / 2
+    rows = with_stats(both, ["rec"], __t=angle, __a=F.avg("va"), __b=F.avg("vb"))
+    return rows.select("rec", "bin", ((F.col("va") - F.col("__a")) * F.cos("__t") + (F.col("vb") - F.col("__b")) * F.sin("__t")).alias("v"))

@@ -112,3 +112,17 @@ def m15_redistributed_scores(spark, sf_dir):
     gone = [bad for bad, _, _ in steps]
     kept = long(spark, sf_dir).filter(~F.col("feat").isin(gone) if gone else F.lit(True)).groupBy("label", "feat").agg(F.avg("x").alias("score"))
     return L.redistributed(kept, steps, ["label"]).select("label", "feat", F.round("score", 8).alias("score"))
+
+
+@query()
+def m16_all_relevant(spark, sf_dir):
+    """Which features beat their shadows more often than chance would let them, by a binomial test."""
+    found = B.all_relevant(rows(spark, sf_dir), "embedding", "y", tests=12, rounds=2, depth=2, bins=16)
+    return spark.createDataFrame(found, "feat int, hits int, decision string")  # one row a feature
+
+
+@query("""WITH r AS (SELECT vec_id AS key, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 i, count(*) OVER (PARTITION BY label) n FROM embeddings), m AS (SELECT max(n) m FROM r)
+  SELECT key, label, unnest(range(m // n + CASE WHEN i < m % n THEN 1 ELSE 0 END))::INT copy FROM r, m""")
+def m7_oversampled(spark, sf_dir):
+    """Rows of the smaller classes repeated until all classes are as large as the largest."""
+    return L.oversampled(rows(spark, sf_dir).select("key", "label"), "label", "key").select("key", "label", "copy")
