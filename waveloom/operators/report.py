@@ -64,3 +64,36 @@ def missing(df: DataFrame, keys: list[str], over: str) -> DataFrame:
 
 def formatted(x: Column, digits: int = 1) -> Column:
     return F.concat(F.format_number(100 * x, digits), F.lit("%"))
+
+
+def confusion_report(conf: DataFrame, order: list, merged: dict | None = None, fold: str | None = None) -> DataFrame:
+    """row, col, y, yhat, pct: confusion in per cent of the true class, in a given order of classes; `merged` renames classes (several to
+    one) before; with `fold` every fold is normalised on its own and the mean over the folds that have the class is taken."""
+    name = lambda c: F.coalesce(F.create_map(*[F.lit(v) for kv in merged.items() for v in kv])[F.col(c)], F.col(c)) if merged else F.col(c)
+    keys = [fold] if fold else []
+    n = conf.groupBy(*keys, name("y").alias("y"), name("yhat").alias("yhat")).agg(F.sum("n").alias("n"))
+    rows = n.groupBy(*keys, "y").agg(F.sum("n").alias("__t"))
+    names = F.array(*map(F.lit, order))
+    # every pair of classes has a cell: as many rows as pairs
+    cells = rows.select(*keys, "y", "__t", F.explode(names).alias("yhat")).join(n, [*keys, "y", "yhat"], "left")
+    out = cells.groupBy("y", "yhat").agg((100 * F.avg(F.coalesce("n", F.lit(0)) / F.col("__t"))).alias("pct"))
+    place = lambda c: F.array_position(names, F.col(c)).cast("int")
+    return out.select(place("y").alias("row"), place("yhat").alias("col"), "y", "yhat", "pct").filter("row > 0")
+
+
+def detection_rate(report: DataFrame, name: object) -> DataFrame:
+    """pct: how much of one class is found."""
+    return report.filter((F.col("y") == F.lit(name)) & (F.col("yhat") == F.lit(name))).select("pct")
+
+
+def chance_level(conf: DataFrame) -> DataFrame:
+    """y, yhat, share: what guessing by the shares of the true classes names a row of any class; as many rows as pairs of classes."""
+    n = conf.groupBy("y").agg(F.sum("n").alias("n"))
+    share = n.select(F.col("y").alias("yhat"), (F.col("n") / F.sum("n").over(W.partitionBy())).alias("share"))  # one row a class
+    return n.select("y").crossJoin(F.broadcast(share))
+
+
+def balanced_curve(curve: DataFrame, keys: list[str], n: str, level: float) -> DataFrame:
+    """Add first: whether a point of a curve (keys.., n, sens, spec) is the first in order of n at which both sens and spec exceed the level."""
+    good = F.when(F.least("sens", "spec") > level, F.col(n))
+    return curve.withColumn("first", F.coalesce(F.col(n) == F.min(good).over(W.partitionBy(*keys)), F.lit(False)))  # a curve is a few rows

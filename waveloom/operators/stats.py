@@ -287,3 +287,37 @@ def without_rare(df: DataFrame, keys: list[str], over: str, x: str, bins: int =
     rows = joined_back(df, high.drop("low"), [over])
     bad = rows.filter(F.col(x) > F.col("high")).select(*keys).distinct()
     return df.join(bad, keys, "left_anti")
+
+
+def peak_clusters(df: DataFrame, keys: list[str], x: str, splits: int = 25, offset: float = 0.3, margin: float = 0.1, kind: str = "outmost") -> DataFrame:
+    """keys.., low, high, n_peaks: two centres from a group's histogram of `splits` equal bins.
+
+    Peaks are bins with more values than both neighbours.  The outmost two (or the two highest, of equal ones the later) give
+    their lower edges, moved apart by `offset` of their distance; outmost ones stay a `margin` of it within the extremes,
+    highest ones within the extremes.  With fewer than two peaks the centres lie `margin` of the span inside the extremes.
+    """
+    from pyspark.sql import Window as W
+
+    some = df.filter(F.col(x).isNotNull())
+    ends = some.groupBy(*keys).agg(F.min(x).cast("double").alias("__a"), F.max(x).cast("double").alias("__z"))
+    wide = lambda name, sign: F.when(F.col("__a") == F.col("__z"), F.col(name) + sign * 0.5).otherwise(F.col(name))
+    state = ends.select(*keys, wide("__a", -1).alias("lo"), wide("__z", 1).alias("hi"), F.lit(splits).cast("long").alias("bins"), F.lit(None).cast("double").alias("limit"))
+    order = W.partitionBy(*keys).orderBy("i")  # at most `splits` rows a group
+    near = lambda f, step: F.when(f("i").over(order) == F.col("i") + step, f("n").over(order)).otherwise(F.lit(0))
+    counts = _histogram(some, state, keys, x)
+    peaks = counts.withColumns({"__l": F.coalesce(near(F.lag, -1), F.lit(0)), "__r": F.coalesce(near(F.lead, 1), F.lit(0))}).filter("n > __l AND n > __r")
+    if kind == "highest":
+        top = W.partitionBy(*keys).orderBy(F.desc("n"), F.desc("i"))
+        ranked = peaks.withColumn("__k", F.row_number().over(top))
+        found = ranked.groupBy(*keys).agg(F.min(F.when(F.col("__k") <= 2, F.col("i"))).alias("__i"), F.max(F.when(F.col("__k") <= 2, F.col("i"))).alias("__j"), F.count("*").alias("n_peaks"))
+    else:
+        found = peaks.groupBy(*keys).agg(F.min("i").alias("__i"), F.max("i").alias("__j"), F.count("*").alias("n_peaks"))
+    own = [f"__q{i}" for i in range(len(keys))]
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)), F.lit(True))
+    rows = joined_back(state, ends, keys).join(found.withColumnsRenamed(dict(zip(keys, own, strict=True))), same, "left").drop(*own)
+    edge = lambda c: F.col("lo") + F.col(c) * ((F.col("hi") - F.col("lo")) / F.col("bins"))
+    apart = edge("__j") - edge("__i")
+    inner = margin * apart if kind == "outmost" else F.lit(0.0)
+    low, high = F.greatest(F.col("__a") + inner, edge("__i") - offset * apart), F.least(F.col("__z") - inner, edge("__j") + offset * apart)
+    span, two = F.col("__z") - F.col("__a"), F.coalesce(F.col("n_peaks"), F.lit(0)) >= 2
+    return rows.select(*keys, F.when(two, low).otherwise(F.col("__a") + margin * span).alias("low"), F.when(two, high).otherwise(F.col("__z") - margin * span).alias("high"), F.coalesce("n_peaks", F.lit(0)).alias("n_peaks"))

@@ -192,3 +192,27 @@ def a39_compare_conditions(spark, sf_dir):
     from ..operators.stats import t_test
 
     return t_test(V.results(spark, sf_dir), F.col("grouping"), "O", "F", "bacc", ["rec_grp"]).select("rec_grp", F.lit(True).alias("ok"), F.round("t", 6).alias("t"))
+
+
+@query(f"""WITH c AS (SELECT id % 4 f, CASE WHEN y = 1 THEN 'good' ELSE 'bad' END y, CASE WHEN yhat = 1 THEN 'good' ELSE 'bad' END yhat, count(*) n FROM fx_pred GROUP BY ALL), t AS (SELECT f, y, sum(n) t FROM c GROUP BY ALL),
+  p AS (SELECT t.f, t.y, o.yhat, coalesce(n, 0) / t p FROM t CROSS JOIN (VALUES ('good'), ('bad')) o(yhat) LEFT JOIN c ON c.f = t.f AND c.y = t.y AND c.yhat = o.yhat)
+  SELECT CASE y WHEN 'good' THEN 1 ELSE 2 END AS row, CASE yhat WHEN 'good' THEN 1 ELSE 2 END AS col, y, yhat, round(100 * avg(p), 6) pct FROM p GROUP BY ALL""")
+def a24_confusion_report(spark, sf_dir):
+    """Confusion in per cent, classes named and in order, averaged over folds."""
+    names = lambda c: F.when(F.col(c) == 1, "one").otherwise("zero")
+    pred = V.pred(spark, sf_dir).select((F.col("id") % 4).alias("f"), names("y").alias("y"), names("yhat").alias("yhat"))
+    report = R.confusion_report(R.confusion(pred, ["f"]), ["good", "bad"], {"one": "good", "zero": "bad"}, "f")
+    return report.withColumn("pct", F.round("pct", 6))
+
+
+@query("WITH n AS (SELECT y, count(*) n FROM fx_pred GROUP BY y) SELECT a.y, b.y yhat, round(b.n / (SELECT sum(n) FROM n), 8) AS share FROM n a, n b")
+def a24_chance_level(spark, sf_dir):
+    return R.chance_level(R.confusion(V.pred(spark, sf_dir))).withColumn("share", R8("share"))
+
+
+@query("""WITH c AS (SELECT rec_grp, interval_set n, avg(bacc) sens, 1 - avg(bacc * bacc) spec FROM fx_results GROUP BY ALL) SELECT rec_grp, n, round(sens, 8) sens, round(spec, 8) spec,
+  coalesce(n = min(CASE WHEN least(sens, spec) > 0.3 THEN n END) OVER (PARTITION BY rec_grp), false) AS first FROM c""")
+def a36_balanced_curve(spark, sf_dir):
+    """Performance by size of the feature set (here years), and the first point at which both rates exceed a level."""
+    curve = V.results(spark, sf_dir).groupBy("rec_grp", F.col("interval_set").alias("n")).agg(F.avg("bacc").alias("sens"), (1 - F.avg(F.col("bacc") * F.col("bacc"))).alias("spec"))
+    return R.balanced_curve(curve, ["rec_grp"], "n", 0.3).select("rec_grp", "n", R8("sens").alias("sens"), R8("spec").alias("spec"), "first")

@@ -437,3 +437,30 @@ def w15_kalman(spark, sf_dir):
 
     rows = V.samples(spark, sf_dir).filter("ch = 'price'")
     return kalman(rows, RC, 0.01, 1.0).select("rec", "ch", "bin", F.round("v", 4).alias("v"))
+
+
+@query("""WITH m AS (SELECT rec, min(v)::DOUBLE a, max(v)::DOUBLE z FROM fx_samples WHERE ch = 'qty' GROUP BY rec), s AS (SELECT rec, v, a, z, (z - a) / 25 w, least(24, floor((v - a) / (z - a) * 25))::BIGINT i0 FROM fx_samples JOIN m USING (rec) WHERE ch = 'qty' AND z > a),
+  pl AS (SELECT rec, a, z, w, CASE WHEN v < a + i0 * w THEN i0 - 1 WHEN v >= (CASE WHEN i0 + 1 = 25 THEN z ELSE a + (i0 + 1) * w END) AND i0 < 24 THEN i0 + 1 ELSE i0 END i FROM s), h AS (SELECT rec, a, z, w, i, count(*) n FROM pl GROUP BY ALL),
+  p AS (SELECT h.*, coalesce(l.n, 0) ln, coalesce(r.n, 0) rn FROM h LEFT JOIN h l ON l.rec = h.rec AND l.i = h.i - 1 LEFT JOIN h r ON r.rec = h.rec AND r.i = h.i + 1),
+  q AS (SELECT rec, a, z, any_value(w) w, min(i) FILTER (n > ln AND n > rn) i, max(i) FILTER (n > ln AND n > rn) j, count(*) FILTER (n > ln AND n > rn) n_peaks FROM p GROUP BY ALL)
+  SELECT rec, n_peaks, round(CASE WHEN n_peaks >= 2 THEN greatest(a + 0.1 * (j - i) * w, a + i * w - 0.3 * (j - i) * w) ELSE a + 0.1 * (z - a) END, 6) low, round(CASE WHEN n_peaks >= 2 THEN least(z - 0.1 * (j - i) * w, a + j * w + 0.3 * (j - i) * w) ELSE z - 0.1 * (z - a) END, 6) high FROM q""")
+def a12_peak_clusters(spark, sf_dir):
+    """Centres from the outmost peaks of each recording's histogram, moved apart; from the extremes where there are no two peaks."""
+    found = S.peak_clusters(V.samples(spark, sf_dir).filter("ch = 'qty'"), ["rec"], "v")
+    return found.select("rec", "n_peaks", R6("low").alias("low"), R6("high").alias("high"))
+
+
+@query("""WITH k AS (SELECT rec, bin // 32 AS w, bin % 32 AS i, v FROM fx_samples WHERE ch = 'price'), f AS (SELECT rec, w FROM k GROUP BY ALL HAVING count(*) = 32),
+  s AS (SELECT rec, w, q.freq, sum(v * cos(2 * pi() * q.freq * i / 32)) re, sum(v * sin(2 * pi() * q.freq * i / 32)) im FROM k JOIN f USING (rec, w), range(1, 17) q(freq) GROUP BY ALL),
+  pb AS (SELECT rec, w, CASE WHEN freq <= 4 THEN 'slow' ELSE 'fast' END band, ln(avg(re * re + im * im)) p FROM s GROUP BY ALL), t AS (SELECT label, band, a.rec, b0, avg(p) p FROM pb JOIN fx_anns a ON a.rec = pb.rec AND w * 32 >= b0 AND w * 32 < b1 GROUP BY ALL)
+  SELECT label, band, count(*) n, round(avg(p), 6) mean, round(stddev_pop(p), 6) std FROM t GROUP BY ALL""")
+def a20_band_statistics(spark, sf_dir):
+    """Mean and spread over intervals of their mean log power by band and type of interval."""
+    from ..operators.spectral import spectrogram
+
+    power = spectrogram(V.samples(spark, sf_dir).filter("ch = 'price'"), 32).filter("freq > 0")
+    band = F.when(F.col("freq") <= 4, "slow").otherwise("fast").alias("band")
+    windows = power.groupBy("rec", "win", band).agg(F.log(F.avg("power")).alias("p")).withColumn("bin", F.col("win") * 32)
+    at = I.bins_of(V.anns(spark, sf_dir)).filter("bin % 32 = 0")
+    each = windows.join(at, ["rec", "bin"]).groupBy("label", "band", "rec", "b0").agg(F.avg("p").alias("p"))
+    return each.groupBy("label", "band").agg(F.count("*").alias("n"), R6(F.avg("p")).alias("mean"), R6(F.stddev_pop("p")).alias("std"))
