@@ -117,7 +117,7 @@ def m15_redistributed_scores(spark, sf_dir):
 @query()
 def m16_all_relevant(spark, sf_dir):
     """Which features beat their shadows more often than chance would let them, by a binomial test."""
-    found = B.all_relevant(rows(spark, sf_dir), "embedding", "y", tests=12, rounds=2, depth=2, bins=16)
+    found = B.all_relevant(rows(spark, sf_dir), "embedding", "y", tests=12, rounds=1, depth=2, bins=16)
     return spark.createDataFrame(found, "feat int, hits int, decision string")  # one row a feature
 
 
