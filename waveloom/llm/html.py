@@ -15,7 +15,8 @@ stays.
 Defined results: a null or empty page has the empty text; pages whose url is null share the host ''; all
 outermost articles and mains of a page are kept, in page order; a page without any is taken whole, less
 its furniture and templates.  Repeated rows each get the same text; other columns are not passed on, so
-none can clash.
+none can clash; an empty table gives an empty one.  An aside is a sidebar and goes, whatever it is called; inside an
+article a fieldset, an element inside a line, and a name that has other words than furniture's go only if they recur.
 """
 
 from __future__ import annotations
