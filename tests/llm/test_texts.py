@@ -437,6 +437,44 @@ def test_recurrence_inside_articles(spark):
     assert got[200].n_templates == 1 and got[300].n_templates == 0
 
 
+def shuffled(spark, df):
+    """Bytes that the stages of one run of `df` write for shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup("shuffled", "counted")
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("shuffled")]
+    sc._jsc.sc().clearJobGroup()
+    store = sc._jsc.sc().statusStore()
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in {s for j in jobs for s in j.stageIds})
+
+
+def test_texts_of_pages_move_packed(spark):
+    rnd = random.Random(23)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=rnd.randrange(2, 11))) for _ in range(2000)]
+    ranks = [1 / (k + 5) for k in range(len(words))]
+    box = '<div class="x7"><p>Read the best of the week</p></div>'
+    rows, want = [], {}
+    for i in range(400):
+        story = [" ".join(rnd.choices(words, ranks, k=100)) for _ in range(5)]
+        want[i] = "\n".join(story)
+        rows.append((i, f"http://h{i % 9}.example/", page("<article>" + box + "".join(f"<p>{p}</p>" for p in story[:3]) + box + f"<p>{story[3]}</p><p>{story[4]}</p></article>")))
+    # long texts of few bytes, more of them than are unpacked at a time; an empty page; a null one
+    want |= {1000 + i: "\n".join([f"long {i}", *["same words again " * 20000 + str(i)] * 3]) for i in range(6)} | {2000: "", 2001: ""}
+    rows += [(i, "http://long.example/", page("".join(f"<p>{p}</p>" for p in text.split("\n")))) for i, text in want.items() if 1000 <= i < 2000]
+    rows += [(2000, None, ""), (2001, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    result = html.contract(df)
+    got = result.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == want[r.page_id] and r.n_chars == len(want[r.page_id])
+    assert all(r.n_templates == 2 for r in got if r.page_id < 1000)  # the box and its paragraph
+    prose_bytes = sum(len(text) for i, text in want.items() if i < 1000)
+    moved = shuffled(spark, html.contract(df.filter("page_id < 1000")))
+    assert moved < 0.65 * prose_bytes, (moved, prose_bytes)
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html.Page(deep).main() == ["x"]

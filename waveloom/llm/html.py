@@ -27,11 +27,12 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, store
+from .common import SLICE_CHARS, arrow_schema, slices, store
 
 #: Different pages of a host on which a subtree is a template; the same for one that is marked as furniture.
 LEAST_PAGES, LEAST_MARKED = 5, 2
@@ -357,26 +358,54 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 
 def kept_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, page, whole (the kept blocks joined by line breaks), marked (how many different subtrees are
-    furniture in any case)."""
-    added = T.StructType([T.StructField("page", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("marked", T.LongType())])
+    """page_id, url, page, whole (the kept blocks joined by line breaks, as a zstandard frame), marked (how many
+    different subtrees are furniture in any case)."""
+    added = T.StructType([T.StructField("page", T.LongType()), T.StructField("whole", T.BinaryType()), T.StructField("marked", T.LongType())])
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zstandard.ZstdCompressor(write_checksum=False).compress
         for batch in batches:
             for part, htmls in slices(batch, "html"):
                 keys, texts, marked = [], [], []
                 for url, html in zip(part.column("url").to_pylist(), htmls, strict=True):
                     page = Page(html)
                     keys.append(_key(url, html))
-                    texts.append("\n".join(page.main()))
+                    texts.append(packed("\n".join(page.main()).encode()))
                     marked.append(len({key for at, key in page.subtrees("").items() if page.marks[at] == SURE}))
-                columns = [pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(marked, pa.int64())]
+                columns = [pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array(marked, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=schema.names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
+def unpacked(joined: DataFrame) -> DataFrame:
+    """`joined` with text in place of whole and places: the blocks of `whole` outside of all ranges of `places`."""
+    kept = [f for f in joined.schema.fields if f.name not in ("whole", "places")]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts: list[str] = []
+            begin = size = 0
+            for k, (whole, places) in enumerate(zip(batch.column("whole"), batch.column("places"), strict=True), 1):
+                text = unpack(whole.as_py()).decode()
+                if places := places.as_py():
+                    blocks: list[str | None] = text.split("\n")
+                    for first, last in zip(places[::2], places[1::2], strict=True):
+                        blocks[first : last + 1] = [None] * (last + 1 - first)
+                    text = "\n".join(b for b in blocks if b is not None)
+                texts.append(text)
+                size += len(text)
+                if size >= SLICE_CHARS or k == batch.num_rows:  # few texts are unpacked at a time
+                    columns = [batch.column(f.name).slice(begin, k - begin) for f in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)
+                    texts, begin, size = [], k, 0
+
+    return joined.mapInArrow(run, schema)
+
+
 def templates(rows: DataFrame, least_pages: int = LEAST_PAGES, least_marked: int = LEAST_MARKED, least_share: float = LEAST_SHARE) -> DataFrame:
     """subtree: the keys of those that recur on many pages of their host.  `rows` as :func:`subtrees` gives them."""
     kind = F.col("subtree").bitwiseAND(3)
@@ -393,8 +422,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by line breaks), n_templates (subtrees of the page that recur on its
     host), n_marked (others that only their marks remove).
 
-    Pages are parsed twice, once for the counts and once for the texts, which then move once; what stays
-    on disk in between are a few numbers for each subtree.
+    Pages are parsed twice, once for the counts and once for the texts, which then move once, each packed for
+    itself (Spark packs blocks of rows with a quicker codec that leaves half as much again); what stays on disk
+    in between are a few numbers for each subtree.
     """
     rows = store(subtrees(pages), "pages-subtrees")
     # a set, as rows of a page that stands twice are equal
@@ -405,18 +435,15 @@ def extract(pages: DataFrame) -> DataFrame:
         F.size("gone").alias("n_templates"),
         F.size(F.filter("gone", lambda g: g["sure"])).alias("n_sure"),
     )
-    joined = kept_texts(pages).join(found, "page", "left")
-    ends = F.size("places") / 2 - 1
-    ranges = F.transform(F.sequence(F.lit(0), ends.cast("int")), lambda k: F.struct(F.get("places", 2 * k).alias("first"), F.get("places", 2 * k + 1).alias("last")))
-    gone = lambda i: F.exists(ranges, lambda r: (i >= r["first"]) & (i <= r["last"]))
-    text = F.array_join(F.filter(F.split("whole", "\n"), lambda b, i: ~gone(i)), "\n")
-    return joined.select(
+    joined = kept_texts(pages).join(found, "page", "left").select(
         "page_id",
         "url",
-        F.when(F.size("places") > 0, text).otherwise(F.col("whole")).alias("text"),
+        "whole",
+        "places",
         F.coalesce("n_templates", F.lit(0)).cast("long").alias("n_templates"),
         (F.col("marked") - F.coalesce("n_sure", F.lit(0))).alias("n_marked"),
     )
+    return unpacked(joined).select("page_id", "url", "text", "n_templates", "n_marked")
 
 
 def contract(pages: DataFrame) -> DataFrame:
