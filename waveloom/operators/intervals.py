@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +61,18 @@ def bins_of(ivals: DataFrame) -> DataFrame:
     return ivals.filter("b1 > b0").withColumn("bin", F.explode(F.sequence(F.col("b0"), F.col("b1") - 1)))
 
 
+def inside(series: DataFrame, ivals: DataFrame, keys: tuple[str, ...] = ("rec",), how: str = "inner") -> DataFrame:
+    """Rows of the series joined (`how`) with the intervals [b0, b1) of their keys that hold their bin, and what else these have.
+
+    No interval is exploded into bins, and rows meet by the keys alone, as series in bin order are dealt out already: rows
+    stay where they are.  A row is held against all intervals of its keys.  The join is a merge: sizes estimated for
+    intervals that come from explode() are too low, and a broadcast for them would bring all intervals to the driver.
+    """
+    held = ivals.withColumnsRenamed({k: f"__{k}" for k in (*keys, "b0", "b1")}).hint("merge")
+    same = reduce(and_, (F.col(k) == F.col(f"__{k}") for k in keys))
+    return series.join(held, same & (F.col("bin") >= F.col("__b0")) & (F.col("bin") < F.col("__b1")), how).drop(*[f"__{k}" for k in (*keys, "b0", "b1")])
+
+
 def covered(ivals: DataFrame, keys: list[str]) -> DataFrame:
     """keys.., covered: length of the union."""
     return union(ivals, keys).groupBy(*keys).agg(F.sum(F.col("e") - F.col("s")).alias("covered"))

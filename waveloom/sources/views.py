@@ -17,12 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, ch, bin, v: four channels of each supplier's line items in shipping order."""
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, bin, qty, price, disc, tax: each supplier's line items in shipping order, a row a bin."""
     order = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").withColumn("bin", (F.row_number().over(order) - 1).cast("long"))
-    pairs = ", ".join(f"'{ch}', {column}" for ch, column in CHANNELS.items())
-    return rows.select(F.col("l_suppkey").alias("rec"), "bin", F.expr(f"stack({len(CHANNELS)}, {pairs}) AS (ch, v)")).select("rec", "ch", "bin", "v")
+    return rows.select(F.col("l_suppkey").alias("rec"), "bin", *[F.col(column).alias(ch) for ch, column in CHANNELS.items()])
+
+
+def stacked(rows: DataFrame, channels: tuple[str, ...] = tuple(CHANNELS)) -> DataFrame:
+    """Wide rows with a row for each of the channels: their other columns, ch, v."""
+    pairs = ", ".join(f"'{ch}', {ch}" for ch in channels)
+    rest = [c for c in rows.columns if c not in CHANNELS]
+    return rows.select(*rest, F.expr(f"stack({len(channels)}, {pairs}) AS (ch, v)"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, ch, bin, v: four channels of each supplier's line items in shipping order."""
+    return stacked(wide(spark, sf_dir)).select("rec", "ch", "bin", "v")
 
 
 def anns(spark: SparkSession, sf_dir: str) -> DataFrame:
