@@ -181,26 +181,41 @@ def _log_gamma(x: Column) -> Column:
 def incomplete_beta(x: Column, rest: Column, a: Column, b: Column) -> Column:
     """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1 and rest = 1 - x (given apart, as the difference may cancel), as
     an expression: the continued fraction, in the half in which it converges fast, with as many terms as the
-    parameters ask for."""
-    lower = x < (a + 1) / (a + b + 2)
-    y, z, p, q = F.when(lower, x).otherwise(rest), F.when(lower, rest).otherwise(x), F.when(lower, a).otherwise(b), F.when(lower, b).otherwise(a)
+    parameters ask for.
+
+    A value that is used more than once is bound to a name first: repeated expressions are computed at each place, in every term.
+    """
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     tiny = 1e-300
     some = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
-    first = 1 / some(1 - (p + q) * y / (p + 1))
-    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
-
-    def step(s: Column, k: Column) -> Column:
-        m = k.cast("double")
-        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        d1, c1 = 1 / some(1 + even * s["d"]), some(1 + even / s["c"])
-        d2, c2 = 1 / some(1 + odd * d1), some(1 + odd / c1)
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
-
-    terms = F.sequence(F.lit(1), (30 + 3 * F.sqrt(F.greatest(p, q))).cast("int"))
-    front = F.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * F.log(y) + q * F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(z))) / p
-    value = F.when(y <= 0, F.lit(0.0)).otherwise(front * F.aggregate(terms, start, step, lambda s: s["h"]))
-    return F.when(lower, value).otherwise(1 - value)
+
+    def half(v: Column) -> Column:
+        """The arguments in the order in which the fraction converges."""
+        lower = v["x"] < (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        there = F.struct(lower.alias("lower"), v["x"].alias("y"), v["rest"].alias("z"), v["a"].alias("p"), v["b"].alias("q"))
+        back = F.struct(lower.alias("lower"), v["rest"].alias("y"), v["x"].alias("z"), v["b"].alias("p"), v["a"].alias("q"))
+        return F.when(lower, there).otherwise(back)
+
+    def whole(v: Column) -> Column:
+        y, p, q = v["y"], v["p"], v["q"]
+        start = F.struct(F.lit(1.0).alias("c"), (1 / some(1 - (p + q) * y / (p + 1))).alias("d"), (1 / some(1 - (p + q) * y / (p + 1))).alias("h"))
+
+        def step(s: Column, k: Column) -> Column:
+            """One coefficient of the fraction: k = 2 m for the even, 2 m + 1 for the odd ones."""
+            m = F.floor(k / 2).cast("double")
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            next_ = lambda e: F.struct(some(1 + e / s["c"]).alias("c"), (1 / some(1 + e * s["d"])).alias("d"))
+            found = let(F.when(k % 2 == 0, even).otherwise(odd), next_)
+            return let(found, lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (s["h"] * n["d"] * n["c"]).alias("h")))
+
+        terms = F.sequence(F.lit(2), 2 * (30 + 3 * F.sqrt(F.greatest(p, q))).cast("int") + 1)
+        front = F.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * F.log(y) + q * F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(v["z"]))) / p
+        value = F.when(y <= 0, F.lit(0.0)).otherwise(front * F.aggregate(terms, start, step, lambda s: s["h"]))
+        return let(value, lambda r: F.when(v["lower"], r).otherwise(1 - r))
+
+    given = F.struct(x.alias("x"), rest.alias("rest"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    return let(let(given, half), whole)
 
 
 def t_test(df: DataFrame, group: Column, a: object, b: object, x: str, keys: list[str]) -> DataFrame:
