@@ -5,6 +5,7 @@ import random
 import pytest
 
 from waveloom import plans
+from waveloom.functions import names as N
 from waveloom.operators import intervals as I
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,23 @@ a20_interval_statistic a9_interval_maxima a39_p_values p21_labelled_rows a4_grou
 @pytest.mark.parametrize("name", UNEXPLODED)
 def test_bins_of_intervals_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(plans.QUERIES[name](spark, SF))
+
+
+def test_features_with_the_same_labels_share_their_masks(spark):
+    rnd = random.Random(9)
+    lfp, src = [f"LFP{s}{i:02d}" for s in "LR" for i in range(3)], [f"msrc{s}_9_{p}_c0" for s in "LR" for p in range(3)]
+    feats = [(f"H_act_{c}", c, None) for c in lfp + src] + [(f"con_{b}_{x},{y}", x, y) for b in ("beta", "gamma") for x in lfp for y in src]
+    arts = [(r, x, a, a + rnd.randrange(0, 12)) for r in range(5) for x in ("BAD_LFPR", f"BAD_LFPL{r % 3:02d}", "BAD_MEGL", "BAD_other") for a in (0, rnd.randrange(30))]
+    labels = lambda c: {f"BAD_{'LFP' if c[0] == 'L' else 'MEG'}", f"BAD_{'LFP' + c[3] if c[0] == 'L' else 'MEG' + c[4]}", f"BAD_{c}"}
+    some = {x for _, x, a, e in arts if e > a}
+    sets = {f: frozenset(set().union(*(labels(c) for c in cs if c)) & some) for f, *cs in feats}
+    bins = {(f, r): {b for q, x, a, e in arts if q == r and x in sets[f] for b in range(a, e)} for f in sets for r in range(5)}
+    f = spark.createDataFrame(feats, "feat string, ch1 string, ch2 string")
+    a = spark.createDataFrame(arts, "rec long, label string, b0 long, b1 long")
+    got = {(r.feat, r.rec): {b for x in r.bins for b in range(x.b0, x.b1)} for r in N.artifact_masks(f, a).collect()}
+    assert got == {k: v for k, v in bins.items() if v}
+    found, masks = N.mask_sets(f, a)
+    assert {r.feat: frozenset(r.labels) for r in found.collect()} == {f: x for f, x in sets.items() if x}
+    # a row a set and recording, however many features share it
+    assert masks.count() == len({(sets[f], r) for (f, r), v in bins.items() if v}) < len(got) / 4
+    assert "Broadcast" not in plan_of(masks.select("n_bins"))

@@ -159,19 +159,32 @@ def artifact_labels(ch: Column) -> Column:
     return F.array(F.concat(F.lit("BAD_"), kind), F.concat(F.lit("BAD_"), kind, side(ch)), F.concat(F.lit("BAD_"), ch))
 
 
-def artifact_masks(features: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """feat, rec, n_bins, bins: the bins [b0, b1) of each recording that an artifact (rec, label, b0, b1) of one of a feature's
-    channels masks, as disjoint intervals.
+def mask_sets(features: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """feat, labels, and labels, rec, n_bins, bins: which of the labels that occur apply to a feature, and what each such set of labels masks.
 
-    Labels meet labels (an equi-join), and intervals are united before they are counted: no bin becomes a row.
+    Features are masked alike if the same labels apply to them, so the bins [b0, b1) of a recording are united once for a set
+    and not for each of its features.
     """
     from ..operators.intervals import union
 
+    some = artifacts.filter("b1 > b0")
     chans = features.select("feat", F.explode(F.array_distinct(F.array_compact(F.array("ch1", "ch2")))).alias("ch"))
-    wanted = chans.select("feat", F.explode(artifact_labels(F.col("ch"))).alias("label")).distinct()
-    hit = wanted.join(artifacts.filter("b1 > b0"), "label").select("feat", "rec", F.col("b0").alias("s"), F.col("b1").alias("e"))
+    wanted = chans.select("feat", F.explode(artifact_labels(F.col("ch"))).alias("label")).join(some.select("label").distinct(), "label", "left_semi")
+    sets = wanted.groupBy("feat").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    hit = sets.select("labels").distinct().select("labels", F.explode("labels").alias("label")).hint("merge").join(some, "label").select("labels", "rec", F.col("b0").alias("s"), F.col("b1").alias("e"))
     bins = F.array_sort(F.collect_list(F.struct(F.col("s").alias("b0"), F.col("e").alias("b1"))))
-    return union(hit, ["feat", "rec"]).groupBy("feat", "rec").agg(F.sum(F.col("e") - F.col("s")).alias("n_bins"), bins.alias("bins"))
+    masks = union(hit, ["labels", "rec"]).groupBy("labels", "rec").agg(F.sum(F.col("e") - F.col("s")).alias("n_bins"), bins.alias("bins"))
+    return sets, masks
+
+
+def artifact_masks(features: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """feat, rec, n_bins, bins: the bins [b0, b1) of each recording that an artifact (rec, label, b0, b1) of one of a feature's
+    channels masks, as disjoint intervals.
+
+    Labels meet labels (an equi-join), and intervals are united before they are counted: no bin becomes a row.
+    """
+    sets, masks = mask_sets(features, artifacts)
+    return sets.join(masks, "labels").select("feat", "rec", "n_bins", "bins")
 
 
 def renamed(features: DataFrame, channel: str, name: str) -> DataFrame:

@@ -191,8 +191,9 @@ def j6_artifact_masks(spark, sf_dir):
         .when(F.col("label") == "hold", "BAD_MEGL")
         .otherwise(F.when(F.col("rec") % 10 == 0, "BAD_MEG").otherwise("BAD_LFP_other"))
     )
-    masks = N.artifact_masks(features(spark, sf_dir), V.anns(spark, sf_dir).withColumn("label", label))
-    return masks.groupBy("feat").agg(F.sum("n_bins").alias("n_bins"), F.count("*").alias("n_recs"))
+    sets, masks = N.mask_sets(features(spark, sf_dir), V.anns(spark, sf_dir).withColumn("label", label))
+    counts = masks.groupBy("labels").agg(F.sum("n_bins").alias("n_bins"), F.count("*").alias("n_recs"))
+    return sets.join(counts, "labels").select("feat", "n_bins", "n_recs")
 
 
 
