@@ -7,6 +7,7 @@ import pytest
 from waveloom import plans
 from waveloom.functions import names as N
 from waveloom.operators import intervals as I
+from waveloom.operators import windows as X
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +32,7 @@ def test_rows_inside_intervals(spark, how):
 
 #: Bins of intervals come from explode(), whose estimated size is that of the small table below it.
 UNEXPLODED = """
-a20_interval_statistic a9_interval_maxima a39_p_values p21_labelled_rows a4_grouping_modes a40_histogram a39_t_test a2_state_stats
+a20_interval_statistic w6_interpolate_artifacts a9_interval_maxima a39_p_values p21_labelled_rows a4_grouping_modes a40_histogram a39_t_test a2_state_stats
 """.split()
 
 
@@ -58,3 +59,11 @@ def test_features_with_the_same_labels_share_their_masks(spark):
     # a row a set and recording, however many features share it
     assert masks.count() == len({(sets[f], r) for (f, r), v in bins.items() if v}) < len(got) / 4
     assert "Broadcast" not in plan_of(masks.select("n_bins"))
+
+
+def test_masked_inside_intervals_that_overlap(spark):
+    rows = [(r, b, float(b)) for r in range(3) for b in range(20)]
+    bad = [(0, 2, 6), (0, 4, 9), (0, 4, 5), (0, 15, 15), (1, 0, 1), (1, 18, 40), (3, 0, 9)]
+    want = sorted((r, b, None if any(q == r and a <= b < e for q, a, e in bad) else v) for r, b, v in rows)
+    got = X.masked_inside(spark.createDataFrame(rows, "rec long, bin long, v double"), spark.createDataFrame(bad, "rec long, b0 long, b1 long"), ["rec"])
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[:2]) == want

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import inside, union
 from .stats import with_stats
 
 
@@ -116,6 +117,13 @@ def masked(df: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
     return df.join(marks, on, "left").withColumn("v", F.when(F.col("__bad").isNull(), F.col("v"))).drop("__bad")
 
 
+def masked_inside(df: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """v becomes null at the bins inside the intervals [b0, b1) of `bad`, which may overlap; none of them is exploded into bins."""
+    one = union(bad.filter("b1 > b0").select(*keys, F.col("b0").alias("s"), F.col("b1").alias("e")), keys)  # a bin is in one at most
+    marks = one.select(*keys, F.col("s").alias("b0"), F.col("e").alias("b1"), F.lit(True).alias("__bad"))
+    return inside(df, marks, tuple(keys), "left").withColumn("v", F.when(F.col("__bad").isNull(), F.col("v"))).select(df.columns)
+
+
 def interpolated(df: DataFrame, keys: list[str], chunk: int = 65_536) -> DataFrame:
     """Fill null v linearly in time; gaps at the begin become 0, gaps at the end keep the last value.
 
@@ -130,9 +138,11 @@ def interpolated(df: DataFrame, keys: list[str], chunk: int = 65_536) -> DataFra
     before = F.last("__last", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("__before")
     after = F.first("__first", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("__after")
     ends = ends.select(*keys, "__c", before, after)
-    inside = W.partitionBy(*keys, "__c").orderBy("bin")
-    rows = rows.withColumn("__p", F.last(known, True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("__n", F.first(known, True).over(inside.rowsBetween(0, W.unboundedFollowing))).join(ends, [*keys, "__c"])
+    forth = W.partitionBy(*keys, "__c").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__p", F.last(known, True).over(forth))
+    # from the other end: a frame that reaches to the end of its group is walked anew for each row
+    back = W.partitionBy(*keys, "__c").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__n", F.last(known, True).over(back)).join(ends, [*keys, "__c"])
     rows = rows.withColumns({"__p": F.coalesce("__p", "__before"), "__n": F.coalesce("__n", "__after")})
     between = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col("bin") - F.col("__p.bin")) / (F.col("__n.bin") - F.col("__p.bin"))
     v = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("__p").isNull(), F.lit(0.0)).when(F.col("__n").isNull(), F.col("__p.v")).otherwise(between)
