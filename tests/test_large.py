@@ -1,6 +1,7 @@
 """What keeps plans whole on large tables, and what they give there against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -38,7 +39,8 @@ a20_interval_statistic w6_interpolate_artifacts a9_interval_maxima a39_p_values
 
 @pytest.mark.parametrize("name", UNEXPLODED)
 def test_bins_of_intervals_are_not_broadcast(spark, name):
-    assert "Broadcast" not in plan_of(plans.QUERIES[name](spark, SF))
+    plan = plan_of(plans.QUERIES[name](spark, SF))
+    assert "explode(sequence(" not in plan and re.search(r"SortMergeJoin \[(rec|l_suppkey)#\d+L?\], \[__rec#", plan)
 
 
 def test_features_with_the_same_labels_share_their_masks(spark):
